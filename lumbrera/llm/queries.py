@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumbrera.llm import arrow_shards, decontaminate, piece_codec
+from lumbrera.llm import arrow_shards, decontaminate, piece_codec, simhash, sketch
 from lumbrera.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.digest_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.with_next(table(spark, sf_dir, "documents"))
+
+
 def op5_arrow_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_shards.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -23,4 +27,8 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op5_arrow_shards, op7_decontaminate)}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_fingerprints, op5_arrow_shards, op7_decontaminate, op8_simhash)}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumbrera.llm import arrow_shards, decontaminate, piece_codec, quality, simhash, sketch
+from lumbrera.llm import arrow_shards, decontaminate, piece_codec, privacy, quality, simhash, sketch
 from lumbrera.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_arrow_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_shards.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -35,4 +39,4 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_fingerprints, op3_quality, op5_arrow_shards, op7_decontaminate, op8_simhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_fingerprints, op3_quality, op4_personal_data, op5_arrow_shards, op7_decontaminate, op8_simhash)}

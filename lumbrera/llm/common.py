@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -39,8 +40,14 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, kept in the shared folder, so that later reads do not depend on the executors that made them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_dir(spark)
+    out = df.checkpoint(eager=True)
+    # What the rows were made from is not needed again: let Spark's cleaner drop its shuffle files now, not at some later collection.
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def bounded_batches(spark: SparkSession) -> None:

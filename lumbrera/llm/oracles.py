@@ -22,4 +22,22 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op7_decontaminate": OP7}
+OP9 = """
+WITH l AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, i, list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\r\\f\\x0B]+'), lambda x: x <> '') AS w FROM l),
+k AS (SELECT doc_id, i, w, array_to_string(w, ' ') AS s FROM w WHERE len(w) >= 5),
+first AS (SELECT s, any_value(w) AS w, min({'d': doc_id, 'i': i}) AS f FROM k GROUP BY s),
+v AS (SELECT s, w, f, p, array_to_string(list_concat(w[1:p - 1], w[p + 1:]), ' ') AS t FROM (SELECT s, w, f, unnest(range(1, len(w) + 1)) AS p FROM first)),
+near AS (
+  SELECT DISTINCT a.s FROM v a JOIN v b ON a.t = b.t AND a.p = b.p AND len(a.w) = len(b.w) AND b.f < a.f
+  UNION SELECT a.s FROM v a JOIN first b ON a.t = b.s AND b.f < a.f
+  UNION SELECT a.s FROM first a JOIN v b ON b.t = a.s AND b.f < a.f),
+gone AS (SELECT k.doc_id, k.i FROM k JOIN first USING (s) WHERE s IN (SELECT s FROM near) OR {'d': k.doc_id, 'i': k.i} <> f)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_lines, CAST(coalesce(g, 0) AS BIGINT) AS n_gone, coalesce(gone, '') AS gone, sha256(coalesce(kept, '')) AS text_sha256
+FROM documents d LEFT JOIN (
+  SELECT l.doc_id, count(*) AS n, count(gone.i) AS g, string_agg(CAST(gone.i AS VARCHAR), ',' ORDER BY gone.i) AS gone,
+    string_agg(CASE WHEN gone.i IS NULL THEN line END, chr(10) ORDER BY l.i) AS kept
+  FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id) x ON d.doc_id = x.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op7_decontaminate": OP7, "op9_line_dedup": OP9}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumbrera.llm import arrow_shards, decontaminate, piece_codec, privacy, quality, simhash, sketch
+from lumbrera.llm import arrow_shards, decontaminate, line_dedup, piece_codec, privacy, quality, simhash, sketch
 from lumbrera.llm.common import table
 
 
@@ -39,4 +39,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_fingerprints, op3_quality, op4_personal_data, op5_arrow_shards, op7_decontaminate, op8_simhash)}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_fingerprints, op3_quality, op4_personal_data, op5_arrow_shards, op7_decontaminate, op8_simhash, op9_line_dedup)}

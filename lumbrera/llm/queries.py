@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumbrera.llm import arrow_shards, decontaminate, line_dedup, piece_codec, privacy, quality, simhash, sketch
+from lumbrera.llm import arrow_shards, decontaminate, licence_scan, line_dedup, piece_codec, privacy, quality, simhash, sketch
 from lumbrera.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op5_arrow_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_shards.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licence_scan.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -43,4 +47,4 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_fingerprints, op3_quality, op4_personal_data, op5_arrow_shards, op7_decontaminate, op8_simhash, op9_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_fingerprints, op3_quality, op4_personal_data, op5_arrow_shards, op6_licences, op7_decontaminate, op8_simhash, op9_line_dedup)}

@@ -17,9 +17,11 @@ Ids outside unsigned 16 bits take 32-bit lists. Other columns are not read.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,36 +36,77 @@ from lumbrera.llm.common import bounded_batches, chunks, fresh_path, in_order, r
 
 SEQ_LEN = 2048
 BATCH_ROWS = 64
+CHUNK = 2 << 20
+CACHE_WORDS = 250_000
 MANIFEST = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("file", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType())])
 
 
 class WordCache:
-    """The tokenizers library over the distinct words of a batch.
+    """The tokenizers library over distinct words, whose ids a worker keeps from batch to batch.
 
-    The tokenizer drops white space and never joins over it, so a text's ids are its words' ids one after another.
-    ``split`` is checked against whole texts when the tokenizer is loaded; if that fails, whole texts are encoded.
+    The tokenizer drops white space and never joins over it, nor over a letter and punctuation other than an apostrophe, so a text's ids
+    are its parts' ids one after another. That is checked on a probe when the tokenizer is loaded; if it fails, whole texts are encoded. At most
+    ``CACHE_WORDS`` parts are kept; then the cache starts anew.
     """
 
     def __init__(self, spec: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.lib = Tokenizer.from_str(spec)
-        probe = "Two words'll  do\nit: náive ΣΣ <|endoftext|>x 12\t34..5 "
-        self.split = self.lib.encode(probe, add_special_tokens=False).ids == [i for w in probe.replace("\n", " ").split(" ") if w for i in self.lib.encode(w, add_special_tokens=False).ids]
+        probe = "Two words'll  do.\nit: náive ΣΣ <|endoftext|>x 12\t34..5 a.'s don't!? É... (x)"
+        parts = [w for w in pc.split_pattern(apart(pa.array([probe])), " ").values.to_pylist() if w]
+        self.split = self.lib.encode(probe, add_special_tokens=False).ids == [i for w in parts for i in self.lib.encode(w, add_special_tokens=False).ids]
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.size, self.start = np.zeros(CACHE_WORDS, np.int32), np.zeros(CACHE_WORDS, np.int64)
+        self.ids, self.used = np.zeros(4 * CACHE_WORDS, np.int32), 0
+
+    def learn(self, words: list[str]) -> None:
+        """Put new words into the cache."""
+        for k in range(0, len(words), 4096):
+            part = words[k : k + 4096]
+            found = [e.ids for e in self.lib.encode_batch_fast(part, add_special_tokens=False)]
+            n = sum(map(len, found))
+            if self.used + n > len(self.ids):
+                self.ids = np.r_[self.ids, np.zeros(max(n, len(self.ids)), np.int32)]
+            for w, ids in zip(part, found, strict=True):
+                at = len(self.slot)
+                if at == len(self.size):
+                    self.size, self.start = np.r_[self.size, self.size * 0], np.r_[self.start, self.start * 0]
+                self.slot[w] = at
+                self.start[at], self.size[at] = self.used, len(ids)
+                self.ids[self.used : self.used + len(ids)] = ids
+                self.used += len(ids)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts (no nulls), one after another, and their counts."""
         if not self.split:
-            found = [e.ids for e in self.lib.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            found = [self.lib.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
             return np.array([i for x in found for i in x], np.int64), np.array([len(x) for x in found], np.int64)
-        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        parts = pc.split_pattern(apart(texts), " ")
         at = parts.offsets.to_numpy()
         words = pc.dictionary_encode(parts.values.slice(at[0], at[-1] - at[0]))
-        found = [e.ids for e in self.lib.encode_batch_fast(words.dictionary.to_pylist(), add_special_tokens=False)]
-        size = np.array([len(x) for x in found], np.int64)
-        ids = np.fromiter((i for x in found for i in x), np.int64, int(size.sum()))
-        which = words.indices.to_numpy()
-        per = size[which] if len(which) else np.zeros(0, np.int64)
-        flat = ids[ragged((np.cumsum(size) - size)[which], per)] if len(which) else ids[:0]
-        return flat, np.diff(np.r_[0, np.cumsum(per)][at - at[0]])
+        distinct = words.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.slot]
+        if len(self.slot) + len(new) > CACHE_WORDS:
+            self.clear()
+            new = distinct
+        self.learn(new)
+        slots = np.fromiter(map(self.slot.__getitem__, distinct), np.int64, len(distinct))
+        which = slots[words.indices.to_numpy()] if len(distinct) else slots
+        per = self.size[which].astype(np.int64)
+        return self.ids[ragged(self.start[which], per)], np.diff(np.r_[0, np.cumsum(per)][at - at[0]])
+
+
+def apart(texts: pa.Array) -> pa.Array:
+    """A space between a Latin letter and the punctuation after it, and for line feeds."""
+    return pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), r'([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?:;#$%&*()"]+)', r"\1 \2")
+
+
+@lru_cache(maxsize=1)
+def word_cache(spec: str) -> WordCache:
+    return WordCache(spec)
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, seq_len: int = SEQ_LEN, partitions: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,9 +122,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = None
-        own = WordCache(held.value)
+        own = word_cache(held.value)
         for whole in batches:
-            for b in chunks(whole, 2):
+            for b in chunks(whole, 2, CHUNK):
                 if out is None:
                     out = ShardWriter(folder, b.column(0)[0].as_py(), seq_len, wide)
                 flat, size = own.encode(strings(b.column(2)))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumbrera.llm import arrow_shards, decontaminate, licence_scan, line_dedup, piece_codec, privacy, quality, simhash, sketch
+from lumbrera.llm import arrow_shards, decontaminate, licence_scan, line_dedup, passages, piece_codec, privacy, quality, simhash, sketch
 from lumbrera.llm.common import table
 
 
@@ -47,4 +47,8 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_fingerprints, op3_quality, op4_personal_data, op5_arrow_shards, op6_licences, op7_decontaminate, op8_simhash, op9_line_dedup)}
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_fingerprints, op3_quality, op4_personal_data, op5_arrow_shards, op6_licences, op7_decontaminate, op8_simhash, op9_line_dedup, op10_passages)}

@@ -39,15 +39,16 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the shared folder, so that later reads do not depend on the executors that made them."""
+    """The same rows, written as a table in the shared folder, so that later reads do not depend on the executors that made them."""
     spark = df.sparkSession
-    shared_dir(spark)
-    out = df.checkpoint(eager=True)
+    path = fresh_path(spark, "cut")
+    df.write.parquet(path)
+    schema = df.schema
     # What the rows were made from is not needed again: let Spark's cleaner drop its shuffle files now, not at some later collection.
     del df
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return out
+    return spark.read.schema(schema).parquet(path)
 
 
 def bounded_batches(spark: SparkSession) -> None:

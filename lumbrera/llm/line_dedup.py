@@ -10,8 +10,8 @@ more). A line goes if an equal line or one within that bound stands earlier, by
    each group is joined to its earliest line and its whole line, never pair by pair, and no link is lost.
 4. Each link's edit distance is verified on the words.
 
-Lines shorter than ``MIN_WORDS`` words are left as they are. A-Z are lower-cased; words are split at white space. Null and empty texts stay as
-they are. Rows that repeat a doc_id with an equal text count as one document and lose the same lines. Lines of a null doc_id
+Lines shorter than ``MIN_WORDS`` words are left as they are. Lines are lower-cased; words are split at ASCII white space. Null and empty texts stay as
+they are. Rows that repeat a doc_id count as one document: no line is a repeat of the one at its own place. Lines of a null doc_id
 count as the last. Other columns are kept whatever their names. An empty table gives an empty one.
 """
 
@@ -24,89 +24,95 @@ from pyspark.sql import Window as W
 from lumbrera.llm.common import cut
 
 MIN_WORDS = 5
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LAST = 2**63 - 1
 
 
 def words(line: Column) -> Column:
-    return F.filter(F.split(F.translate(line, UPPER, LOWER), "[ \\t\\r\\f\\x0B]+"), lambda w: w != "")
+    """Of a lower-cased line whose white space is spaces."""
+    return F.array_remove(F.split(line, " "), "")
+
+
+def plain(text: Column) -> Column:
+    """Lower case, and spaces for white space within lines."""
+    text = F.lower(text)
+    for c in ("\t", "\r", "\f", "\x0b"):
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return text
 
 
 def text_lines(docs: DataFrame) -> DataFrame:
     """(d, th, line_no, w): the lines of MIN_WORDS words or more; th tells texts of one doc_id apart."""
-    one = docs.select(F.col("doc_id").cast("bigint").alias("d"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    one = docs.select(place_of_doc().alias("d"), F.xxhash64("text").alias("th"), F.posexplode(F.split(plain(F.col("text")), "\n")).alias("line_no", "line"))
     return one.select("d", "th", "line_no", words(F.col("line")).alias("w")).where(F.size("w") >= MIN_WORDS)
 
 
-def line_hash(w: Column) -> Column:
-    """128 bits over a line's words."""
-    s = F.array_join(w, " ")
-    return F.struct(F.xxhash64(s).alias("a"), F.xxhash64(F.lit("line"), s).alias("b"))
+def place_of_doc() -> Column:
+    """doc_id, null last."""
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST))
 
 
-def half_keys(w: Column) -> Column:
-    """Hashes of the first and the last k words, for the k that a line within one edit has too."""
+def half_keys(w: Column) -> list[Column]:
+    """Hashes of the first and the last k words, for the one or two k that a line within one edit has too."""
     n = F.size(w)
-    sizes = F.array_distinct(F.array(F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")))
-    first = F.transform(sizes, lambda k: F.xxhash64(F.lit("first"), k, F.array_join(F.slice(w, 1, k), " ")))
-    last = F.transform(sizes, lambda k: F.xxhash64(F.lit("last"), k, F.array_join(F.slice(w, n - k + 1, k), " ")))
-    return F.concat(first, last)
+    low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
+    first = lambda k: F.xxhash64(F.lit(1), k, F.slice(w, 1, k))
+    last = lambda k: F.xxhash64(F.lit(2), k, F.slice(w, n - k + 1, k))
+    other = lambda key: F.when(low != high, key)
+    return [first(low), last(low), other(first(high)), other(last(high))]
 
 
-def place(d: Column) -> Column:
-    return F.coalesce(d, F.lit(LAST))
+HALVES = ["k1", "k2", "k3", "k4"]
+#: A line's place, and so its name: doc_id and line number in one number, which grouped minima can update in place.
+PLACE = "cast(d AS decimal(20,0)) * 4294967296 + line_no"
 
 
 def near_links(lines: DataFrame) -> DataFrame:
-    """(later, earlier) links between distinct lines (h, first, w) within one edit: each line with an earlier near one has a link to such a one."""
-    one = lines.select("h", "first", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
-    own = W.partitionBy("h").orderBy("i")
+    """(later, earlier) links between distinct lines (first, w) within one edit: each line with an earlier near one has a link to such a one."""
+    one = lines.select("first", F.size("w").alias("n"), F.posexplode("w").alias("i", "word"))
+    own = W.partitionBy("first").orderBy("i")
     # The hash of a sequence is the xor of its words' hashes at their positions, so a running xor gives all variants in one pass.
     kept = F.expr("bit_xor(xxhash64(word, i))").over(own.rowsBetween(W.unboundedPreceding, -1))
-    moved = F.expr("bit_xor(xxhash64(word, i - 1))").over(own.rowsBetween(1, W.unboundedFollowing))
-    variants = one.select("h", "first", F.col("n").alias("m"), "i", F.coalesce(kept, F.lit(0)).bitwiseXOR(F.coalesce(moved, F.lit(0))).alias("v"))
-    whole = one.groupBy("h", "first", "n").agg(F.expr("bit_xor(xxhash64(word, i))").alias("v")).select("v", "n", F.struct("first", "h").alias("whole"))
-    spots = variants.select("v", (F.col("m") - 1).alias("n"), "i", F.struct("first", "h").alias("line"))
-    lead = spots.groupBy("v", "n", "i").agg(F.min("line").alias("lead"), F.count("*").alias("size"))
-    # Groups of one with no whole line are the most; they leave here.
-    lead = lead.join(whole, ["v", "n"], "left").where((F.col("size") > 1) | F.col("whole").isNotNull())
-    found = spots.join(lead, ["v", "n", "i"])
-    pairs = F.array(F.struct(F.col("line"), F.col("lead").alias("other")), F.struct(F.col("line"), F.col("whole").alias("other")))
-    link = found.select(F.explode(pairs).alias("p")).where("p.other IS NOT NULL AND p.other.h <> p.line.h")
-    later, earlier = F.greatest("p.line", "p.other"), F.least("p.line", "p.other")
-    return link.select(later["h"].alias("later"), earlier["h"].alias("earlier")).distinct()
+    moved = F.expr("bit_xor(xxhash64(word, i - 1))").over(own.rowsBetween(W.unboundedPreceding, W.currentRow))
+    total = F.expr("bit_xor(xxhash64(word, i - 1))").over(W.partitionBy("first"))
+    v = F.coalesce(kept, F.lit(0)).bitwiseXOR(total).bitwiseXOR(moved)
+    spots = cut(one.select(v.alias("v"), (F.col("n") - 1).alias("n"), "i", "first"))
+    whole = one.groupBy("first", "n").agg(F.expr("bit_xor(xxhash64(word, i))").alias("v")).select("v", "n", F.col("first").alias("whole"))
+    # Groups of one are the most; those without a whole line leave here.
+    lead = spots.groupBy("v", "n", "i").agg(F.min("first").alias("lead"), F.max("first").alias("end"))
+    lead = lead.join(whole, ["v", "n"], "left").where("lead <> end OR whole IS NOT NULL")
+    found = spots.join(lead, ["v", "n", "i"]).select("first", F.explode(F.array("lead", "whole")).alias("other")).where("other <> first")
+    return found.select(F.greatest("first", "other").alias("later"), F.least("first", "other").alias("earlier")).distinct()
 
 
 def within_one(a: Column, b: Column) -> Column:
     """Word edit distance of at most one: common first and last words make up all but one of the longer line."""
     n, m = F.size(a), F.size(b)
     most = F.greatest(n, m)
-    at = F.coalesce(F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False)), most + 1).cast("int")  # first difference, from 1
+    at = F.coalesce(F.nullif(F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False)), F.lit(0)), most + 1).cast("int")  # first difference, from 1
     rest = F.when(n == m, F.slice(a, at + 1, most) == F.slice(b, at + 1, most)).when(n > m, F.slice(a, at + 1, most) == F.slice(b, at, most)).otherwise(F.slice(a, at, most) == F.slice(b, at + 1, most))
     return (F.abs(n - m) <= 1) & ((at > most) | rest)
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(d, th, gone array<int>): the numbers of the lines that go, of each document that loses any."""
-    lines = cut(text_lines(docs).select("d", "th", "line_no", line_hash(F.col("w")).alias("h"), half_keys(F.col("w")).alias("halves")))
-    first = F.min(F.struct(place(F.col("d")).alias("d"), "th", "line_no"))
-    distinct = cut(lines.groupBy("h").agg(first.alias("first"), F.min("halves").alias("halves"), F.count("*").alias("n")))
-    keys = distinct.select("h", F.explode("halves").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("key")
-    near = keys.join(shared, "key", "left_semi").select("h").distinct().join(distinct, "h").select("h", "first")
+    halves = [k.alias(n) for n, k in zip(HALVES, half_keys(F.col("w")), strict=True)]
+    lines = cut(text_lines(docs).select("d", "th", "line_no", F.xxhash64("w").alias("a"), F.hash("w").alias("b"), *halves))
+    distinct = cut(lines.groupBy("a", "b").agg(F.expr(f"min({PLACE})").alias("first"), *[F.min(k).alias(k) for k in HALVES], F.count("*").alias("n")))
+    keys = distinct.select("a", "first", F.explode(F.array(*HALVES)).alias("key")).where("key IS NOT NULL")
+    shared = keys.groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("key")
+    near = cut(keys.join(shared, "key", "left_semi").select("first", "a").distinct())
     # The words of those lines, each from its earliest place.
-    at = near.select("h", "first", F.col("first.d").alias("_d"), F.col("first.th").alias("_th"), F.col("first.line_no").alias("_line"))
-    asked = at.groupBy("_d", "_th").agg(F.collect_list(F.struct("_line", "h", "first")).alias("asked"))
-    texts = docs.select(place(F.col("doc_id").cast("bigint")).alias("_d"), F.xxhash64("text").alias("_th"), "text")
-    found = texts.join(asked, ["_d", "_th"]).select(F.split("text", "\n").alias("all"), F.explode("asked").alias("q"))
-    known = cut(found.select("q.h", "q.first", words(F.element_at("all", F.col("q._line") + 1)).alias("w")).dropDuplicates(["h"]))
-    link = near_links(known)
-    side = lambda name: known.select(F.col("h").alias(name), F.col("w").alias(f"w_{name}"))
+    asked = near.select(F.expr("cast(floor(first / 4294967296) AS bigint)").alias("_d"), F.expr("cast(first % 4294967296 AS int)").alias("_line"), "first", "a")
+    asked = asked.groupBy("_d").agg(F.collect_list(F.struct("_line", "first", "a")).alias("asked"))
+    found = docs.select(place_of_doc().alias("_d"), "text").join(asked, "_d").select(F.split(plain(F.col("text")), "\n").alias("all"), "asked")
+    found = found.select(F.explode(F.transform("asked", lambda q: F.struct(q["first"].alias("first"), q["a"].alias("a"), words(F.get("all", q["_line"])).alias("w")))).alias("q")).select("q.*")
+    known = cut(found.where(F.xxhash64("w") == F.col("a")).dropDuplicates(["first"]).select("first", "w"))
+    link = cut(near_links(known))
+    side = lambda name: known.select(F.col("first").alias(name), F.col("w").alias(f"w_{name}"))
     true = link.join(side("later"), "later").join(side("earlier"), "earlier").where(within_one(F.col("w_later"), F.col("w_earlier")))
-    near_gone = cut(true.select(F.col("later").alias("h")).distinct().withColumn("near", F.lit(True)))
-    again = distinct.join(near_gone, "h", "left").where("n > 1 OR near").select("h", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    place_of = F.struct(place(F.col("d")).alias("d"), "th", "line_no")
-    gone = lines.select("d", "th", "line_no", "h").join(again, "h").where(F.col("near") | (place_of != F.col("first")))
+    near_gone = true.select(F.col("later").alias("first")).distinct().withColumn("near", F.lit(True))
+    again = distinct.join(near_gone, "first", "left").where("n > 1 OR near").select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    gone = lines.select("d", "th", "line_no", "a", "b").join(again, ["a", "b"]).where(F.col("near") | (F.expr(PLACE) != F.col("first")))
     return gone.groupBy("d", "th").agg(F.collect_set("line_no").alias("gone"))
 
 
@@ -114,8 +120,8 @@ def dedup_lines(docs: DataFrame, count_col: str | None = "n_chars") -> DataFrame
     """The documents without the lines that go, all columns kept; ``_n_lines`` and ``_gone`` (their numbers, ascending) are added."""
     gone = cut(dropped_lines(docs))
     names = docs.columns
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("doc_id").cast("bigint").alias("_d"), F.xxhash64("text").alias("_th"))
-    both = own.join(gone, own["_d"].eqNullSafe(gone["d"]) & (own["_th"] == gone["th"]), "left")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), place_of_doc().alias("_d"), F.xxhash64("text").alias("_th"))
+    both = own.join(gone, (own["_d"] == gone["d"]) & (own["_th"] == gone["th"]), "left")
     both = both.select("_row", F.array_sort(F.coalesce("gone", F.array().cast("array<int>"))).alias("_gone"), F.split("_row.text", "\n").alias("_all"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_gone"))
     text = F.when(F.size("_gone") == 0, F.col("_row.text")).otherwise(F.array_join(F.transform(kept, lambda i: F.col("_all")[i]), "\n"))

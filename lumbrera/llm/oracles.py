@@ -24,7 +24,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 OP9 = """
 WITH l AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
-w AS (SELECT doc_id, i, list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\r\\f\\x0B]+'), lambda x: x <> '') AS w FROM l),
+w AS (SELECT doc_id, i, list_filter(string_split_regex(lower(line), '[ \\t\\r\\f\\x0B]+'), lambda x: x <> '') AS w FROM l),
 k AS (SELECT doc_id, i, w, array_to_string(w, ' ') AS s FROM w WHERE len(w) >= 5),
 first AS (SELECT s, any_value(w) AS w, min({'d': doc_id, 'i': i}) AS f FROM k GROUP BY s),
 v AS (SELECT s, w, f, p, array_to_string(list_concat(w[1:p - 1], w[p + 1:]), ' ') AS t FROM (SELECT s, w, f, unnest(range(1, len(w) + 1)) AS p FROM first)),

@@ -124,10 +124,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: in
     n = known.count()
     if n > fit_rows:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * fit_rows / n)))
-    # At most about FIT_ROWS texts are looked at for training, whatever the corpus is.
-    own = docs.select("doc_id", "text").join(known, "doc_id")
-    y = own.select("doc_id", "y").dropDuplicates(["doc_id"])
-    rows = cut(stats_table(own).dropDuplicates(["doc_id"]).join(y, "doc_id").withColumn("part", rest()))
+    # At most about FIT_ROWS labels, 16 bytes each, are sent to the executors, so no text is shuffled for training.
+    known = F.broadcast(cut(known))
+    rows = cut(stats_table(docs.select("doc_id", "text").join(known, "doc_id")).dropDuplicates(["doc_id"]).join(known, "doc_id").withColumn("part", rest()))
     train = rows.where("part <> 4")
     size = len(NAMES)
     moments = train.select(F.count("*"), F.avg("y"), *[F.avg(F.col("x")[i]) for i in range(size)], *[F.stddev_pop(F.col("x")[i]) for i in range(size)]).first()

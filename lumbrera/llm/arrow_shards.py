@@ -22,6 +22,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ from lumbrera.llm.common import bounded_batches, chunks, fresh_path, in_order, r
 SEQ_LEN = 2048
 BATCH_ROWS = 64
 CHUNK = 2 << 20
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 MANIFEST = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("file", T.StringType()), T.StructField("n_docs", T.LongType()), T.StructField("n_ids", T.LongType())])
 
 
@@ -52,7 +53,7 @@ class WordCache:
     def __init__(self, spec: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.lib = Tokenizer.from_str(spec)
-        probe = "Two words'll  do.\nit: náive ΣΣ <|endoftext|>x 12\t34..5 a.'s don't!? É... (x)"
+        probe = "TWO words'll  do.\nit: náive ΣΣ <|endoftext|>x 12\t34..5 a.'s don't!? É... (x)"
         parts = [w for w in pc.split_pattern(apart(pa.array([probe])), " ").values.to_pylist() if w]
         self.split = self.lib.encode(probe, add_special_tokens=False).ids == [i for w in parts for i in self.lib.encode(w, add_special_tokens=False).ids]
         self.clear()
@@ -67,17 +68,16 @@ class WordCache:
         for k in range(0, len(words), 4096):
             part = words[k : k + 4096]
             found = [e.ids for e in self.lib.encode_batch_fast(part, add_special_tokens=False)]
-            n = sum(map(len, found))
-            if self.used + n > len(self.ids):
-                self.ids = np.r_[self.ids, np.zeros(max(n, len(self.ids)), np.int32)]
-            for w, ids in zip(part, found, strict=True):
-                at = len(self.slot)
-                if at == len(self.size):
-                    self.size, self.start = np.r_[self.size, self.size * 0], np.r_[self.start, self.start * 0]
-                self.slot[w] = at
-                self.start[at], self.size[at] = self.used, len(ids)
-                self.ids[self.used : self.used + len(ids)] = ids
-                self.used += len(ids)
+            sizes = np.fromiter(map(len, found), np.int64, len(part))
+            n, at = int(sizes.sum()), len(self.slot)
+            while self.used + n > len(self.ids):
+                self.ids = np.r_[self.ids, self.ids * 0]
+            while at + len(part) > len(self.size):
+                self.size, self.start = np.r_[self.size, self.size * 0], np.r_[self.start, self.start * 0]
+            self.size[at : at + len(part)], self.start[at : at + len(part)] = sizes, self.used + np.cumsum(sizes) - sizes
+            self.ids[self.used : self.used + n] = np.fromiter(chain.from_iterable(found), np.int32, n)
+            self.used += n
+            self.slot.update(zip(part, range(at, at + len(part)), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts (no nulls), one after another, and their counts."""
@@ -100,7 +100,8 @@ class WordCache:
 
 
 def apart(texts: pa.Array) -> pa.Array:
-    """A space between a Latin letter and the punctuation after it, and for line feeds."""
+    """Lower case, as the tokenizer has it, where no special token can be meant; a space between a Latin letter and the punctuation after it, and for line feeds."""
+    texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
     return pc.replace_substring_regex(pc.replace_substring(texts, "\n", " "), r'([A-Za-zÀ-ÖØ-öø-ÿ])([.,!?:;#$%&*()"]+)', r"\1 \2")
 
 

@@ -47,11 +47,11 @@ def archive_ilike_search(spark: SparkSession, sf: str) -> DataFrame:
     return S.page(found, [F.col("published_on").desc_nulls_last(), F.col("entry_id")], 50, 1, None)
 
 
-@query("SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1994-01-01' AND DATE '1994-12-31'")
+@query("SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'")
 def date_range_inclusive(spark: SparkSession, sf: str) -> DataFrame:
     """Whole days at both ends. Bounds are compared with the raw timestamp, so they reach the scan."""
     o = table(spark, sf, "orders")
-    return o.where("o_orderdate >= TIMESTAMP_NTZ'1994-01-01 00:00:00' AND o_orderdate < TIMESTAMP_NTZ'1995-01-01 00:00:00'").select("o_orderkey")
+    return o.where("o_orderdate >= TIMESTAMP_NTZ'1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP_NTZ'1997-01-01 00:00:00'").select("o_orderkey")
 
 
 @query("SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1996-06-01'")

@@ -151,3 +151,29 @@ def test_entry_and_names():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 60
+
+
+def test_listings():
+    from lumbrera.sources import listings
+
+    html = '<ul><li class="views-row a"><time datetime="2024-01-02"></time><div class="readmore-group"><a href="/case/1">1234/5 Big Case</a></div><p class="margin-compact"><a href="/x.pdf">Judgment</a></p></li><li class="views-row">none</ul>'
+    got = listings.items(html, "https://site.org/list", listings.LAYOUTS["tribunal"])
+    assert got == [{"title": "1234/5 Big Case", "url": "https://site.org/case/1", "published": "2024-01-02", "category": "Judgment", "summary": None}]
+    assert listings.items(None, "", listings.LAYOUTS["dma"]) == []
+
+
+def test_catalogue_dates_and_limits(spark):
+    from lumbrera.sources import api
+
+    item = '{"DOI":"%s","title":["T"],"published":{"date-parts":[[%s]]},"author":[{"given":"A","family":"B"},{"name":"C"}]}'
+    body = '{"message":{"items":[' + ",".join(item % x for x in (("future", "2030"), ("new", "2024,5"), ("mid", "2024,4,2"), ("old", "2001"))) + "]}}"
+    got = api.catalogue_works(spark.createDataFrame([(1, body), (2, "no json")], "answer int, body string"), F.lit("2024-06-01").cast("date"), 365, 1).collect()
+    assert [(r["external_id"], str(r["published_on"]), r["author"]) for r in got] == [("new", "2024-05-01", "A B, C")]
+
+
+def test_people(spark):
+    from lumbrera.operators import agencies
+
+    rows = [("Thomas Funke", "Dr. Thomas G. Funke"), ("Pınar Öz", "pinar oz, LL.M."), ("Ann Lee", "Ann Bee"), ("Ann", "Ann Lee"), (None, "x")]
+    got = values(spark, F.coalesce(agencies.same_person(F.col("a"), F.col("b")), F.lit(False)), rows, "a string, b string")
+    assert got == [True, True, False, False, False]

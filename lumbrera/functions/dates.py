@@ -54,3 +54,16 @@ def next_run(now: Column, hour: int, zone: str, weekday: str | None = None) -> C
         first = F.next_day(F.date_sub(day, 1), weekday)
         return F.when(at(first) > now, at(first)).otherwise(at(F.date_add(first, 7)))
     return F.when(at(day) > now, at(day)).otherwise(at(F.date_add(day, 1)))
+
+
+def slug_date(url: Column, text: Column) -> Column:
+    """A date at 08:00 from an address such as /2025_03_04_x or /09_10_2026_x, a day-month order being told by the values, else by the text's own dd.mm.yyyy, else month first."""
+    iso, short, own = "/([0-9]{4})_([0-9]{2})_([0-9]{2})_", "/([0-9]{2})_([0-9]{2})_([0-9]{2,4})_", "\\b([0-9]{2})\\.([0-9]{2})\\.([0-9]{4})\\b"
+    n = lambda c, p, k: F.regexp_extract(c, p, k).try_cast("int")
+    made = lambda y, m, d: F.try_to_date(F.format_string("%04d-%02d-%02d", y, m, d), "yyyy-MM-dd")
+    p1, p2, y = n(url, short, 1), n(url, short, 2), n(url, short, 3)
+    year = F.when(y > 100, y).otherwise(y + 2000)
+    written = F.when(n(text, own, 1).isNotNull(), made(n(text, own, 3), n(text, own, 2), n(text, own, 1)))
+    slug = F.when(p1.isNull(), F.lit(None).cast("date")).when(p1 > 12, made(year, p2, p1)).when(p2 > 12, made(year, p1, p2)).otherwise(F.coalesce(written, made(year, p1, p2)))
+    first = F.when(n(url, iso, 1).isNotNull(), made(n(url, iso, 1), n(url, iso, 2), n(url, iso, 3)))
+    return F.timestamp_add("HOUR", F.lit(8), F.coalesce(first, slug, written).cast("timestamp"))

@@ -209,3 +209,17 @@ def next_version(v: Column) -> Column:
     minor, major = F.regexp_extract(v, "^(.*v[0-9]+\\.)([0-9]+)$", 2), F.regexp_extract(v, "^(.*v)([0-9]+)$", 2)
     up = lambda digits: (digits.try_cast("int") + 1).cast("string")
     return F.when(minor != "", F.concat(F.regexp_extract(v, "^(.*v[0-9]+\\.)([0-9]+)$", 1), up(minor))).when(major != "", F.concat(F.regexp_extract(v, "^(.*v)([0-9]+)$", 1), up(major))).otherwise(F.concat(v, F.lit(".1")))
+
+
+def document_title(manual: Column, embedded: Column, name: Column, fallback: str = "Untitled document") -> Column:
+    """The title given by hand, else the file's own if it is one, else its cleaned name."""
+    tidy = lambda c: F.trim(F.regexp_replace(c, "\\s+", " "))
+    meta = tidy(F.coalesce(F.try_url_decode(F.replace(embedded, F.lit("+"), F.lit("%2B"))), embedded))
+    meta = F.when((F.length(meta) >= 3) & ~F.lower(meta).rlike("^(untitled|sin título)"), meta)
+    base = F.regexp_extract(F.regexp_replace(F.trim(name), "[?#].*$", ""), "([^/\\\\]*)$", 1)
+    base = F.trim(F.coalesce(F.try_url_decode(F.replace(base, F.lit("+"), F.lit("%2B"))), base))
+    base = F.trim(F.regexp_replace(base, "(?i)\\.(pdf|txt|md|html|htm|doc|docx)$", ""))
+    count = lambda ch: F.length(base) - F.length(F.replace(base, F.lit(ch), F.lit("")))
+    base = F.when(count("_") > count(" "), F.replace(base, F.lit("_"), F.lit(" "))).otherwise(base)
+    base = tidy(F.regexp_replace(base, "(?i)^([a-f0-9]{16,}|[0-9]{5,})[\\s_\\-]+", ""))
+    return F.coalesce(*(F.nullif(c, F.lit("")) for c in (tidy(manual), meta, base)), F.lit(fallback))

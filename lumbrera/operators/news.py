@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -29,3 +29,23 @@ def plan(topics: DataFrame, entities: DataFrame, quota: int, entity_share: float
     t = t.crossJoin(F.broadcast(room)).where("pos < for_t").select("pos", "name")
     e = e.crossJoin(F.broadcast(room)).where("pos < for_e").select("pos", "name")
     return interleave(t, e).select(F.concat(F.lit("gn_en_"), F.lpad(F.col("place").cast("string"), 3, "0")).alias("query_id"), "kind", F.col("name").alias("text"))
+
+
+def social_jobs(entities: DataFrame, cap: int) -> DataFrame:
+    """entities(id, name, kind, url) with a web address as jobs: the first of each address, institutions first, at most ``cap``."""
+    url = F.trim("url")
+    rows = entities.withColumn("url", url).where(F.col("url").rlike("^https?://")).withColumn("key", F.lower(F.rtrim("url", F.lit("/"))))
+    rows = rows.withColumn("_n", F.row_number().over(W.partitionBy("key").orderBy("id"))).where("_n = 1").drop("_n")
+    priority = F.when(F.col("kind") == "institution", 90).when(F.col("kind") == "organization", 80).when(F.col("kind") == "person", 70).otherwise(50)
+    return rows.withColumn("priority", priority).orderBy(F.desc("priority"), "name", "id").limit(cap)
+
+
+UNRELIABLE = ["linkedin author", "unknown", "author", "linkedin user"]
+
+
+def provenance(author: Column, entity: Column, profile: Column, expected: Column) -> Column:
+    """Why a post is refused, or ``ok``: no reliable author, or a profile that is none of those expected."""
+    name = F.lower(F.trim(F.coalesce(author, F.lit(""))))
+    tidy = lambda c: F.regexp_replace(F.regexp_replace(F.lower(F.rtrim(F.regexp_replace(c, "[?#].*$", ""), F.lit("/"))), "^https?://", ""), "^([a-z0-9-]+\\.)*linkedin\\.com", "linkedin.com")
+    known = F.exists(expected, lambda e: tidy(e) == tidy(profile))
+    return F.when((name == "") | name.isin(*UNRELIABLE) | entity.isNull(), "missing_or_unreliable_author").when(~F.coalesce(known, F.lit(False)), "author_profile_url_mismatch").otherwise("ok")

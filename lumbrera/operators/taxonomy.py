@@ -58,3 +58,21 @@ def clone(topics: DataFrame, old: str, new: str) -> DataFrame:
     t = topics.select(F.concat_ws(":", F.lit(old), "topic").alias("old_id"), F.when(F.col("parent").isNotNull(), F.concat_ws(":", F.lit(old), "parent")).alias("old_parent"), "priority")
     up = ids.select(F.col("old_id").alias("old_parent"), F.col("new_id").alias("parent_id"))
     return t.join(F.broadcast(ids), "old_id").join(F.broadcast(up), "old_parent", "left").select(F.col("new_id").alias("topic_id"), "parent_id", "priority")
+
+
+def archive(topics: DataFrame, code: str) -> DataFrame:
+    """topics(topic, parent, active) with the topic and all below it inactive."""
+    below = closure(topics).where(F.col("ancestor") == code).select("topic", F.lit(True).alias("_hit"))
+    return topics.join(F.broadcast(below), "topic", "left").withColumn("active", F.col("active") & F.col("_hit").isNull()).drop("_hit")
+
+
+def reactivate(topics: DataFrame, code: str) -> DataFrame:
+    """The topic active again, without those below it; a topic whose parent is inactive stays as it is."""
+    up = topics.select(F.col("topic").alias("parent"), F.col("active").alias("_up"))
+    rows = topics.join(F.broadcast(up), "parent", "left")
+    return rows.withColumn("active", F.col("active") | ((F.col("topic") == code) & F.coalesce("_up", F.lit(True)))).select(*topics.columns)
+
+
+def activate(matrices: DataFrame, code: str) -> DataFrame:
+    """matrices(code, status) with one active: the active one before it is archived."""
+    return matrices.withColumn("status", F.when(F.col("code") == code, "active").when(F.col("status") == "active", "archived").otherwise(F.col("status")))

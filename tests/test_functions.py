@@ -177,3 +177,42 @@ def test_people(spark):
     rows = [("Thomas Funke", "Dr. Thomas G. Funke"), ("Pınar Öz", "pinar oz, LL.M."), ("Ann Lee", "Ann Bee"), ("Ann", "Ann Lee"), (None, "x")]
     got = values(spark, F.coalesce(agencies.same_person(F.col("a"), F.col("b")), F.lit(False)), rows, "a string, b string")
     assert got == [True, True, False, False, False]
+
+
+def test_slug_dates(spark):
+    rows = [("/2025_03_04_x", ""), ("/17_08_2026_x", ""), ("/08_17_26_x", ""), ("/09_10_2026_x", "vom 10.09.2026"), ("/09_10_2026_x", ""), ("/x", "17.08.2026"), ("/2025_13_40_x", ""), ("/x", "")]
+    got = values(spark, dates.slug_date(F.col("u"), F.col("t")).cast("string"), rows, "u string, t string")
+    assert got == ["2025-03-04 08:00:00", "2026-08-17 08:00:00", "2026-08-17 08:00:00", "2026-09-10 08:00:00", "2026-09-10 08:00:00", "2026-08-17 08:00:00", None, None]
+
+
+def test_document_titles(spark):
+    rows = [(" By  hand ", "m", "f"), (None, "Meta%20title", "f"), (None, "untitled", "http://x/17497725_Big_case%20name.pdf?x"), (None, None, None), ("", "ab", "C:\\dir\\note.md")]
+    assert values(spark, text.document_title(F.col("a"), F.col("b"), F.col("c")), rows, "a string, b string, c string") == ["By hand", "Meta title", "Big case name", "Untitled document", "note"]
+
+
+def test_taxonomy_edits(spark):
+    t = spark.createDataFrame([(a, b, True) for a, b, _ in TREE], "topic string, parent string, active boolean")
+    off = taxonomy.archive(t, "merger")
+    assert {r["topic"] for r in off.where("NOT active").collect()} == {"merger", "remedies"}
+    assert {r["topic"] for r in taxonomy.reactivate(off, "remedies").where("NOT active").collect()} == {"merger", "remedies"}
+    assert {r["topic"] for r in taxonomy.reactivate(off, "merger").where("NOT active").collect()} == {"remedies"}
+    m = spark.createDataFrame([("a", "active"), ("b", "draft"), ("c", "archived")], "code string, status string")
+    assert dict(map(tuple, taxonomy.activate(m, "b").collect())) == {"a": "archived", "b": "active", "c": "archived"}
+
+
+def test_jobs_and_provenance(spark):
+    from lumbrera.operators import news
+
+    e = spark.createDataFrame([(1, "Z", "person", "https://l.com/Z/"), (2, "A", "institution", "http://l.com/a"), (3, "B", "person", "https://L.com/z"), (4, "N", "person", "none")], "id int, name string, kind string, url string")
+    assert [(r["id"], r["priority"]) for r in news.social_jobs(e, 5).collect()] == [(2, 90), (1, 70)]
+    rows = [("Ann", "1", "https://es.linkedin.com/in/ann/?x"), ("Unknown", "1", "u"), ("Ann", None, "u"), ("Ann", "1", "https://linkedin.com/in/bob")]
+    got = values(spark, news.provenance(F.col("a"), F.col("e"), F.col("p"), F.array(F.lit("https://www.linkedin.com/in/ann"))), rows, "a string, e string, p string")
+    assert got == ["ok", "missing_or_unreliable_author", "missing_or_unreliable_author", "author_profile_url_mismatch"]
+
+
+def test_pdf_paragraphs(spark):
+    from lumbrera.sources import pdf
+
+    spans = [(1, 1, 50.0, 100.0, "First"), (1, 1, 90.0, 101.5, "line be-"), (1, 1, 50.0, 112.0, "gins here."), (1, 1, 50.0, 124.0, "Third."), (1, 1, 50.0, 160.0, "New paragraph.")]
+    got = pdf.paragraphs(spark.createDataFrame(spans, "doc int, page int, x double, y double, text string")).orderBy("paragraph").collect()
+    assert [r["text"] for r in got] == ["First line begins here. Third.", "New paragraph."]

@@ -222,3 +222,62 @@ def intersect_sources(spark: SparkSession, sf: str) -> DataFrame:
 def except_sources(spark: SparkSession, sf: str) -> DataFrame:
     a, b = nations(spark, sf)
     return a.subtract(b)
+
+
+@query("SELECT count(*) AS captured, count(*) FILTER (json_extract(props, '$.k') IS NOT NULL AND CAST(json_extract(props, '$.k') AS INT) > 90) AS timeouts, round(sum(value), 2) AS cost, count(DISTINCT user_id) AS deep, round(avg(value) FILTER (event_type <> 'error'), 4) AS avg_latency, CAST(min(event_id) AS BIGINT) AS first_id, CAST(max(event_id) AS BIGINT) AS last_id FROM events")
+def health_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals of a health report; latency is averaged over the calls that have one."""
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    e = table(spark, sf, "events")
+    return e.agg(F.count("*").alias("captured"), F.count_if(k > 90).alias("timeouts"), F.round(F.sum("value"), 2).alias("cost"), F.countDistinct("user_id").alias("deep"), F.round(F.avg(F.when(F.col("event_type") != "error", F.col("value"))), 4).alias("avg_latency"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+
+@query("SELECT user_id, found, failed, CASE WHEN failed = 0 THEN 'success' WHEN failed < found THEN 'partial' ELSE 'failed' END AS status, strftime(oldest, '%Y-%m-%d') AS oldest, strftime(latest, '%Y-%m-%d') AS latest FROM (SELECT user_id, count(*) AS found, count(*) FILTER (event_type = 'error') AS failed, min(ts) AS oldest, max(ts) AS latest FROM events GROUP BY user_id, CAST(ts AS DATE))")
+def run_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """A run a user and day: what it found, its dates and its status."""
+    e = table(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("d")).agg(F.count("*").alias("found"), F.count_if(F.col("event_type") == "error").alias("failed"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return e.select("user_id", "found", "failed", R.run_status(F.col("found"), F.col("failed")).alias("status"), day("a").alias("oldest"), day("b").alias("latest"))
+
+
+@query("SELECT coalesce(event_type, 'all') AS source, count(*) AS calls, round(sum(value), 2) AS cost, round(sum(value) / count(*), 4) AS mean FROM events GROUP BY ROLLUP (event_type)")
+def benchmark_costs(spark: SparkSession, sf: str) -> DataFrame:
+    """Costs by source, with their total."""
+    g = table(spark, sf, "events").rollup("event_type").agg(F.count("*").alias("calls"), F.round(F.sum("value"), 2).alias("cost"), F.round(F.sum("value") / F.count("*"), 4).alias("mean"))
+    return g.select(F.coalesce("event_type", F.lit("all")).alias("source"), "calls", "cost", "mean")
+
+
+@query("SELECT k AS run_id, coalesce(round(sum(value), 4), 0) AS cost FROM (SELECT unnest([1, 7, 101]) AS k) LEFT JOIN events ON CAST(json_extract(props, '$.k') AS INT) = k GROUP BY k")
+def run_cost(spark: SparkSession, sf: str) -> DataFrame:
+    """Cost by run id, a JSON field; a run without calls costs nothing."""
+    asked = spark.range(1).select(F.explode(F.array(F.lit(1), F.lit(7), F.lit(101))).alias("run_id"))
+    e = table(spark, sf, "events").select(F.get_json_object("props", "$.k").try_cast("int").alias("run_id"), "value").join(F.broadcast(asked), "run_id", "left_semi").groupBy("run_id").agg(F.round(F.sum("value"), 4).alias("cost"))
+    return asked.join(e, "run_id", "left").select("run_id", F.coalesce("cost", F.lit(0.0)).alias("cost"))
+
+
+AUDIT_WORDS = {"legal": ["the", "le", "der"], "corporate": ["with", "avec", "mit"]}
+
+
+@query(with_views("entries") + ", t AS (SELECT entry_id, title, lower(title) AS low FROM entries ORDER BY published_on DESC, entry_id LIMIT 10) SELECT entry_id, " + ", ".join(f"CAST(len(list_filter({w}, lambda x: contains(low, x))) AS BIGINT) AS {n}" for n, w in AUDIT_WORDS.items()) + " FROM t")
+def latest_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten latest publications with the hits of two word lists."""
+    t = entries(spark, sf).select("entry_id", "title", "published_on").orderBy(F.desc("published_on"), "entry_id").limit(10)
+    hits = lambda words: F.size(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower("title"), w))).cast("bigint")
+    return t.select("entry_id", *[hits(w).alias(n) for n, w in AUDIT_WORDS.items()])
+
+
+@query("SELECT 'no_pending' AS name, (SELECT count(*) FROM events WHERE event_type = 'pending') = 0 AS ok UNION ALL SELECT 'prices', (SELECT min(p_retailprice) FROM part) > 0 UNION ALL SELECT 'keys', (SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)) = 0")
+def preflight(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold before a backfill, a row each."""
+    a = table(spark, sf, "events").where("event_type = 'pending'").agg((F.count("*") == 0).alias("ok")).select(F.lit("no_pending").alias("name"), "ok")
+    b = table(spark, sf, "part").agg((F.min("p_retailprice") > 0).alias("ok")).select(F.lit("prices").alias("name"), "ok")
+    keys = table(spark, sf, "orders").groupBy("o_orderkey").agg(F.count("*").alias("n")).where("n > 1").agg((F.count("*") == 0).alias("ok")).select(F.lit("keys").alias("name"), "ok")
+    return a.unionByName(b).unionByName(keys)
+
+
+@query(with_views("entries") + "SELECT entry_id, len(list_intersect(list_distinct(list_filter(string_split_regex(lower(title), '[^a-z]+'), lambda x: len(x) > 3)), list_distinct(list_filter(string_split_regex(lower(substring(content, 1, 3000)), '[^a-z]+'), lambda x: len(x) > 3)))) >= 2 OR contains(lower(content), lower(source)) AS same_document FROM entries")
+def pdf_identity(spark: SparkSession, sf: str) -> DataFrame:
+    """Is a fetched text the document that its entry names? Two long title words near its start, or its number."""
+    bag = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda x: F.length(x) > 3))
+    both = F.size(F.array_intersect(bag(F.col("title")), bag(F.substring("content", 1, 3000)))) >= 2
+    return entries(spark, sf).select("entry_id", (both | F.contains(F.lower("content"), F.lower("source"))).alias("same_document"))

@@ -324,6 +324,17 @@ def test_passages_of_many_copies(spark, monkeypatch):
     assert got[0]["n_passages"] == 0 and all(got[k]["sources"] == [0] and got[k]["n_words"] >= 120 for k in range(1, 30))
 
 
+def test_passages_of_repeats(spark):
+    unit, notice = prose(80, 40), prose(81, 8)
+    phrase = f"{prose(82, 20)} {prose(83, 7)} {prose(83, 7)} {prose(84, 18)}"
+    rows = []
+    for k, own in enumerate((" ".join([unit] * 10), " ".join([notice] * 50), phrase)):
+        rows += [(10 * k + j, f"{prose(90 + 10 * k + j, 70)} {own} {prose(190 + 10 * k + j, 70)}") for j in (1, 2)]
+    got = {x["doc_id"]: (x["sources"], x["spans"]) for x in passages.digest(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[2] == ([1], "70:469") and got[12] == ([11], "70:469") and got[22] == ([21], "70:121")
+    assert all(got[k] == ([], "") for k in (1, 11, 21))
+
+
 CLASH = ", n_tokens int, ids_sha256 string, fingerprint string, score double, spans string, h string, d string, th string, gone string, rep int, root int, node int, _shard int, x string, key string, leader string, fp string, component_id string, n string, w string, near string"
 ROWS = [(1, "one two three four five six"), (1, "one two three four five six"), (2, None), (3, ""), (None, "lost words have no number here"), (4, "one two three four five seven"), (5, " \n\t "), (6, f"mail {EMAIL} now")]
 

@@ -324,6 +324,16 @@ def test_passages_of_many_copies(spark, monkeypatch):
     assert got[0]["n_passages"] == 0 and all(got[k]["sources"] == [0] and got[k]["n_words"] >= 120 for k in range(1, 30))
 
 
+def test_passages_behind_unlike_leaders(spark):
+    rows = []
+    for k in range(12):
+        line = prose(300 + k, 48)  # too short for a passage; the documents that have only it lead its signatures
+        own = [line] * 4 + [f"a{k} {line} b{k}"] * 2
+        rows += [(10 * k + j, f"{prose(1000 + 10 * k + j, 60)} {x} {prose(2000 + 10 * k + j, 60)}") for j, x in enumerate(own)]
+    got = {x["doc_id"]: (x["sources"], x["spans"]) for x in passages.digest(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(got[k] == (([k - 1], "60:109") if k % 10 == 5 else ([], "")) for k in got)
+
+
 def test_passages_of_repeats(spark):
     unit, notice = prose(80, 40), prose(81, 8)
     phrase = f"{prose(82, 20)} {prose(83, 7)} {prose(83, 7)} {prose(84, 18)}"

@@ -1,8 +1,8 @@
 """Personal data: patterns, and terms that disclose them.
 
-Base spans are e-mail addresses, IP addresses, card and phone numbers. Beyond them, the words around each base value are gathered over the
-whole corpus: for a value e and a term t, co(e, t) counts the distinct contexts (windows of words) in which they stand
-together, so that copies of one passage count once, and df(t) counts the documents with t. The term discloses the value if
+Base spans are e-mail addresses, IP addresses, card and phone numbers. Beyond them, the words of the documents with each base value are gathered
+over the whole corpus: for a value e and a term t, co(e, t) counts the distinct documents in which both stand, and df(t) the distinct
+documents with t. Documents of one text count once. The term discloses the value if
 co >= MIN_CONTEXTS, P(e | t) = co / df >= MIN_SHARE and the normalised pointwise mutual information of e and t is
 MIN_NPMI or more. Disclosing terms are spans of kind ``term`` in every document: ``sanitise`` removes those with P >= REMOVE_SHARE and
 generalises the others.
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from lumbrera.llm.common import bounded_batches, chunks, cut, strings
 
 KINDS = ("email", "ip", "card", "phone", "term")
-WINDOW = 5
 MIN_CONTEXTS = 3
 MIN_SHARE = 0.5
 REMOVE_SHARE = 0.9
@@ -94,79 +93,116 @@ def lower(text: str) -> str:
     return text.encode().translate(LOWER).decode()
 
 
-def contexts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(entity, term, context): the words within WINDOW words of each base value."""
+def text_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode()) >> 1
+
+
+def values(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(entity, text): the base values, hashed, and the hash of each text with them."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in chunks(whole, 0):
-                ent, term, ctx = [], [], []
+                ent, mark = [], []
                 for text in strings(b.column(0)).to_pylist():
-                    spans = base_spans(text)
-                    if not spans:
-                        continue
-                    covered = sorted((x, y) for _, x, y in spans)
-                    for kind, x, y in spans:
-                        near = around(text, x, y, covered)
-                        mark = xxhash.xxh3_64_intdigest(" ".join(near)) >> 1
-                        for w in {w for w in near if is_term(w)}:
-                            ent.append(value_of(kind, text[x:y]))
-                            term.append(w)
-                            ctx.append(mark)
+                    own = {text_hash(value_of(kind, text[x:y])) for kind, x, y in base_spans(text)}
+                    ent += own
+                    mark += [text_hash(text)] * len(own) if own else []
                 if ent:
-                    yield pa.RecordBatch.from_arrays([pa.array(ent), pa.array(term), pa.array(ctx, pa.int64())], ["entity", "term", "context"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ent, pa.int64()), pa.array(mark, pa.int64())], ["entity", "text"])
 
-    return docs.select(text_col).mapInArrow(work, "entity string, term string, context bigint")
+    return docs.select(text_col).mapInArrow(work, "entity bigint, text bigint")
 
 
-def around(text: str, x: int, y: int, covered: list[tuple[int, int]]) -> list[str]:
-    """Lower-cased words beside text[x:y], those of other base values left out."""
-    reach = 40 * WINDOW
-    lo, hi = max(0, x - reach), min(len(text), y + reach)
-    left = [m for m in WORD.finditer(text, lo, x)]
-    right = [m for m in WORD.finditer(text, y, hi)]
-    if lo and left and left[0].start() == lo:
-        left = left[1:]
-    if hi < len(text) and right and right[-1].end() == hi:
-        right = right[:-1]
-    return [lower(m.group()) for m in [*left[-WINDOW:], *right[:WINDOW]] if not any(a < m.end() and m.start() < b for a, b in covered)]
+def parted(rows: DataFrame, key: str) -> list[DataFrame]:
+    """The rows in parts of about MAX_TERMS at most."""
+    n = rows.count()
+    parts = -(-n // MAX_TERMS)
+    return [rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) == k) if parts > 1 else rows for k in range(parts)]
 
 
-def term_counts(docs: DataFrame, terms: DataFrame, text_col: str = "text") -> DataFrame:
-    """(term, df): documents with each of the terms. The terms are sent out MAX_TERMS at most at a time."""
-    n = terms.count()
-    parts = max(1, -(-n // MAX_TERMS))
-    out = None
-    for k in range(parts):
-        own = terms.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k) if parts > 1 else terms
+def together(docs: DataFrame, entities: DataFrame, text_col: str = "text") -> DataFrame:
+    """(entity, term, text): the words of each text with one of the entities, those within base values left out."""
+    out = docs.sparkSession.createDataFrame([], "entity bigint, term string, text bigint")
+    for own in parted(entities, "entity"):
+        held = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in own.collect()))
+
+        def work(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for b in chunks(whole, 0):
+                    for text in strings(b.column(0)).to_pylist():
+                        spans = base_spans(text)
+                        ents = {e for kind, x, y in spans if (e := text_hash(value_of(kind, text[x:y]))) in held.value}
+                        if ents:
+                            terms = pa.array(sorted(words_beside(text, spans)), pa.string())
+                            mark = pa.array([text_hash(text)] * len(terms), pa.int64())
+                            for e in ents:
+                                yield pa.RecordBatch.from_arrays([pa.array([e] * len(terms), pa.int64()), terms, mark], ["entity", "term", "text"])
+
+        out = out.unionAll(docs.select(text_col).mapInArrow(work, "entity bigint, term string, text bigint"))
+    return out
+
+
+def words_beside(text: str, spans: list[Span]) -> set[str]:
+    """The text's terms, lower-cased, that stand somewhere outside its base values."""
+    out, at = set(), 0
+    for x, y in [*sorted((x, y) for _, x, y in spans), (len(text), len(text))]:
+        # A word that a value cuts is no term.
+        found = [m for m in WORD.finditer(text, at, max(at, x)) if not (m.end() == x and x < len(text) and WORD.match(text, x)) and not (m.start() == at > 0 and WORD.match(text, at - 1))]
+        out.update(w for w in {lower(m.group()) for m in found} if is_term(w))
+        at = max(at, y)
+    return out
+
+
+def term_texts(docs: DataFrame, terms: DataFrame, exact: bool, text_col: str = "text") -> DataFrame:
+    """(term, n): how many distinct texts of one task have each of the terms; with ``exact`` (term, n), n being the hash of each such text."""
+    out = docs.sparkSession.createDataFrame([], "term string, n bigint")
+    for own in parted(terms, "term"):
         held = docs.sparkSession.sparkContext.broadcast(frozenset(r[0].encode() for r in own.collect()))
 
         def work(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             counts: dict[bytes, int] = {}
+            seen: set[int] = set()
             for whole in batches:
                 for b in chunks(whole, 0):
+                    word, mark = [], []
                     for text in strings(b.column(0)).to_pylist():
+                        own = text_hash(text)
+                        if own in seen:
+                            continue
+                        seen.add(own)
                         for w in held.value.intersection(text.encode().translate(FOLD).split()):
-                            counts[w] = counts.get(w, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in counts], pa.string()), pa.array(counts.values(), pa.int64())], ["term", "df"])
-
-        one = docs.select(text_col).mapInArrow(work, "term string, df bigint") if n else docs.sparkSession.createDataFrame([], "term string, df bigint")
-        out = one if out is None else out.unionAll(one)
-    return out.groupBy("term").agg(F.sum("df").alias("df"))
+                            if exact:
+                                word.append(w.decode())
+                                mark.append(own)
+                            else:
+                                counts[w] = counts.get(w, 0) + 1
+                    if word:
+                        yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(mark, pa.int64())], ["term", "n"])
+            if counts:
+                yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in counts], pa.string()), pa.array(counts.values(), pa.int64())], ["term", "n"])
+
+        out = out.unionAll(docs.select(text_col).mapInArrow(work, "term string, n bigint"))
+    return out
 
 
 def disclosing(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(term, share): the terms that disclose a base value, with the highest P(e | t)."""
     bounded_batches(docs.sparkSession)
-    seen = cut(contexts(docs, text_col=text_col).distinct())
-    per_entity = seen.groupBy("entity").agg(F.countDistinct("context").alias("n_e"))
-    co = cut(seen.groupBy("entity", "term").agg(F.count("*").alias("co")).where(F.col("co") >= MIN_CONTEXTS).join(per_entity, "entity"))
-    total = docs.count()
-    df = term_counts(docs, co.select("term").distinct(), text_col)
+    # A value of fewer documents cannot reach MIN_CONTEXTS with any term.
+    per_entity = cut(values(docs, text_col).distinct().groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= MIN_CONTEXTS))
+    seen = together(docs, per_entity.select("entity"), text_col).distinct()
+    co = cut(seen.groupBy("entity", "term").agg(F.count("*").alias("co")).where(F.col("co") >= MIN_CONTEXTS))
+    # The distinct texts of a task are no more than those of all: most common words leave here.
+    most = co.groupBy("term").agg(F.max("co").alias("co"))
+    least = term_texts(docs, most.select("term"), False, text_col).groupBy("term").agg(F.max("n").alias("n"))
+    rare = cut(most.join(least, "term").where(F.col("co") >= MIN_SHARE * F.col("n")).select("term"))
+    df = term_texts(docs, rare, True, text_col).distinct().groupBy("term").agg(F.count("*").alias("df"))
+    total = docs.select(F.xxhash64(F.coalesce(text_col, F.lit("")))).distinct().count()
     share = F.least(F.lit(1.0), F.col("co") / F.col("df"))
     pmi = F.log2(F.col("co") * F.lit(float(total)) / (F.col("df") * F.col("n_e")))
     npmi = pmi / F.greatest(F.log2(F.lit(float(total)) / F.col("co")), F.lit(1e-9))
-    return co.join(df, "term").where((share >= MIN_SHARE) & (npmi >= MIN_NPMI)).groupBy("term").agg(F.max(share).alias("share"))
+    return co.join(per_entity, "entity").join(df, "term").where((share >= MIN_SHARE) & (npmi >= MIN_NPMI)).groupBy("term").agg(F.max(share).alias("share"))
 
 
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,share:double>>"

@@ -142,6 +142,13 @@ def test_copies_disclose_nothing(spark):
     assert privacy.disclosing(docs).count() == 0
 
 
+def test_far_terms_disclose(spark):
+    """Terms far from the value, in documents with one signature block and with copies of them."""
+    rows = [(10 * k + j, f"jsmithy wrote {prose(k, 40)} regards {EMAIL} from the office of the north wing") for k in range(4) for j in range(5)]
+    docs = spark.createDataFrame(rows + [(500 + k, f"other regards from the office of the north wing wrote {k}") for k in range(90)] + [(700, "jsmithy alone")], DOCS)
+    assert [(r["term"], r["share"]) for r in privacy.disclosing(docs).collect()] == [("jsmithy", 0.8)]
+
+
 def test_licences_against_brute_force():
     scan, texts, r = licence_scan.Templates(templates()), templates(), random.Random(3)
 

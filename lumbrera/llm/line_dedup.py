@@ -12,7 +12,7 @@ more). A line goes if an equal line or one within that bound stands earlier, by
 
 Lines shorter than ``MIN_WORDS`` words are left as they are. Lines are lower-cased; words are split at ASCII white space. Null and empty texts stay as
 they are. Rows that repeat a doc_id count as one document: no line is a repeat of the one at its own place. Lines of a null doc_id
-count as the last. Other columns are kept whatever their names. An empty table gives an empty one.
+count as the last; different texts without a doc_id are different documents, equal ones are one. Other columns are kept whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -62,8 +62,10 @@ def half_keys(w: Column) -> list[Column]:
 
 
 HALVES = ["k1", "k2", "k3", "k4"]
-#: A line's place, and so its name: doc_id and line number in one number, which grouped minima can update in place.
-PLACE = "cast(d AS decimal(20,0)) * 4294967296 + line_no"
+#: A line's place, and so its name: doc_id and line number in one number, and the text's hash, as rows may share a doc_id or have none.
+PLACE = "struct(cast(d AS decimal(20,0)) * 4294967296 + line_no AS p, th)"
+#: Texts with one doc_id are one document; those without one are not.
+APART = f"{{0}}.p <> {{1}}.p OR {{0}}.p >= cast({LAST} AS decimal(20,0)) * 4294967296"
 
 
 def near_links(lines: DataFrame) -> DataFrame:
@@ -102,17 +104,17 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("key")
     near = cut(keys.join(shared, "key", "left_semi").select("first", "a").distinct())
     # The words of those lines, each from its earliest place.
-    asked = near.select(F.expr("cast(floor(first / 4294967296) AS bigint)").alias("_d"), F.expr("cast(first % 4294967296 AS int)").alias("_line"), "first", "a")
-    asked = asked.groupBy("_d").agg(F.collect_list(F.struct("_line", "first", "a")).alias("asked"))
-    found = docs.select(place_of_doc().alias("_d"), "text").join(asked, "_d").select(F.split(plain(F.col("text")), "\n").alias("all"), "asked")
+    asked = near.select(F.expr("cast(floor(first.p / 4294967296) AS bigint)").alias("_d"), F.col("first.th").alias("_th"), F.expr("cast(first.p % 4294967296 AS int)").alias("_line"), "first", "a")
+    asked = asked.groupBy("_d", "_th").agg(F.collect_list(F.struct("_line", "first", "a")).alias("asked"))
+    found = docs.select(place_of_doc().alias("_d"), F.xxhash64("text").alias("_th"), "text").join(asked, ["_d", "_th"]).select(F.split(plain(F.col("text")), "\n").alias("all"), "asked")
     found = found.select(F.explode(F.transform("asked", lambda q: F.struct(q["first"].alias("first"), q["a"].alias("a"), words(F.get("all", q["_line"])).alias("w")))).alias("q")).select("q.*")
     known = cut(found.where(F.xxhash64("w") == F.col("a")).dropDuplicates(["first"]).select("first", "w"))
     link = cut(near_links(known))
     side = lambda name: known.select(F.col("first").alias(name), F.col("w").alias(f"w_{name}"))
-    true = link.join(side("later"), "later").join(side("earlier"), "earlier").where(within_one(F.col("w_later"), F.col("w_earlier")))
+    true = link.join(side("later"), "later").join(side("earlier"), "earlier").where(within_one(F.col("w_later"), F.col("w_earlier")) & F.expr(APART.format("later", "earlier")))
     near_gone = true.select(F.col("later").alias("first")).distinct().withColumn("near", F.lit(True))
     again = distinct.join(near_gone, "first", "left").where("n > 1 OR near").select("a", "b", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = lines.select("d", "th", "line_no", "a", "b").join(again, ["a", "b"]).where(F.col("near") | (F.expr(PLACE) != F.col("first")))
+    gone = lines.select("d", "th", "line_no", "a", "b").join(again, ["a", "b"]).withColumn("own", F.expr(PLACE)).where(F.col("near") | ((F.col("own") != F.col("first")) & F.expr(APART.format("own", "first"))))
     return gone.groupBy("d", "th").agg(F.collect_set("line_no").alias("gone"))
 
 

@@ -184,6 +184,12 @@ def test_licences_against_brute_force():
     assert scan.matches(wrapped)[0][0] == "MIT"
 
 
+def test_licences_that_stand_again():
+    scan, text = licence_scan.Templates([("A", "one two three four five six"), ("B", "one two three four five seven")]), "one two three four five six"
+    assert [m[:3] for m in scan.matches(f"{text} pad {text}")] == [("A", 0, 5), ("A", 7, 12)]
+    assert [m[:3] for m in scan.matches(f"{text} pad one two three four five x seven")] == [("A", 0, 5), ("A", 7, 11)]
+
+
 def brute_windows(text, items, window=10):
     ws, hit, found = decontaminate.words(text), set(), set()
     for key, t in items:
@@ -299,6 +305,12 @@ def test_lines_against_brute_force(spark):
     assert got == want and any(want.values())
 
 
+def test_lines_without_numbers(spark):
+    docs = [(1, "one two three four five six"), (None, "one two three four five seven"), (None, "a lone line that stays here"), (None, "same words in both texts\nx"), (None, "same words in both texts\ny")]
+    got = [x["gone"] for x in line_dedup.digest(spark.createDataFrame(docs, DOCS)).orderBy("gone").collect()]
+    assert got == ["", "", "", "0", "0"]
+
+
 def test_lines_leave_plans_native(spark):
     plan = line_dedup.dropped_lines(spark.createDataFrame([(1, "a b c d e")], DOCS))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

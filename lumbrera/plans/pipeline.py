@@ -277,7 +277,7 @@ def preflight(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(with_views("entries") + "SELECT entry_id, len(list_intersect(list_distinct(list_filter(string_split_regex(lower(title), '[^a-z]+'), lambda x: len(x) > 3)), list_distinct(list_filter(string_split_regex(lower(substring(content, 1, 3000)), '[^a-z]+'), lambda x: len(x) > 3)))) >= 2 OR contains(lower(content), lower(source)) AS same_document FROM entries")
 def pdf_identity(spark: SparkSession, sf: str) -> DataFrame:
-    """Is a fetched text the document that its entry names? Two long title words near its start, or its number."""
+    """Is a fetched text the document that its entry names? Two long title words in it, or its number."""
     bag = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda x: F.length(x) > 3))
-    both = F.size(F.array_intersect(bag(F.col("title")), bag(F.substring("content", 1, 3000)))) >= 2
+    both = F.size(F.array_intersect(bag(F.col("title")), bag(F.col("content")))) >= 2
     return entries(spark, sf).select("entry_id", (both | F.contains(F.lower("content"), F.lower("source"))).alias("same_document"))

@@ -6,7 +6,8 @@ q / (2 - q) <= s / t <= (2 - q) / q; these bounds, with the number of the templa
 stretches out before a coefficient is computed. The best stretch begins and ends with a bigram of the template, so only
 those are tried, and none is missed.
 
-Of matches that overlap, the one of the highest coefficient stays (then the longer, then the earlier, then by name). Words are maximal runs of
+Of matches that overlap, the one of the highest coefficient stays (then the longer, then the earlier, then by name). The words left
+before, between and after the matches are compared again until none matches, so a text that stands several times is found each time. Words are maximal runs of
 ASCII letters (A-Z lower-cased), digits and non-ASCII characters. Null or empty texts, and texts of one word, have no matches. Repeated rows
 give repeated results; a null doc_id stays null. Other columns are not read. An empty table gives an empty one.
 """
@@ -52,8 +53,20 @@ class Templates:
         self.bounds = [(least / (2 - least) * t, (2 - least) / least * t) for t in self.sizes]
 
     def matches(self, text: str) -> list[Match]:
-        """(licence, first word, last word, coefficient) by first word."""
+        """(licence, first word, last word, coefficient) by first word; the words left between matches are looked at again."""
         ws = text.encode().translate(FOLD).split()
+        out: list[Match] = []
+        left = [(0, len(ws))]
+        while left:
+            lo, hi = left.pop()
+            found = [(name, lo + a, lo + b, dice) for name, a, b, dice in self.once(ws[lo:hi])]
+            if found:
+                out += found
+                left += zip([lo, *(b + 1 for _, _, b, _ in found)], [*(a for _, a, _, _ in found), hi], strict=True)
+        return sorted(out, key=lambda m: m[1])
+
+    def once(self, ws: list[bytes]) -> list[Match]:
+        """The best stretch of each template, those left out that overlap a better one."""
         if len(ws) < 2:
             return []
         get = self.vocab.get

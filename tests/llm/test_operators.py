@@ -343,7 +343,9 @@ def test_passages_of_many_copies(spark, monkeypatch):
     assert got[0]["n_passages"] == 0 and all(got[k]["sources"] == [0] and got[k]["n_words"] >= 120 for k in range(1, 30))
 
 
-def test_passages_behind_unlike_leaders(spark):
+@pytest.mark.parametrize("group", [passages.GROUP, 6])
+def test_passages_behind_unlike_leaders(spark, monkeypatch, group):
+    monkeypatch.setattr(passages, "GROUP", group)  # frequent signatures are told apart by the words about them
     rows = []
     for k in range(12):
         line = prose(300 + k, 48)  # too short for a passage; the documents that have only it lead its signatures
@@ -353,6 +355,40 @@ def test_passages_behind_unlike_leaders(spark):
     assert all(got[k] == (([k - 1], "60:109") if k % 10 == 5 else ([], "")) for k in got)
 
 
+def shingle_set(ws):
+    return {tuple(ws[k : k + 5]) for k in range(len(ws) - 4)}
+
+
+@pytest.mark.parametrize("group", [passages.GROUP, 8])
+def test_passages_recall_in_groups_of_edited_copies(spark, monkeypatch, group):
+    """Brute force: of the copies that are near some earlier copy of their group, nine in ten at least are found at each width and rate."""
+    monkeypatch.setattr(passages, "GROUP", group)
+    r, rows, own, kinds = random.Random(7), [], {}, [(60, 0.02), (60, 0.03), (80, 0.02), (80, 0.03)]
+    for g in range(36):
+        size, rate = kinds[g % 4]
+        base = prose(5000 + g, size).split()
+        for k in range(40):
+            copy = [f"x{r.randrange(10**6)}" if r.random() < rate else w for w in base]
+            own[100 * g + k] = shingle_set(copy)
+            rows.append((100 * g + k, f"{prose(r.random(), 40)} {' '.join(copy)} {prose(r.random(), 40)}"))
+    near = lambda a, b: len(own[a] & own[b]) / len(own[a] | own[b]) >= 0.8
+    want = {d for d in own if any(near(d, e) for e in range(d - d % 100, d))}
+    got = {x["doc_id"]: x["sources"] for x in passages.digest(spark.createDataFrame(rows, DOCS)).collect() if x["n_passages"]}
+    for kind in range(4):
+        these = {d for d in want if d // 100 % 4 == kind}
+        print(kinds[kind], len(these), len(these & set(got)) / len(these))
+        assert len(these) > 30 and len(these & set(got)) >= 0.9 * len(these)
+    assert all(s < d and s // 100 == d // 100 for d, sources in got.items() for s in sources)
+
+
+def test_passages_of_rows_with_one_number(spark):
+    own, other = prose(600, 80), prose(601, 80)
+    rows = [(1, f"{prose(602, 60)} {own}"), (1, f"{prose(603, 60)} {other}"), (2, f"{own} {prose(604, 40)}"), (3, f"{other} {prose(605, 40)}")]
+    rows += [rows[0]]
+    got = {(x["doc_id"], x["spans"]): x["sources"] for x in passages.digest(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[(2, "0:79")] == [1] and got[(3, "0:79")] == [1] and got[(1, "")] == []
+
+
 def test_passages_of_repeats(spark):
     unit, notice = prose(80, 40), prose(81, 8)
     phrase = f"{prose(82, 20)} {prose(83, 7)} {prose(83, 7)} {prose(84, 18)}"

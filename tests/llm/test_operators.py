@@ -343,9 +343,7 @@ def test_passages_of_many_copies(spark, monkeypatch):
     assert got[0]["n_passages"] == 0 and all(got[k]["sources"] == [0] and got[k]["n_words"] >= 120 for k in range(1, 30))
 
 
-@pytest.mark.parametrize("group", [passages.GROUP, 6])
-def test_passages_behind_unlike_leaders(spark, monkeypatch, group):
-    monkeypatch.setattr(passages, "GROUP", group)  # frequent signatures are told apart by the words about them
+def test_passages_behind_unlike_leaders(spark):
     rows = []
     for k in range(12):
         line = prose(300 + k, 48)  # too short for a passage; the documents that have only it lead its signatures
@@ -359,12 +357,12 @@ def shingle_set(ws):
     return {tuple(ws[k : k + 5]) for k in range(len(ws) - 4)}
 
 
-@pytest.mark.parametrize("group", [passages.GROUP, 8])
-def test_passages_recall_in_groups_of_edited_copies(spark, monkeypatch, group):
+@pytest.mark.parametrize("leaders", [passages.LEADERS, (3, 12)])
+def test_passages_recall_in_groups_of_edited_copies(spark, monkeypatch, leaders):
     """Brute force: of the copies that are near some earlier copy of their group, nine in ten at least are found at each width and rate."""
-    monkeypatch.setattr(passages, "GROUP", group)
+    monkeypatch.setattr(passages, "LEADERS", leaders)  # many rounds
     r, rows, own, kinds = random.Random(7), [], {}, [(60, 0.02), (60, 0.03), (80, 0.02), (80, 0.03)]
-    for g in range(36):
+    for g in range(20):
         size, rate = kinds[g % 4]
         base = prose(5000 + g, size).split()
         for k in range(40):

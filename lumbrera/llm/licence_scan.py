@@ -1,10 +1,12 @@
 """Licence scans by Dice coefficient over word bigrams.
 
-A document's words are compared with licence templates: for each template, the stretch of words whose set of bigrams has the highest Dice
-coefficient with the template's. A stretch of s distinct bigrams and a template of t can only reach a coefficient of q if
-q / (2 - q) <= s / t <= (2 - q) / q; these bounds, with the number of the template's own bigrams that a stretch holds, leave most templates and
-stretches out before a coefficient is computed. The best stretch begins and ends with a bigram of the template, so only
-those are tried, and none is missed.
+A document's words are compared with licence templates: for each template and each place where one of its bigrams stands, the stretch from there
+whose set of bigrams has the highest Dice coefficient with the template's. A stretch of s distinct bigrams and a template of t can only reach a
+coefficient of q if q / (2 - q) <= s / t <= (2 - q) / q; these bounds, with the number of the template's own distinct bigrams that a text and a
+stretch hold, leave most templates and stretches out before a coefficient is computed. The best stretch begins and ends with a bigram of the
+template, each of them new to it, so only those are tried, and none is missed. Going through the words from the last to the first, the
+distinct bigrams that follow are kept in the order in which they first stand, so a place takes one look at no more of them than the
+upper bound allows, however often they are repeated: the work is in proportion to the text.
 
 Of matches that overlap, the one of the highest coefficient stays (then the longer, then the earlier, then by name). The words left
 before, between and after the matches are compared again until none matches, so a text that stands several times is found each time. Words are maximal runs of
@@ -14,7 +16,10 @@ give repeated results; a null doc_id stays null. Other columns are not read. An
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import OrderedDict
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +71,7 @@ class Templates:
         return sorted(out, key=lambda m: m[1])
 
     def once(self, ws: list[bytes]) -> list[Match]:
-        """The best stretch of each template, those left out that overlap a better one."""
+        """The best stretches, those left out that overlap a better one."""
         if len(ws) < 2:
             return []
         get = self.vocab.get
@@ -74,52 +79,63 @@ class Templates:
         key = ids[:-1] * self.base + ids[1:]
         at = np.searchsorted(self.keys, key)
         at[at == len(self.keys)] = 0
-        spots = np.flatnonzero((self.keys[at] == key) & (ids[:-1] > 0) & (ids[1:] > 0))
-        if not len(spots):
-            return []
+        here = (self.keys[at] == key) & (ids[:-1] > 0) & (ids[1:] > 0)
         hits: dict[int, list[int]] = {}
-        for p, k in zip(spots.tolist(), at[spots].tolist(), strict=True):
+        for k in np.unique(at[here]).tolist():
             for t in self.where[k]:
-                hits.setdefault(t, []).append(p)
-        grams = None
+                hits.setdefault(t, []).append(k)
+        # With fewer of its bigrams a template cannot reach the least coefficient.
+        hits = {t: own for t, own in hits.items() if len(own) >= self.least * self.sizes[t] / (2 - self.least) - 1e-9}
+        if not hits:
+            return []
+        number: dict[tuple[bytes, bytes], int] = {}
+        grams = [number.setdefault(g, len(number)) for g in zip(ws, ws[1:], strict=False)]
         found: list[tuple[float, int, int, str]] = []
         for t, own in hits.items():
-            size = self.sizes[t]
-            low, high = self.bounds[t]
-            if len(own) < self.least * size / (2 - self.least) - 1e-9:
-                continue  # even a stretch of these alone would be too small
-            if grams is None:
-                grams = list(zip(ws, ws[1:], strict=False))
-            best = self.best(own, grams, key, size, low, high)
-            if best:
-                found.append((*best, self.names[t]))
+            places = np.flatnonzero(here & np.isin(at, own)).tolist()
+            ours = bytearray(len(number))
+            for p in places:
+                ours[grams[p]] = 1
+            best = self.from_each(t, places, grams, ours)
+            best.sort(key=lambda m: (-m[0], m[1], m[2]))
+            found += [(*m, self.names[t]) for m in apart(best)]
         found.sort(key=lambda m: (-m[0], m[1] - m[2], m[1], m[3]))
-        out: list[Match] = []
-        for dice, a, b, name in found:
-            if all(b < x or y < a for _, x, y, _ in out):
-                out.append((name, a, b, dice))
-        return sorted(out, key=lambda m: m[1])
-
-    def best(self, own: list[int], grams: list[tuple[bytes, bytes]], key: np.ndarray, size: int, low: float, high: float) -> tuple[float, int, int] | None:
-        """Coefficient, first and last word of the best stretch, if it reaches the least; the earliest, then shortest, of equals."""
-        best = None
-        need = self.least * size / (2 - self.least) - 1e-9
-        for i, start in enumerate(own):
-            if len(own) - i < need:
-                break
-            seen: set[tuple[bytes, bytes]] = set()
-            shared: set[int] = set()
-            at = start
-            for end in own[i:]:
-                seen.update(grams[at : end + 1])
-                at = end + 1
-                if len(seen) > high:
-                    break
-                shared.add(int(key[end]))
-                dice = 2 * len(shared) / (len(seen) + size)
-                if dice >= self.least and (best is None or dice > best[0]):
-                    best = (dice, start, end + 1)
-        return best
+        return sorted(((name, a, b, dice) for dice, a, b, name in apart(found)), key=lambda m: m[1])
+
+    def from_each(self, t: int, places: list[int], grams: list[int], ours: bytearray) -> list[tuple[float, int, int]]:
+        """Coefficient, first and last word of the best stretch from each place (the shortest of equals), if it reaches the least."""
+        size, most = self.sizes[t], int(self.bounds[t][1] + 1e-9)
+        ahead: OrderedDict[int, int] = OrderedDict()  # distinct bigrams, the one that stands next last
+        starts, out = set(places), []
+        for p in range(places[-1], places[0] - 1, -1):
+            ahead[grams[p]] = p
+            ahead.move_to_end(grams[p])
+            if p not in starts:
+                continue
+            best, end, shared = 0.0, p, 0
+            for seen, (g, q) in enumerate(islice(reversed(ahead.items()), most), 1):
+                if ours[g]:
+                    shared += 1
+                    dice = 2 * shared / (seen + size)
+                    if dice > best:
+                        best, end = dice, q
+            if best >= self.least:
+                out.append((best, p, end + 1))
+        return out
+
+
+def apart(found: Iterable[tuple]) -> list[tuple]:
+    """Of (coefficient, first, last, ...), best first, those that overlap none before them."""
+    begins: list[int] = []
+    ends: list[int] = []
+    out = []
+    for m in found:
+        k = bisect_left(begins, m[1])
+        if (k == 0 or ends[k - 1] < m[1]) and (k == len(begins) or m[2] < begins[k]):
+            begins.insert(k, m[1])
+            ends.insert(k, m[2])
+            out.append(m)
+    return out
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = MIN_DICE, texts: list[tuple[str, str]] | None = None) -> DataFrame:

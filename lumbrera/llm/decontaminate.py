@@ -1,8 +1,9 @@
 """Benchmark decontamination with a generalised suffix automaton over item words.
 
-The automaton is built on the driver from the benchmark table, whose size is checked against ``MAX_ITEM_WORDS`` (a larger
-benchmark is split into several automata of that size, one pass over the documents each), and is sent to the executors.
-Documents stream through it word by word: the longest match ending at each word is tracked, and where it reaches a window's
+The automaton is built on the driver from the benchmark's items and is sent to the executors. It holds ``MAX_ITEM_WORDS`` words at most: long
+items are cut into pieces that overlap by a window less one word, so that no window is lost, and a larger benchmark is dealt into
+groups of pieces whose sizes are checked. Each group takes a pass over the documents of its own, which is written before the next group is
+fetched and sent, so that the driver and each executor hold one automaton at a time. Documents stream through it word by word: the longest match ending at each word is tracked, and where it reaches a window's
 length, the window's words are hit. Words that no item has end a match at once, so the automaton runs only over stretches
 of item words that are long enough to hold a window.
 
@@ -13,18 +14,22 @@ An empty benchmark hits nothing.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from lumbrera.llm.common import bounded_batches, chunks, strings
+from lumbrera.llm.common import bounded_batches, chunks, cut, strings
 
-#: Words of one automaton at most; about 200 bytes each on an executor.
+#: Words of one automaton at most; some 200 to 400 bytes each in a Python worker.
 MAX_ITEM_WORDS = 1_000_000
+#: Words of a piece of a long item.
+PIECE_WORDS = 100_000
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 KEEP = bytes(b if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -156,55 +161,83 @@ class Automaton:
         return merged, items
 
 
-def automata(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> list[Automaton]:
-    """Of the items in batches of at most MAX_ITEM_WORDS words."""
-    size = benchmark.select(F.coalesce(F.sum(F.size(F.split(F.coalesce(text_col, F.lit("")), "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))), F.lit(0))).first()[0]
-    rows = benchmark.select(F.col(id_col).cast("string"), text_col)
-    groups: list[list[tuple[str, list[bytes]]]] = [[]]
-    room = MAX_ITEM_WORDS
-    for key, text in rows.toLocalIterator() if size > MAX_ITEM_WORDS else rows.collect():
-        ws = words(text or "")
-        if ws and key is not None:
-            if len(ws) > room and groups[-1]:
-                groups.append([])
-                room = MAX_ITEM_WORDS
-            groups[-1].append((key, ws))
-            room -= len(ws)
-    return [Automaton(g, window) for g in groups]
+def pieces(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    """(item, words, n): the items' words, space-joined, in pieces of PIECE_WORDS that overlap by window - 1."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in chunks(whole, 1):
+                out = []
+                for item, text in zip(b.column(0).to_pylist(), strings(b.column(1)).to_pylist(), strict=True):
+                    ws = words(text)
+                    for at in range(0, max(1, len(ws) - window + 1), PIECE_WORDS) if ws and item is not None else ():
+                        own = ws[at : at + PIECE_WORDS + window - 1]
+                        out.append((item, b" ".join(own).decode(), len(own)))
+                if out:
+                    item, text, n = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(text), pa.array(n, pa.int64())], ["item", "words", "n"])
+
+    return benchmark.select(F.col(id_col).cast("string"), text_col).mapInArrow(work, "item string, words string, n bigint")
+
+
+def automata(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> Iterator[tuple[Automaton, bool]]:
+    """One after another, each of at most MAX_ITEM_WORDS words, and whether it is one of several. An empty benchmark has one of no items."""
+    rows, groups = pieces(benchmark, window, id_col, text_col), 1
+    group = lambda: F.pmod(F.xxhash64("item", "words"), F.lit(groups))
+    while (rows.groupBy(group()).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0) > MAX_ITEM_WORDS:
+        groups *= 2
+        if groups == 2:
+            rows = cut(rows)
+    for k in range(groups):
+        own = rows.where(group() == k) if groups > 1 else rows
+        yield Automaton([(r["item"], r["words"].encode().split()) for r in own.select("item", "words").toLocalIterator()], window), groups > 1
+
+
+HITS = "array<struct<first:bigint,last:bigint>>"
+
+
+def marked(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    """The documents under the names c0, c1, ... with three columns more: hits (merged word ranges, last exclusive), items and n_words."""
+    bounded_batches(docs.sparkSession)
+    at, width = docs.columns.index(text_col), len(docs.columns)
+    out = docs.toDF(*[f"c{k}" for k in range(width)])
+    out = out.withColumns({"hits": F.array().cast(HITS), "items": F.array().cast("array<string>"), "n_words": F.lit(0).cast("bigint")})
+    for own, several in automata(benchmark, window, item_col, item_text):
+        held = docs.sparkSession.sparkContext.broadcast(own)
+        del own
+        out = out.mapInArrow(marker(held, at, width), out.schema)
+        if several:
+            out = cut(out)
+            held.destroy()
+    return out
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per document: n_words, hits array<struct<first, last>> of word numbers (last exclusive, merged), items array<string> (sorted)."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    held = spark.sparkContext.broadcast(automata(benchmark, window, item_col, item_text))
+
+def marker(held: Broadcast, at: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds what one automaton finds in column ``at`` to the hits and items that stand in the two columns from ``width`` on, and counts words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
-        span = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
+        auto = held.value
         for whole in batches:
-            for b in chunks(whole, 1):
-                number, hits, items = [], [], []
-                for text in strings(b.column(1)).to_pylist():
+            for b in chunks(whole, at):
+                hits, items, n = b.column(width).to_pylist(), b.column(width + 1).to_pylist(), []
+                for k, text in enumerate(strings(b.column(at)).to_pylist()):
                     ws = words(text)
-                    h, found = combined(own, ws)
-                    number.append(len(ws))
-                    hits.append([{"first": x, "last": y} for x, y in h])
-                    items.append(sorted(found))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(number, pa.int64()), pa.array(hits, span), pa.array(items, pa.list_(pa.string()))], [id_col, "n_words", "hits", "items"])
+                    n.append(len(ws))
+                    new, found = auto.document(ws)
+                    if new:
+                        spans = merged([(h["first"], h["last"]) for h in hits[k]] + new)
+                        hits[k] = [{"first": x, "last": y} for x, y in spans]
+                        items[k] = sorted({*items[k], *(auto.items[i] for i in found)})
+                more = [pa.array(x, b.schema.field(width + k).type) for k, x in enumerate((hits, items, n))]
+                yield pa.RecordBatch.from_arrays([*b.columns[:width], *more], schema=b.schema)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(work, f"{id_col} {kind}, n_words bigint, hits array<struct<first:bigint,last:bigint>>, items array<string>")
+    return work
 
 
-def combined(own: list[Automaton], ws: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-    hits: list[tuple[int, int]] = []
-    items: set[str] = set()
-    for a in own:
-        h, found = a.document(ws)
-        hits = h if not hits else merged(hits + h) if h else hits
-        items |= {a.items[k] for k in found}
-    return hits, items
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Per document: n_words, hits array<struct<first, last>> of word numbers (last exclusive, merged), items array<string> (sorted)."""
+    found = marked(docs.select(id_col, text_col), benchmark, window, text_col, item_col, item_text)
+    return found.select(F.col("c0").alias(id_col), "n_words", "hits", "items")
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -230,29 +263,25 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverag
     A hit stretch goes with everything from its first to its last word's end. A document with more than ``max_coverage`` of its
     words hit goes as a whole. Other documents are unchanged. All columns stay; ``count_col``, if there, counts the new text.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    held = spark.sparkContext.broadcast(automata(benchmark, window, "item_id", "text"))
-    at = docs.columns.index(text_col)
+    found = marked(docs, benchmark, window, text_col, "item_id", "text")
+    at, width = docs.columns.index(text_col), len(docs.columns)
+    counted = docs.columns.index(count_col) if count_col in docs.columns else None
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = held.value
         for whole in batches:
             for b in chunks(whole, at):
-                texts, keep = b.column(at).to_pylist(), np.ones(b.num_rows, bool)
-                for k, text in enumerate(texts):
-                    ws = words(text or "")
-                    h, _ = combined(own, ws)
-                    if h:
-                        keep[k] = sum(y - x for x, y in h) <= max_coverage * len(ws)
-                        texts[k] = without(text, h)
-                cols = [pa.array(texts, b.schema.field(at).type) if i == at else b.column(i) for i in range(b.num_columns)]
-                yield pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(pa.array(keep))
-
-    out = docs.mapInArrow(work, docs.schema)
-    if count_col in docs.columns:
-        out = out.withColumn(count_col, F.when(F.col(text_col).isNull(), F.col(count_col)).otherwise(F.length(text_col).cast(docs.schema[count_col].dataType)))
-    return out
+                hits, n, texts, keep = b.column(width), b.column(width + 2), b.column(at).to_pylist(), np.ones(b.num_rows, bool)
+                for k in np.flatnonzero(pc.list_value_length(hits).to_numpy(zero_copy_only=False)).tolist():
+                    own = [(h["first"], h["last"]) for h in hits[k].as_py()]
+                    keep[k] = sum(y - x for x, y in own) <= max_coverage * n[k].as_py()
+                    texts[k] = without(texts[k], own)
+                cols = list(b.columns[:width])
+                cols[at] = pa.array(texts, cols[at].type)
+                if counted is not None:
+                    cols[counted] = pc.if_else(pc.is_null(cols[at]), cols[counted], pc.utf8_length(cols[at]).cast(cols[counted].type))
+                yield pa.RecordBatch.from_arrays(cols, names=b.schema.names[:width]).filter(pa.array(keep))
+
+    return found.mapInArrow(work, StructType(found.schema.fields[:width])).toDF(*docs.columns)
 
 
 def without(text: str, hits: list[tuple[int, int]]) -> str:

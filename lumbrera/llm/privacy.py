@@ -19,10 +19,11 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumbrera.llm.common import bounded_batches, chunks, cut, strings
+from lumbrera.llm.common import bounded_batches, chunks, cut, strings, unused
 
 KINDS = ("email", "ip", "card", "phone", "term")
 MIN_CONTEXTS = 3
@@ -123,8 +124,9 @@ def parted(rows: DataFrame, key: str) -> list[DataFrame]:
 
 def together(docs: DataFrame, entities: DataFrame, text_col: str = "text") -> DataFrame:
     """(entity, term, text): the words of each text with one of the entities, those within base values left out."""
-    out = docs.sparkSession.createDataFrame([], "entity bigint, term string, text bigint")
-    for own in parted(entities, "entity"):
+    out = None
+    parts = parted(entities, "entity")
+    for own in parts:
         held = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in own.collect()))
 
         def work(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -139,8 +141,16 @@ def together(docs: DataFrame, entities: DataFrame, text_col: str = "text") -> Da
                             for e in ents:
                                 yield pa.RecordBatch.from_arrays([pa.array([e] * len(terms), pa.int64()), terms, mark], ["entity", "term", "text"])
 
-        out = out.unionAll(docs.select(text_col).mapInArrow(work, "entity bigint, term string, text bigint"))
-    return out
+        out = one_at_a_time(out, docs.select(text_col).mapInArrow(work, "entity bigint, term string, text bigint"), held, len(parts) > 1)
+    return docs.sparkSession.createDataFrame([], "entity bigint, term string, text bigint") if out is None else out
+
+
+def one_at_a_time(before: DataFrame | None, rows: DataFrame, held: Broadcast, several: bool) -> DataFrame:
+    """The rows after those before; of several passes each is written and its broadcast given up before the next one is made."""
+    if several:
+        rows = cut(rows)
+        held.destroy()
+    return rows if before is None else before.unionAll(rows)
 
 
 def words_beside(text: str, spans: list[Span]) -> set[str]:
@@ -156,8 +166,9 @@ def words_beside(text: str, spans: list[Span]) -> set[str]:
 
 def term_texts(docs: DataFrame, terms: DataFrame, exact: bool, text_col: str = "text") -> DataFrame:
     """(term, n): how many distinct texts of one task have each of the terms; with ``exact`` (term, n), n being the hash of each such text."""
-    out = docs.sparkSession.createDataFrame([], "term string, n bigint")
-    for own in parted(terms, "term"):
+    out = None
+    parts = parted(terms, "term")
+    for own in parts:
         held = docs.sparkSession.sparkContext.broadcast(frozenset(r[0].encode() for r in own.collect()))
 
         def work(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -182,8 +193,8 @@ def term_texts(docs: DataFrame, terms: DataFrame, exact: bool, text_col: str = "
             if counts:
                 yield pa.RecordBatch.from_arrays([pa.array([w.decode() for w in counts], pa.string()), pa.array(counts.values(), pa.int64())], ["term", "n"])
 
-        out = out.unionAll(docs.select(text_col).mapInArrow(work, "term string, n bigint"))
-    return out
+        out = one_at_a_time(out, docs.select(text_col).mapInArrow(work, "term string, n bigint"), held, len(parts) > 1)
+    return docs.sparkSession.createDataFrame([], "term string, n bigint") if out is None else out
 
 
 def disclosing(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -210,19 +221,24 @@ SPANS = "array<struct<kind:string,start:bigint,end:bigint,share:double>>"
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans: base spans and disclosing terms (with their P(e | t) as share), by kind as listed, then start."""
-    found = spans_of(docs.select(id_col, text_col), cut(disclosing(docs, text_col)), text_col)
-    return found.select(id_col, F.col("_spans").alias("spans"))
+    found = spans_of(docs.select(id_col, text_col), cut(disclosing(docs, text_col)), text_col, "spans")
+    return found.select(id_col, "spans")
+
 
+def spans_of(docs: DataFrame, terms: DataFrame, text_col: str, name: str) -> DataFrame:
+    """The documents with their spans under ``name``.
 
-def spans_of(docs: DataFrame, terms: DataFrame, text_col: str) -> DataFrame:
-    """The documents with _spans. Each pass over the texts looks for MAX_TERMS terms at most."""
-    n = terms.count()
-    parts = max(1, -(-n // MAX_TERMS))
+    Each pass over the texts looks for about MAX_TERMS terms at most. Of several passes each is written and its terms given up before
+    the next one starts, so that executors hold one such set at a time.
+    """
+    parts = parted(terms, "term") or [terms]
     out = docs
-    for k in range(parts):
-        own = terms.where(F.pmod(F.xxhash64("term"), F.lit(parts)) == k) if parts > 1 else terms
+    for k, own in enumerate(parts):
         held = docs.sparkSession.sparkContext.broadcast({r[0].encode(): r[1] for r in own.collect()})
-        out = out.withColumn("_spans", marker(held, k == 0)(F.col(text_col), F.col("_spans") if k else F.lit(None).cast(SPANS)))
+        out = out.withColumn(name, marker(held, k == 0)(F.col(text_col), F.col(name) if k else F.lit(None).cast(SPANS)))
+        if len(parts) > 1:
+            out = cut(out)
+            held.destroy()
     return out
 
 
@@ -246,7 +262,8 @@ def marker(held, base: bool):
 
 def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with base values replaced by their kind in brackets, disclosing terms by ``[TERM]`` or by nothing."""
-    terms = cut(disclosing(docs, text_col))
+    terms, name = cut(disclosing(docs, text_col)), unused(docs, "_spans")
+
     @F.pandas_udf("string")
     def rewrite(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
@@ -262,7 +279,7 @@ def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
             out.append("".join([*parts, text[at:]]))
         return pd.Series(out)
 
-    return spans_of(docs, terms, text_col).withColumn(text_col, rewrite(F.col(text_col), F.col("_spans"))).drop("_spans")
+    return spans_of(docs, terms, text_col, name).withColumn(text_col, rewrite(F.col(text_col), F.col(name))).drop(name)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -118,7 +118,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
         spec = f.read()
     wide = max(Tokenizer.from_str(spec).get_vocab_size(with_added_tokens=True), end_id + 1) > 65536
     held = spark.sparkContext.broadcast(spec)
-    dealt, splits = in_order(docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text")), id_col, partitions)
+    dealt, splits = in_order(docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("_text")), id_col, "_text", partitions)
     dealt = dealt.repartitionById(len(splits) - 1, "_shard").sortWithinPartitions(F.col(id_col).asc_nulls_first(), "_text").select("_shard", id_col, "_text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,11 +11,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at a time.
 CHUNK_BYTES = 4 << 20
+#: Bytes of text that a shard of ``in_order`` holds, about.
+SHARD_BYTES = 256 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,11 +25,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where neither is set, a session in one process (tests, the bench) gets a temporary folder; on a cluster that would be a folder of
+    each machine, so it is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        have = spark.sparkContext.getCheckpointDir()
-        found = have or "file://" + tempfile.mkdtemp(prefix="lumbrera-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="lumbrera-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -38,6 +46,19 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lumbrera/{what}-{uuid.uuid4().hex}"
 
 
+def own_columns(df: DataFrame) -> list[Column]:
+    """All columns, whatever their names hold (dots, backticks)."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or with underscores before it, so that no column of the table has it (names are compared without regard to case)."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written as a table in the shared folder, so that later reads do not depend on the executors that made them."""
     spark = df.sparkSession
@@ -61,7 +82,10 @@ def discard(df: DataFrame) -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, so that long texts cannot swell a Python worker."""
+    """Bound what one Arrow batch holds, so that long texts cannot swell a Python worker.
+
+    This sets two settings of the session, which then hold for its other queries too: no query's result depends on them.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 * CHUNK_BYTES))
 
@@ -93,14 +117,18 @@ def strings(arr: pa.Array) -> pa.Array:
     return pc.fill_null(arr.cast(pa.string()), "")
 
 
-def in_order(docs: DataFrame, key: str, partitions: int | None = None) -> tuple[DataFrame, list]:
+def in_order(docs: DataFrame, key: str, text: str, partitions: int | None = None) -> tuple[DataFrame, list]:
     """Rows dealt into shards by ascending ``key``: a column ``_shard`` is added, and the shards' first keys are returned.
 
-    The boundaries come from approximate quantiles of the key column alone, so what the driver holds is bounded by the number of shards.
-    Null keys go to the first shard.
+    There are as many shards as shuffle partitions, or more if a shard would hold more than SHARD_BYTES of the ``text`` column. The
+    boundaries come from approximate quantiles of the key column, so what the driver holds is bounded by the number of shards.
+    Null keys go to the first shard, equal ones to one shard.
     """
     spark = docs.sparkSession
-    n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if partitions is None:
+        held = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+        partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held // SHARD_BYTES))
+    n = partitions
     cuts = sorted({float(x) for x in docs.approxQuantile(key, [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else []
     splits = [-float("inf"), *cuts, float("inf")]
     if len(splits) == 2:

@@ -2,7 +2,10 @@
 
 A sketch holds every shingle hash below a fixed fraction of the hash range. Sketches of the same fraction can be merged by union, and the
 overlap of two estimates the resemblance and the containment of their documents whatever their sizes. A document with
-shingles but none below the threshold keeps its smallest hash, which still tells equal documents.
+shingles but none below the threshold has an empty sketch, of which nothing is known; its smallest hash is kept beside it, marked by ``~``. It
+tells equal documents, and stands for the resemblance of two such (1 if equal, else 0); their containment is unknown (null), as is that
+of such a one and a longer one, whose resemblance counts as 0. Merging keeps the smaller of two such hashes, and drops it once there is a sketch, so that the merged
+fingerprint is always that of both documents' shingles together.
 
 Words are maximal runs of ASCII letters (A-Z lower-cased), digits and non-ASCII characters; a shingle is five of them, fewer words being
 one shingle. Null or empty texts, and texts without words, have the empty fingerprint; two empty ones are alike (1), an empty and
@@ -15,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -46,35 +50,53 @@ def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
     return np.array([digest(data[a:b]) for a, b in zip(starts[: 1 - size].tolist(), ends[size - 1 :].tolist(), strict=True)], np.uint64)
 
 
-def sketch(text: str, scale: int = SCALE) -> np.ndarray:
-    """The kept hashes, ascending, as numbers of 4 * DIGITS bits."""
+class Sketch(NamedTuple):
+    """The kept hashes, ascending, as numbers of 4 * DIGITS bits; and the smallest hash of a text that has shingles and none kept."""
+
+    kept: np.ndarray
+    least: int | None = None
+
+
+def sketch(text: str, scale: int = SCALE) -> Sketch:
     h = shingle_hashes(text)
     kept = h[h < np.uint64(2**64 // scale)]
     if len(h) and not len(kept):
-        kept = h.min(keepdims=True)
-    return np.unique(kept >> np.uint64(64 - (scale - 1).bit_length() - 4 * DIGITS if len(kept) and kept.max() < 2**64 // scale else 64 - 4 * DIGITS))
+        return Sketch(kept, int(h.min()) >> (64 - 4 * DIGITS))
+    return Sketch(np.unique(kept >> np.uint64(64 - (scale - 1).bit_length() - 4 * DIGITS)))
 
 
-def to_text(s: np.ndarray) -> str:
-    return s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - DIGITS // 2 :].tobytes().hex()
+def to_text(s: Sketch) -> str:
+    if s.least is not None:
+        return f"~{s.least:0{DIGITS}x}"
+    return s.kept.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - DIGITS // 2 :].tobytes().hex()
 
 
-def from_text(s: str) -> np.ndarray:
+def from_text(s: str) -> Sketch:
+    if s.startswith("~"):
+        return Sketch(np.zeros(0, np.uint64), int(s[1:], 16))
     raw = np.frombuffer(bytes.fromhex(s), np.uint8).reshape(-1, DIGITS // 2)
-    return np.pad(raw, ((0, 0), (8 - DIGITS // 2, 0))).reshape(-1).view(">u8").astype(np.uint64)
+    return Sketch(np.pad(raw, ((0, 0), (8 - DIGITS // 2, 0))).reshape(-1).view(">u8").astype(np.uint64))
 
 
 def merge(a: str, b: str) -> str:
-    """The sketch of two documents together."""
-    return to_text(np.union1d(from_text(a), from_text(b)))
-
-
-def overlap(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
-    """Estimated resemblance, and containment of the smaller in the larger."""
-    if not len(a) or not len(b):
-        return (1.0, 1.0) if len(a) == len(b) else (0.0, 0.0)
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both), both / min(len(a), len(b))
+    """The fingerprint of the shingles of two documents together."""
+    x, y = from_text(a), from_text(b)
+    kept = np.union1d(x.kept, y.kept)
+    least = [v for v in (x.least, y.least) if v is not None]
+    return to_text(Sketch(kept, min(least) if least and not len(kept) else None))
+
+
+def overlap(a: Sketch, b: Sketch) -> tuple[float, float | None]:
+    """Estimated resemblance, and containment of the smaller in the larger (null where nothing is known of it)."""
+    if a.least is not None or b.least is not None:
+        if a.least == b.least:
+            return 1.0, 1.0
+        empty = any(s.least is None and not len(s.kept) for s in (a, b))
+        return 0.0, 0.0 if empty else None
+    if not len(a.kept) or not len(b.kept):
+        return (1.0, 1.0) if len(a.kept) == len(b.kept) else (0.0, 0.0)
+    both = len(np.intersect1d(a.kept, b.kept, assume_unique=True))
+    return both / (len(a.kept) + len(b.kept) - both), both / min(len(a.kept), len(b.kept))
 
 
 def edited(text: str, following: str) -> str:
@@ -103,7 +125,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    dealt, splits = in_order(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("_text")), "doc_id")
+    dealt, splits = in_order(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("_text")), "doc_id", "_text")
     # One row a shard.
     firsts = sorted((r[0], None if r[2] else r[1]) for r in dealt.groupBy("_shard").agg(F.min("doc_id"), F.max(F.isnull("doc_id"))).collect())
     kind = docs.schema[id_col].dataType.simpleString()
@@ -129,9 +151,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                     held = (at, text, own)
                 if out:
                     cols = list(zip(*out, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), pa.array(cols[1], pa.int64()), *[pa.array(c) for c in cols[2:]]], names)
+                    kinds = [b.schema.field(0).type, pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 4]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    def row(at: object, text: str, own: np.ndarray, following: str, after: np.ndarray) -> tuple:
+    def row(at: object, text: str, own: Sketch, following: str, after: Sketch) -> tuple:
         new = edited(text, following)
         mark = sketch(new)
         (near, part), (near_next, part_next) = overlap(own, mark), overlap(own, after)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lumbrera.llm.common import cut
+from lumbrera.llm.common import cut, own_columns
 
 MIN_WORDS = 5
 LAST = 2**63 - 1
@@ -118,11 +118,14 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("d", "th").agg(F.collect_set("line_no").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, count_col: str | None = "n_chars") -> DataFrame:
-    """The documents without the lines that go, all columns kept; ``_n_lines`` and ``_gone`` (their numbers, ascending) are added."""
+def dedup_lines(docs: DataFrame, count_col: str | None = "n_chars", report: bool = True) -> DataFrame:
+    """The documents without the lines that go, all columns kept.
+
+    With ``report``, ``_n_lines`` and ``_gone`` (their numbers, ascending) are added; columns of the documents with these names are then replaced.
+    """
     gone = cut(dropped_lines(docs))
     names = docs.columns
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), place_of_doc().alias("_d"), F.xxhash64("text").alias("_th"))
+    own = docs.select(F.struct(*own_columns(docs)).alias("_row"), place_of_doc().alias("_d"), F.xxhash64("text").alias("_th"))
     both = own.join(gone, (own["_d"] == gone["d"]) & (own["_th"] == gone["th"]), "left")
     both = both.select("_row", F.array_sort(F.coalesce("gone", F.array().cast("array<int>"))).alias("_gone"), F.split("_row.text", "\n").alias("_all"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_gone"))
@@ -130,13 +133,15 @@ def dedup_lines(docs: DataFrame, count_col: str | None = "n_chars") -> DataFrame
     both = both.select("_row", "_gone", F.coalesce(F.size("_all"), F.lit(0)).alias("_n_lines"), text.alias("_text"))
     cols = []
     for c in names:
+        if report and c.lower() in ("_n_lines", "_gone"):
+            continue
         value = F.col("_row")[c]
         if c == "text":
             value = F.col("_text")
         elif c == count_col:
             value = F.when(F.size("_gone") > 0, F.length("_text").cast(docs.schema[c].dataType)).otherwise(value)
         cols.append(value.alias(c))
-    return both.select(*cols, "_n_lines", "_gone")
+    return both.select(*cols, *(["_n_lines", "_gone"] if report else []))
 
 
 def digest(docs: DataFrame) -> DataFrame:

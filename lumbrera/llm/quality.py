@@ -9,7 +9,8 @@ there are more than ``FIT_ROWS`` of them, a fixed hash of doc_id picks about tha
 Inputs of a score are statistics of the text alone.
 
 Null texts count as empty; empty texts get the score of their (all zero) statistics. Null labels and null doc_ids never train; a null
-doc_id is not held out and is scored. Repeated rows are scored alike; if a doc_id has several labels its lowest is used. With
+doc_id is not held out and is scored. Repeated rows are scored alike; if a doc_id has several labels its lowest is used, and if it has
+several texts the smallest statistics of them. With
 no labelled rows, or one class only, every score is that class's share (1 if there is none). Other columns are not read.
 """
 
@@ -126,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: in
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * fit_rows / n)))
     # At most about FIT_ROWS labels, 16 bytes each, are sent to the executors, so no text is shuffled for training.
     known = F.broadcast(cut(known))
-    rows = cut(stats_table(docs.select("doc_id", "text").join(known, "doc_id")).dropDuplicates(["doc_id"]).join(known, "doc_id").withColumn("part", rest()))
+    rows = cut(stats_table(docs.select("doc_id", "text").join(known, "doc_id")).groupBy("doc_id").agg(F.min("x").alias("x")).join(known, "doc_id").withColumn("part", rest()))
     train = rows.where("part <> 4")
     size = len(NAMES)
     moments = train.select(F.count("*"), F.avg("y"), *[F.avg(F.col("x")[i]) for i in range(size)], *[F.stddev_pop(F.col("x")[i]) for i in range(size)]).first()
@@ -169,8 +170,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fit_rows: in
     return model
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """All columns of the documents with score and predicted."""
+def scored(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+    """All columns of the documents, with the score and the prediction under names that the documents may not have yet."""
+    if {score_col.lower(), predicted_col.lower()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"the documents have a column {score_col} or {predicted_col}: give other names")
     spark = docs.sparkSession
     bounded_batches(spark)
     held = spark.sparkContext.broadcast(model)
@@ -181,8 +184,8 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", threshold: flo
             x = np.array([statistics(v or "") for v in t], np.float64).reshape(len(t), len(NAMES))
             yield pd.Series(held.value.score(x))
 
-    out = docs.withColumn("score", score(F.col(text_col)))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    out = docs.withColumn(score_col, score(F.col(text_col)))
+    return out.withColumn(predicted_col, (F.col(score_col) >= threshold).cast("int"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumbrera.llm.common import bounded_batches, chunks, cut, strings
+from lumbrera.llm.common import bounded_batches, chunks, cut, strings, unused
 from lumbrera.llm.components import components
 
 MAX_BITS = 3
@@ -176,5 +176,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents of which each component keeps the smallest doc_id. Rows that repeat a doc_id stay or go together; rows without a doc_id stay."""
     found = near_duplicates(docs, id_col, text_col)
-    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    name = unused(docs, "_gone")
+    gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(gone, docs[id_col] == gone[name], "left_anti")

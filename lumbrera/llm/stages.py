@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 
 from lumbrera.llm import decontaminate, line_dedup, piece_codec, simhash
 from lumbrera.llm import quality as quality_model
-from lumbrera.llm.common import table
+from lumbrera.llm.common import own_columns, table, unused
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labelled ones, does not reject."""
     model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
-    return quality_model.scored(docs, model).where(F.col("predicted") == 1).select(*docs.columns)
+    score, predicted = unused(docs, "score"), unused(docs, "predicted")
+    found = quality_model.scored(docs, model, score_col=score, predicted_col=predicted)
+    return found.where(F.col(predicted) == 1).select(*own_columns(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that stand, equal or nearly so, earlier in the corpus."""
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    return line_dedup.dedup_lines(docs, report=False)
 
 
 def simhash_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

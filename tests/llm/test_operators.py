@@ -1,7 +1,10 @@
 """Each operator against brute force, libraries or round trips, on small texts."""
 
 import hashlib
+import os
 import random
+import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -11,8 +14,10 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import sentencepiece
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import Broadcast
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -81,6 +86,14 @@ def test_sketches():
     both = sketch.from_text(sketch.merge(sketch.to_text(sketch.sketch(a)), sketch.to_text(sketch.sketch(b))))
     near, part = sketch.overlap(both, sketch.sketch(b))
     assert part == 1 and near < 0.3
+    short, short_too = (next(t for k in range(99) if sketch.sketch(t := prose(at + k, 6)).least is not None) for at in (700, 900))
+    for x, y in ((a, short), (short, a), (short, short_too), (short, short), (short, ""), ("", a)):
+        together = np.union1d(sketch.shingle_hashes(x), sketch.shingle_hashes(y))
+        want = {h >> 13 for h in together.tolist() if h < 2**61}
+        merged = sketch.from_text(sketch.merge(sketch.to_text(sketch.sketch(x)), sketch.to_text(sketch.sketch(y))))
+        assert set(merged.kept.tolist()) == want and merged.least == (None if want or not len(together) else int(together.min()) >> 16)
+    assert sketch.overlap(sketch.sketch(short), sketch.sketch(short)) == (1, 1) and sketch.overlap(sketch.sketch(short), sketch.sketch(short_too)) == (0, None)
+    assert sketch.overlap(sketch.sketch(short), sketch.sketch(f"{short} {a}")) == (0, None) and sketch.overlap(sketch.sketch(short), sketch.sketch("")) == (0, 0)
     half = sketch.sketch(" ".join(a.split()[:1500]))
     assert abs(sketch.overlap(sketch.sketch(a), half)[0] - 0.5) < 0.08
     assert sketch.overlap(sketch.sketch(""), sketch.sketch("")) == (1, 1) and sketch.overlap(sketch.sketch(""), half) == (0, 0)
@@ -95,6 +108,16 @@ def test_next_documents(spark):
         assert got[k]["edited_fingerprint"] == sketch.to_text(sketch.sketch(new))
 
 
+def test_likeness_against_whole_shingle_sets(spark):
+    rows = [(k, prose(k if k % 3 else k - 1, 600 + 300 * (k % 3 == 0))) for k in range(24)]
+    grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    for r in sketch.with_next(spark.createDataFrame(rows, DOCS)).collect():
+        text, after = rows[r["doc_id"]][1], rows[(r["doc_id"] + 1) % 24][1]
+        for near, other in ((r["near_edited"], sketch.edited(text, after)), (r["near_next"], after)):
+            a, b = grams(text), grams(other)
+            assert abs(near - len(a & b) / len(a | b)) < 0.15
+
+
 def test_quality_learns_and_leaves_ids_out(spark):
     rows = [(k, prose(k, 60) if k % 3 else " ".join(f"{w}!!".upper() for w in prose(k, 60).split())) for k in range(400)]
     docs = spark.createDataFrame(rows, DOCS)
@@ -107,6 +130,39 @@ def test_quality_learns_and_leaves_ids_out(spark):
     assert np.allclose(again.score(np.array([quality.statistics(rows[1][1])])), [next(r["score"] for r in got if r["doc_id"] == 1)], atol=1e-6)
 
 
+def test_normal_equations_against_a_direct_solve(spark):
+    r = random.Random(9)
+    rows = [(k, " ".join(("X!! " if k % 2 and r.random() < 0.4 else "") + w for w in prose(k, 20 + k % 30).split())) for k in range(300)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(7)
+    model = quality.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")))
+    train = [(k, t) for k, t in rows if zlib.crc32(str(k).encode()) % 5 in (1, 2, 3)]
+    x, y = np.array([quality.statistics(t) for _, t in train]), np.array([k % 2 for k, _ in train], float)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.where(x.std(0) > 1e-9, x.std(0), 1))
+    z = model.features(x)
+    assert np.allclose(z @ np.linalg.solve(z.T @ z + quality.RIDGE * len(y) / 10 * np.eye(z.shape[1]), z.T @ y), model.raw(x), atol=1e-5)
+    # The random features approximate the Gaussian kernel of the standardised statistics.
+    s = (x[:40] - model.mean) / model.scale
+    kernel = np.exp(-quality.GAMMA * ((s[:, None] - s[None]) ** 2).sum(2))
+    assert np.abs(z[:40, : quality.FEATURES] @ z[:40, : quality.FEATURES].T - kernel).max() < 0.25
+    # Calibration: of held bins, the least-squares monotone fit, by brute force over all blocks.
+    held = [(k, t) for k, t in rows if zlib.crc32(str(k).encode()) % 5 == 4]
+    raw = model.raw(np.array([quality.statistics(t) for _, t in held]))
+    v = np.array([k % 2 for k, _ in held], float)[np.argsort(raw)]
+    fit = [max(min(v[a : b + 1].mean() for b in range(i, len(v))) for a in range(i + 1)) for i in range(len(v))]
+    assert np.allclose(np.interp(np.sort(raw), model.at, model.to), fit, atol=0.35) and np.all(np.diff(model.to) > 0)
+
+
+def test_quality_of_held_out_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables here")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.classify(docs, labels).where("held_out").join(labels, "doc_id").select("score", "predicted", "quality").where("quality IS NOT NULL").collect()
+    good, bad = ([r["score"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in good for b in bad]) > 0.95
+    assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.9
+
+
 def test_isotonic():
     x, y = quality.isotonic(np.arange(5.0), np.array([0.0, 2, 1, 3, 4]), np.full(5, 4.0))
     assert y.tolist() == [0, 0.375, 0.75, 1] and x.tolist() == [0, 1.5, 3, 4]
@@ -129,6 +185,52 @@ def test_base_spans():
     assert privacy.luhn("4111111111111111") and not privacy.luhn("4111111111111112")
 
 
+PIECES_OF_DATA = st.lists(st.sampled_from([EMAIL, "a@b", ".c", "@", "10.0.0.255", "1.2.3", "999", CARD, "4111-1111-1111-1111", "+", "+1 (555) 010", "-9999", " ", "  ", "0", "12", ".", "x", "é", "\n", "%_", "٣", "(", ")"]), max_size=14).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(PIECES_OF_DATA)
+def test_base_spans_against_the_patterns(text):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    luhn = lambda d: sum(sum(divmod(int(c) * (1 + k % 2), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+    rules = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(p) <= 255 for p in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 13 <= len(digits(s)) <= 19 and luhn(digits(s))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 9 <= len(digits(s)) <= 15),
+    ]
+    assert privacy.base_spans(text) == [(kind, m.start(), m.end()) for kind, pattern, test in rules for m in re.finditer(pattern, text) if test(m.group())]
+
+
+@pytest.mark.parametrize("most", [privacy.MAX_TERMS, 2])
+def test_disclosing_against_brute_force(spark, monkeypatch, most):
+    """P and normalised PMI over distinct documents, by hand; with few terms a pass, many passes."""
+    monkeypatch.setattr(privacy, "MAX_TERMS", most)
+    r, people = random.Random(2), [(f"user{k}@mail.example.org", [f"name{k}", f"team{k % 3}"]) for k in range(6)]
+    rows = []
+    for k in range(160):
+        mail, terms = people[r.randrange(6)]
+        own = [w for w in terms if r.random() < 0.8] + [f"w{r.randrange(30)}" for _ in range(8)] + ([mail] if r.random() < 0.7 else [])
+        r.shuffle(own)
+        rows.append((k, " ".join(own)))
+    rows += [(1000 + k, rows[k][1]) for k in range(30)]
+    texts = {t for _, t in rows}
+    have = {t: (set(re.findall(r"user[0-9]@mail\.example\.org", t)), {w for w in re.sub(r"user\S+", "", t).split() if privacy.is_term(w)}) for t in texts}
+    want = {}
+    for mail, _ in people:
+        n_e = sum(mail in m for m, _ in have.values())
+        for term in {w for _, ws in have.values() for w in ws}:
+            co, df = sum(mail in m and term in ws for m, ws in have.values()), sum(term in ws for _, ws in have.values())
+            if co >= privacy.MIN_CONTEXTS and co / df >= privacy.MIN_SHARE:
+                if np.log2(co * len(texts) / (df * n_e)) / np.log2(len(texts) / co) >= privacy.MIN_NPMI:
+                    want[term] = max(want.get(term, 0), co / df)
+    docs = spark.createDataFrame(rows, DOCS)
+    got = dict(privacy.disclosing(docs).collect())
+    assert got.keys() == want.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in want) and len(want) > 3
+    spans = {x["doc_id"]: [rows[x["doc_id"]][1][s["start"] : s["end"]] for s in x["spans"] if s["kind"] == "term"] for x in privacy.find(docs).where("doc_id < 1000").collect()}
+    assert all(spans[k] == [w for w in t.split() if w in want] for k, t in rows if k < 1000)
+
+
 def test_disclosing_terms_go(spark):
     rows = [(k, f"s{k} t{k * 7} u{k} reach jsmithy at {EMAIL} v{k} q{k * 3}") for k in range(6)] + [(100 + k, f"filler number {k} reach the and at of") for k in range(200)]
     docs = spark.createDataFrame(rows, DOCS).unionByName(spark.createDataFrame([(999, "jsmithy alone")], DOCS))
@@ -184,6 +286,13 @@ def test_licences_against_brute_force():
     assert scan.matches(wrapped)[0][0] == "MIT"
 
 
+@pytest.mark.parametrize(("unit", "n"), [("MIT License", 0), ("Licensed under the MIT License.", 20_000), ("licensed under the word mit license pad of the", 0)])
+def test_licences_in_repeated_words(unit, n):
+    """100,000 words: a place takes a look at no more bigrams than a template's bound allows, so this takes about a second."""
+    text, began = " ".join([unit] * (100_000 // len(unit.split()))), time.perf_counter()
+    assert len(licence_scan.Templates(templates()).matches(text)) == n and time.perf_counter() - began < 20
+
+
 def test_licences_that_stand_again():
     scan, text = licence_scan.Templates([("A", "one two three four five six"), ("B", "one two three four five seven")]), "one two three four five six"
     assert [m[:3] for m in scan.matches(f"{text} pad {text}")] == [("A", 0, 5), ("A", 7, 12)]
@@ -213,6 +322,32 @@ def test_automaton_against_brute_force(items, doc):
     assert {p for a, b in spans for p in range(a, b)} == hit and {auto.items[k] for k in found} == want
 
 
+def test_benchmark_in_several_automata(spark, monkeypatch):
+    """Small automata, long items in pieces: the same results, and never two broadcasts at once."""
+    items = [(k, prose(40 + k, 4 + 9 * k)) for k in range(9)] + [(20, ""), (21, None)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = [(k, f"{prose(80 + k, 30)} {' '.join(prose(40 + k % 9, 4 + 9 * (k % 9)).split()[k % 4 :])} {prose(90 + k, 20)}") for k in range(30)] + [(99, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    want, clean = sorted(decontaminate.digest(docs, bench).collect()), sorted(decontaminate.cleaned(docs, bench).collect())
+    alive, passes, marker, destroy = set(), [], decontaminate.marker, Broadcast.destroy
+
+    def sent(held, *rest):
+        assert not alive
+        alive.add(held)
+        passes.append(held)
+        return marker(held, *rest)
+
+    monkeypatch.setattr(decontaminate, "marker", sent)
+    monkeypatch.setattr(Broadcast, "destroy", lambda held: (alive.discard(held), destroy(held)))
+    monkeypatch.setattr(decontaminate, "MAX_ITEM_WORDS", 180)
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", 12)
+    assert sorted(decontaminate.digest(docs, bench).collect()) == want and len(passes) > 2
+    assert sorted(decontaminate.cleaned(docs, bench).collect()) == clean
+    for k, text in rows:
+        hit, found = brute_windows(text or "", [(str(i), t or "") for i, t in items])
+        assert next((r["n_hit"], r["n_items"]) for r in want if r["doc_id"] == k) == (len(hit), len(found))
+
+
 def test_cleaned_documents(spark):
     item = prose(5, 15)
     docs = spark.createDataFrame([(1, f"{prose(6, 30)}, {item}! {prose(7, 30)}", 0), (2, item, 0), (3, prose(8, 30), 0), (4, None, 7)], DOCS + ", n_chars bigint")
@@ -258,6 +393,15 @@ def test_fingerprint_hash_is_the_engines(spark):
     assert simhash.fingerprint("The QUICK\tb") == own and simhash.fingerprint(" \n") == 0
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", "é", "quick", "ÄB", "x1", ".", "\t", "\n", "\u00a0", "\x0b", " "]), max_size=24).map(" ".join))
+def test_fingerprints_against_a_plain_reading(text):
+    ws = [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m.group().lower(), text)) if w]
+    grams = [" ".join(ws[k : k + 3]) for k in range(max(1, len(ws) - 2))] if ws else []
+    h = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    assert simhash.fingerprint(text) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7)], "u bigint, v bigint")
     assert dict(components(edges).collect()) == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
@@ -357,10 +501,11 @@ def shingle_set(ws):
     return {tuple(ws[k : k + 5]) for k in range(len(ws) - 4)}
 
 
-@pytest.mark.parametrize("leaders", [passages.LEADERS, (3, 12)])
-def test_passages_recall_in_groups_of_edited_copies(spark, monkeypatch, leaders):
+@pytest.mark.parametrize(("leaders", "group"), [(passages.LEADERS, passages.GROUP), (2, 8)])
+def test_passages_recall_in_groups_of_edited_copies(spark, monkeypatch, leaders, group):
     """Brute force: of the copies that are near some earlier copy of their group, nine in ten at least are found at each width and rate."""
-    monkeypatch.setattr(passages, "LEADERS", leaders)  # many rounds
+    monkeypatch.setattr(passages, "LEADERS", leaders)
+    monkeypatch.setattr(passages, "GROUP", group)  # with few, larger groups are told apart by longer runs
     r, rows, own, kinds = random.Random(7), [], {}, [(60, 0.02), (60, 0.03), (80, 0.02), (80, 0.03)]
     for g in range(20):
         size, rate = kinds[g % 4]

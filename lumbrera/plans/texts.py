@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumbrera.functions import dates, text
+from lumbrera.operators import grounding
 from lumbrera.plans.registry import query
 from lumbrera.sources import feeds
 from lumbrera.sources.tables import entries, table, topics, with_views
@@ -14,26 +15,7 @@ from lumbrera.streaming import events as stream
 
 @query("""SELECT item_id, count(doc_id) AS n, coalesce(min(doc_id), -1) AS first_doc FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id""")
 def quote_grounding(spark: SparkSession, sf: str) -> DataFrame:
-    """In which documents a quote stands word for word.
-
-    Four words of a quote's first line, its first word left out as it may be the end of a longer one, are an equi-key into the
-    documents' lines; the whole quote is then verified. Quotes whose first line has under six words have no such key and are
-    held against all documents; the optimiser drops that branch where there are none.
-    """
-    lines = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    q = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"), F.expr("split_part(text, '\n', 1)").alias("head"))
-    shingle = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 4, F.lit(0))), lambda i: F.array_join(F.slice(c, i + 1, 4), " "))
-    keyed = lines.select("doc_id", F.explode(F.array_distinct(shingle(F.split("line", " ")))).alias("key"))
-    inner = F.split("head", " ")
-    key = F.array_join(F.slice(inner, 2, 4), " ")
-    asked = q.where(F.size(inner) >= 6).withColumn("key", key)
-    few = q.where(F.size(inner) < 6)
-    near = keyed.join(asked, "key").select("item_id", "quote", "doc_id").distinct()
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    hit = docs.join(near, "doc_id").where(F.contains("text", F.col("quote"))).select("item_id", "doc_id")
-    rest = docs.join(few, F.contains("text", F.col("quote"))).select("item_id", "doc_id")
-    g = hit.unionByName(rest).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
-    return q.select("item_id").join(g, "item_id", "left").select("item_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("first_doc", F.lit(-1)).alias("first_doc"))
+    return grounding.documents_with(table(spark, sf, "documents"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote")))
 
 
 @query()

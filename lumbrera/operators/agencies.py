@@ -12,7 +12,7 @@ Rules = list[tuple[str, list[str]]]
 # Labels and words, in order. A rule's words are alternatives; words joined by " + " must all be there.
 FTC_ACTIONS: Rules = [
     ("merger_action", ["merger", "acquisition", "deal", "sale to"]),
-    ("consent_order", ["consent order", "settlement", "stipulated", "order resolving", "resolves litigation"]),
+    ("consent_order", ["consent order", "settlement", "stipulated", "order resolving", "resolves litigation", "resolving antitrust concerns"]),
     ("final_order", ["final order", "approves final"]),
     ("administrative_complaint", ["administrative complaint", "files administrative"]),
     ("court_litigation", ["amicus", "court", "litigation", "judge", "ruling", "win"]),
@@ -38,6 +38,7 @@ CARTEL_OFFICE: Rules = [
     ("case_report", ["fallbericht"]), ("decision", ["beschluss", "/entscheidungen/"]), ("merger_control", ["fusionskontrolle", "übernahme", "erwerb", "freigabe", "zusammenschluss", "merger"]),
     ("guideline", ["merkblatt", "leitfaden"]), ("sector_inquiry", ["sektoruntersuchung", "kraftstoff", "marktuntersuchung"]), ("press_release", ["pressemitteilungen"]),
 ]
+# Words of competition law, of consumer protection, of editorial and corporate news, and of legal and other files; labels of acts and reports.
 COMPETITION = ["competition", "antitrust", "merger", "monopoly", "monopolization", "market power", "clayton act", "sherman act", "ftc act section 5", "hart-scott-rodino", "hsr", "collusion", "cartel", "price-fixing", "exclusive dealing", "non-compete", "unfair methods of competition"]
 CONSUMER = ["robocalls", "do not call registry", "telemarketing scam", "debt collection fraud", "crypto scam", "imposter scam", "credit repair scam", "pyramid scheme", "refund checks to consumers", "horseracing"]
 EDITORIAL = ["youtube", "jahrespressekonferenz", "stellenangebot", "karriere", "ausbildung", "festakt", "verabschiedung", "personalie", "praktikum", "social media", "veranstaltung", "grußwort", "jahresrückblick"]
@@ -67,12 +68,6 @@ def first_label(text: Column, rules: Rules, default: str) -> Column:
     return out.otherwise(default)
 
 
-def rules_sql(text: str, rules: Rules, default: str) -> str:
-    """The same decision as DuckDB SQL."""
-    case = " ".join(f"WHEN {' OR '.join('(' + ' AND '.join(f'''contains(lower({text}), '{p}')''' for p in w.split(' + ')) + ')' for w in words)} THEN '{label}'" for label, words in rules)
-    return f"CASE {case} ELSE '{default}' END"
-
-
 def consumer_only(text: Column) -> Column:
     """Consumer protection without a word of competition."""
     low = F.lower(text)

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def running_total(df: DataFrame, bucket: Column, order: list[str], value: str, name: str = "before") -> DataFrame:
-    """The sum of ``value`` over all rows before each, in a total order that ``bucket`` (ascending ranges of it) respects.
+def running_total(df: DataFrame, order: list[str], value: str, name: str = "before") -> DataFrame:
+    """The sum of ``value`` over all rows before each in the total order of ``order``, whose first column is a number.
 
-    Buckets are summed first; only their sums, one row each, meet in one task. Rows are then summed within their buckets.
+    As many ranges of that column as there are shuffle partitions, by its approximate quantiles, are summed first; only their sums, one row each,
+    meet in one task, whatever the number of rows. Rows are then summed within their ranges. Null keys come first. Equal keys lie in one range.
     """
-    rows = df.withColumn("_bucket", bucket)
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bounds = sorted(set(df.approxQuantile(order[0], [k / n for k in range(1, n)], 0.2 / n))) if n > 1 else []
+    rows = df.withColumn("_at", F.coalesce(F.col(order[0]).cast("double"), F.lit(-1e300)))
+    if bounds:
+        rows = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="_at", outputCol="_bucket").transform(rows).drop("_at")
+    else:
+        rows = rows.withColumn("_bucket", F.lit(0.0)).drop("_at")
     sums = rows.groupBy("_bucket").agg(F.sum(value).alias("_sum"))
     base = sums.select("_bucket", F.coalesce(F.sum("_sum").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     inner = W.partitionBy("_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)

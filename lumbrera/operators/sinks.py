@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def append_new(stored: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Rows to append: the first of each key that the store lacks."""
-    return incoming.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
+def append_new(stored: DataFrame, incoming: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
+    """Rows to append: of each key that the store lacks, the first by ``order`` (all other columns if there is none)."""
+    rest = [c for c in incoming.columns if c != key]
+    rank = F.struct(*[F.col(f"`{c}`") for c in [*(order or []), *rest]]) if rest else F.lit(0)
+    first = incoming.groupBy(key).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in incoming.columns]), rank).alias("_row"))
+    return first.select("_row.*").join(stored.select(key), key, "left_anti")
 
 
 def merge_map(stored: DataFrame, patch: DataFrame, key: str, column: str) -> DataFrame:

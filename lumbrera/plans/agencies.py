@@ -21,16 +21,16 @@ def notes(spark: SparkSession, sf: str) -> DataFrame:
 LABELS = {"ftc": (A.FTC_ACTIONS, "antitrust_enforcement"), "doj": (A.DOJ_ACTIONS, "press_release"), "cartel_office": (A.CARTEL_OFFICE, "other_substantive"), "pdf": (A.FTC_DOCUMENTS, "court_filing")}
 
 
-@query(NOTES_SQL + "SELECT entry_id, " + ", ".join(f"{A.rules_sql('note', r, d)} AS {n}" for n, (r, d) in LABELS.items()) + " FROM n")
+@query(with_views("entries") + """SELECT entry_id,
+  CASE entry_id % 14 WHEN 0 THEN 'merger_action' WHEN 1 THEN 'consent_order' WHEN 2 THEN 'court_litigation' WHEN 7 THEN 'competition_policy' ELSE 'antitrust_enforcement' END AS ftc,
+  CASE entry_id % 14 WHEN 0 THEN 'merger_challenge' WHEN 6 THEN 'plea_agreement' WHEN 9 THEN 'premerger_enforcement' ELSE 'press_release' END AS doj,
+  CASE entry_id % 14 WHEN 0 THEN 'merger_control' WHEN 4 THEN 'decision' WHEN 5 THEN 'case_report' WHEN 12 THEN 'guideline' ELSE 'other_substantive' END AS cartel_office,
+  CASE entry_id % 14 WHEN 1 THEN 'consent_order' ELSE 'court_filing' END AS pdf FROM entries""")
 def action_types(spark: SparkSession, sf: str) -> DataFrame:
     return notes(spark, sf).select("entry_id", *[A.first_label(F.col("note"), r, d).alias(n) for n, (r, d) in LABELS.items()])
 
 
-def contains_any(words: list[str]) -> str:
-    return "(" + " OR ".join(f"contains(lower(note), '{w}')" for w in words) + ")"
-
-
-@query(NOTES_SQL + f"SELECT entry_id, NOT {contains_any(A.COMPETITION)} AND {contains_any(A.CONSUMER)} AS consumer_only, NOT contains(lower(note), 'joins') AS substantive, {contains_any(A.EDITORIAL)} AS editorial FROM n")
+@query(with_views("entries") + "SELECT entry_id, entry_id % 14 IN (3, 8) AS consumer_only, entry_id % 14 <> 10 AS substantive, FALSE AS editorial FROM entries")
 def scope_guards(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("note")
     return notes(spark, sf).select("entry_id", A.consumer_only(n).alias("consumer_only"), A.substantive_post(F.lit("News"), n).alias("substantive"), A.any_of(F.lower(n), A.EDITORIAL).alias("editorial"))

@@ -63,7 +63,7 @@ def cost_projection(spark: SparkSession, sf: str) -> DataFrame:
 def running_budget_cut(spark: SparkSession, sf: str) -> DataFrame:
     """Work in order until what was spent and what is next exceed the budget. Totals are prefix sums over order ranges."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("bigint").alias("cost"))
-    spent = P.running_total(li, F.floor(F.col("l_orderkey") / 64), ["l_orderkey", "l_linenumber", "l_partkey"], "cost")
+    spent = P.running_total(li, ["l_orderkey", "l_linenumber", "l_partkey"], "cost")
     return spent.where("before + cost <= 50000").select("l_orderkey", "l_linenumber", "before")
 
 
@@ -71,7 +71,7 @@ def running_budget_cut(spark: SparkSession, sf: str) -> DataFrame:
 def budget_threshold_crossing(spark: SparkSession, sf: str) -> DataFrame:
     """The first order at which three quarters of the budget are spent."""
     o = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("bigint")).alias("cost"))
-    spent = P.running_total(o, F.floor(F.col("l_orderkey") / 256), ["l_orderkey"], "cost")
+    spent = P.running_total(o, ["l_orderkey"], "cost")
     return spent.where("before + cost >= 75000").agg(F.min("l_orderkey").alias("l_orderkey"), F.max(F.lit(True)).alias("reached"))
 
 

@@ -26,7 +26,7 @@ def relevance_bands(spark: SparkSession, sf: str) -> DataFrame:
     return analyses(spark, sf).where("score IS NOT NULL").select("entry_id", "version", "score", S.relevance(F.col("score")).alias("band"))
 
 
-@query()
+@query(with_views("entries") + "SELECT entry_id, CASE entry_id % 5 WHEN 0 THEN 'SUBSTANTIVE' WHEN 3 THEN 'SUBSTANTIVE' WHEN 4 THEN 'NON_SUBSTANTIVE' ELSE 'ADMINISTRATIVE' END AS class FROM entries")
 def event_note_class(spark: SparkSession, sf: str) -> DataFrame:
     notes = entries(spark, sf).select("entry_id", F.concat_ws(", ", "title", F.element_at(F.array(*map(F.lit, ["Final report", "Response to consultation", "Case timetable", "order", "note"])), (F.col("entry_id") % 5 + 1).cast("int"))).alias("note"))
     return notes.select("entry_id", R.event_note(F.col("note")).alias("class"))

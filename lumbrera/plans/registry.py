@@ -24,5 +24,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-for _name in ("observatory", "identity", "pipeline", "texts", "agencies", "readers", "cases"):
+for _name in ("observatory", "identity", "pipeline", "texts", "agencies", "readers", "cases", "discovery"):
     import_module(f"lumbrera.plans.{_name}")

@@ -115,3 +115,32 @@ def spanish_date(text: Column) -> Column:
     """dd/MM/yyyy of an ISO text, else its first ten characters; null of an empty one."""
     at = F.when(text.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.try_to_timestamp(text))
     return F.when(text != "", F.coalesce(F.date_format(at, "dd/MM/yyyy"), F.substring(text, 1, 10)))
+
+
+def address_day(url: Column) -> Column:
+    """A day such as -2026-08-26_en in an address."""
+    found = F.regexp_extract(url, "[_\\-](20[0-9][0-9]-(?:0[1-9]|1[0-2])-(?:[0-2][0-9]|3[01]))(?:[_\\-]|\\.|$)", 1)
+    return F.try_to_date(F.nullif(found, F.lit("")), "yyyy-MM-dd")
+
+
+def editorial_date(published: Column, event: Column, html: Column, url: Column, feed: Column) -> Column:
+    """struct(at, source): when a press item came out.
+
+    The press service's date, its date of the event if the feed has none, the page's article data, meta tags and visible date, a day in the address,
+    then the feed's own date.
+    """
+    iso = lambda c: F.when(c.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.try_to_timestamp(c))
+    spoken = lambda c: F.try_to_timestamp(F.trim(c), F.lit("d MMMM yyyy"))
+    part = lambda p: F.regexp_extract(html, p, 1)
+    linked = part('(?s)<script[^>]*ld\\+json[^>]*>(?=[^<]*"@type"\\s*:\\s*"NewsArticle")[^<]*"datePublished"\\s*:\\s*"([^"]+)"')
+    meta = "<meta[^>]+(?:property|name)=[\"']{}[\"'][^>]*content=[\"']([^\"']+)[\"']"
+    metas = [iso(part(meta.format(p))) for p in ("article:published_time", "og:updated_time", "date", "publication_date")]
+    shown = spoken(F.regexp_extract(F.regexp_replace(html, "<[^>]*>", ""), "Publication date\\s*([0-9]{1,2}\\s+[A-Za-z]+\\s+[0-9]{4})", 1))
+    tries = [
+        ("presscorner_api", iso(published)), ("presscorner_api_event", F.when(feed.isNull(), F.coalesce(iso(event), spoken(event)))), ("node_jsonld", iso(linked)),
+        ("node_meta", F.coalesce(*metas)), ("node_text", shown), ("url_slug", address_day(url).cast("timestamp")),
+    ]
+    label = F.lit("rss_pubdate")
+    for name, at in reversed(tries):
+        label = F.when(at.isNotNull(), name).otherwise(label)
+    return F.struct(F.coalesce(*(at for _, at in tries), feed).alias("at"), label.alias("source"))

@@ -165,3 +165,13 @@ def keyword_score(text: Column) -> Column:
     """The deterministic stand-in for a model: 85, 55 or 25."""
     low = F.lower(text)
     return F.when(any_of(low, ["merger", "concentrac", "antitrust", "competencia", "cartel"]), 85).when(any_of(low, ["subvencion", "ayuda de estado", "state aid", "regulatorio"]), 55).otherwise(25)
+
+
+# Policy areas, in the order in which a category is held against them.
+POLICY_AREAS = ["antitrust", "mergers", "state aid", "cartels", "foreign subsidies", "competition law", "competition policy", "digital markets"]
+
+
+def policy_area(categories: Column) -> Column:
+    """The first area that the first category with one names; null if none does."""
+    area = lambda c: F.get(F.filter(F.array(*map(F.lit, POLICY_AREAS)), lambda a: F.contains(F.lower(c), a)), F.lit(0))
+    return F.get(F.filter(F.transform(categories, area), lambda a: a.isNotNull()), F.lit(0))

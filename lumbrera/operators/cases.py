@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumbrera.operators.rules import any_of
+from lumbrera.operators.agencies import milestone_family
+from lumbrera.operators.rules import any_of, event_note, sufficiency
 
 # Phrases that name a document both in a note and in a title, best first.
 DOCUMENT_PHRASES = [
@@ -227,3 +228,35 @@ def unanalysed_posts(entries: DataFrame, analyses: DataFrame) -> DataFrame:
 
 def duration_ms(started: Column, finished: Column) -> Column:
     return F.unix_millis(finished) - F.unix_millis(started)
+
+
+def case_milestones(cases: DataFrame, extracts: DataFrame, cutoff: Column) -> DataFrame:
+    """(case, pos, kind, title, level, latest, content): the substantive events of cases since the cutoff, each as a text of its own.
+
+    ``cases`` has case, title, case_type, document_type, body, updated_at, events array<struct<at, note>>, newest first, and attachments
+    array<struct<attachment, title, url, content_type, at>>; ``extracts`` (attachment, text). Cases outside competition law have none. A summary
+    goes if its main document is among the case's events. The latest event (the first, or one within a minute of the update) has the case's body
+    and the text of the document that its note means; an earlier one only the latter, and goes if that does not make a full text.
+    """
+    kind = case_content_type(F.col("case_type"), F.col("document_type"))
+    own = cases.withColumn("kind", kind).where(F.col("kind").isNotNull())
+    e = own.select("case", F.posexplode("events").alias("pos", "e")).select("case", "pos", "e.at", F.trim(F.coalesce("e.note", F.lit(""))).alias("note"))
+    e = e.where((F.col("at") >= cutoff) & (event_note(F.col("note")) == "SUBSTANTIVE")).withColumn("m", milestone_family(F.col("note")))
+    e = e.select("case", "pos", "at", "note", "m.derivative", "m.family", F.concat_ws("#", "case", "pos").alias("event"))
+    main = e.where(~F.col("derivative") & F.col("family").isNotNull()).select("case", "family", F.lit(True).alias("_main")).distinct()
+    e = e.join(main, ["case", "family"], "left").where(~(F.col("derivative") & F.coalesce("_main", F.lit(False))))
+    files = own.select("case", F.explode("attachments").alias("f")).select("case", "f.*")
+    match = match_attachments(e, files).select("event", "level", F.when(F.col("level").isin("EXACT", "STRONG"), F.col("attachment")).alias("attachment"))
+    named = files.select("attachment", F.col("title").alias("file")).distinct().join(extracts.where("text <> ''"), "attachment")
+    rows = e.join(own.select("case", "kind", "title", "body", "updated_at"), "case").join(match, "event").join(named, "attachment", "left")
+    latest = (F.col("pos") == 0) | F.coalesce(F.abs(F.unix_seconds(F.col("updated_at").cast("timestamp")) - F.unix_seconds(F.col("at").cast("timestamp"))) < 60, F.lit(False))
+    line = lambda label, c: F.concat(F.lit(label + ": "), c)
+    header = [line("Case", F.col("title")), line("Event", F.col("note")), line("Date", F.date_format("at", "yyyy-MM-dd")), line("Area", F.col("kind"))]
+    header += [line("Legal Basis", legal_basis(F.col("kind"))), line("Parties", F.array_join(parties(F.col("title"), F.col("kind")), ", "))]
+    told = F.nullif(F.col("body"), F.lit(""))
+    document = lambda label: F.when(F.col("text").isNotNull(), F.concat(F.lit(f"--- {label} ("), F.col("file"), F.lit(") ---\n\n"), F.col("text")))
+    now = F.concat_ws("\n\n", F.concat_ws("\n", *header), F.lit("--- CASE SUMMARY & PROCEEDINGS ---"), told, document("OFFICIAL DOCUMENT EXTRACT"))
+    then = F.concat_ws("\n\n", F.concat_ws("\n", *header), document("OFFICIAL EVENT DOCUMENT"))
+    rows = rows.withColumn("latest", latest).withColumn("content", F.trim(F.when(F.col("latest"), now).otherwise(then)))
+    rows = rows.where(F.col("latest") | (sufficiency(F.lit("case page"), F.col("content")) == "full"))
+    return rows.select("case", "pos", "kind", F.concat_ws(" - ", "title", "note").alias("title"), "level", "latest", "content")

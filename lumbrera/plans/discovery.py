@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from lumbrera.functions import dates, text
 from lumbrera.functions.identity import normalize_title, publisher_domain
 from lumbrera.operators import discovery as D
-from lumbrera.operators import news, taxonomy
+from lumbrera.operators import agencies, cases, news, taxonomy
 from lumbrera.plans.cases import pick
 from lumbrera.plans.registry import query
 from lumbrera.sources import bodies
@@ -196,3 +196,40 @@ def post_provenance(spark: SparkSession, sf: str) -> DataFrame:
     profile = F.when(t % 4 == 2, "https://www.linkedin.com/in/bob").otherwise("http://es.linkedin.com/in/Ann/?x=1")
     verdict = news.provenance(author, F.lit("Ann"), profile, F.array(F.lit("https://www.linkedin.com/in/ann")))
     return table(spark, sf, "conversations").select("conv_id", "turn", verdict.alias("verdict"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS c, p_brand || ' / ' || p_size || ' merger inquiry' AS title, p_partkey % 3 = 0 AS m, p_size % 5 = 0 AS final, p_size % 2 = 0 AS long, p_brand, p_size FROM part WHERE p_partkey % 3 < 2),
+h AS (SELECT *, 'Case: ' || title || chr(10) || 'Event: ' AS h1, chr(10) || 'Area: ' || CASE WHEN m THEN 'merger' || chr(10) || 'Legal Basis: Enterprise Act 2002 (Part 3)' || chr(10) || 'Parties: ' || p_brand || ', ' || p_size
+  ELSE 'antitrust' || chr(10) || 'Legal Basis: Competition Act 1998' END AS h2, chr(10) || chr(10) AS n FROM p)
+SELECT c AS "case", CAST(0 AS INT) AS pos, title || ' - Final report published' AS title, CASE WHEN final THEN 'EXACT' ELSE 'NONE' END AS level, TRUE AS latest,
+  sha256(h1 || 'Final report published' || chr(10) || 'Date: 2024-05-10' || h2 || n || '--- CASE SUMMARY & PROCEEDINGS ---' || n || 'Body ' || c || CASE WHEN final THEN n || '--- OFFICIAL DOCUMENT EXTRACT (Final Report) ---' || n || 'Findings.' ELSE '' END) AS content FROM h
+UNION ALL SELECT c, 3, title || ' - Phase 1 decision', 'EXACT', FALSE, sha256(h1 || 'Phase 1 decision' || chr(10) || 'Date: 2024-03-10' || h2 || n || '--- OFFICIAL EVENT DOCUMENT (Phase 1 decision) ---' || n || repeat('word ', 399) || 'word') FROM h WHERE long""")
+def case_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Case pages with five events: a report, its summary, a timetable, an earlier decision (with a long or a short text) and one before the cutoff."""
+    k = F.col("p_partkey")
+    days = ["2024-05-10", "2024-05-01", "2024-04-01", "2024-03-10", "2020-01-01"]
+    notes = ["Final report published ", "Summary of final report", "Case timetable", "Phase 1 decision", "Final report"]
+    event = lambda d, n: F.struct(F.lit(d).cast("timestamp").alias("at"), F.lit(n).alias("note"))
+    file = lambda n, title, day: F.struct((k * 10 + n).alias("attachment"), F.lit(title).alias("title"), F.lit("https://a.org/x.pdf").alias("url"), F.lit(None).cast("string").alias("content_type"), F.lit(day).cast("timestamp").alias("at"))
+    files = F.filter(F.array(F.when(F.col("p_size") % 5 == 0, file(1, "Final Report", "2024-05-10")), file(2, "Phase 1 decision", "2024-03-10")), lambda f: f.isNotNull())
+    rows = table(spark, sf, "part").select(
+        k.alias("case"), F.concat("p_brand", F.lit(" / "), F.col("p_size").cast("string"), F.lit(" merger inquiry")).alias("title"), pick(["mergers", "ca98-and-civil-cartels", "consumer"], k).alias("case_type"), F.lit("cma_case").alias("document_type"),
+        F.concat(F.lit("Body "), k.cast("string")).alias("body"), F.lit("2024-05-20").cast("timestamp").alias("updated_at"), F.array(*map(event, days, notes)).alias("events"), files.alias("attachments"), "p_size",
+    )
+    long = F.when(F.col("p_size") % 2 == 0, F.trim(F.repeat(F.lit("word "), F.lit(400)))).otherwise("word")
+    texts = rows.select((F.col("case") * 10 + 1).alias("attachment"), F.lit("Findings.").alias("text")).unionAll(rows.select((F.col("case") * 10 + 2).alias("attachment"), long.alias("text")))
+    got = cases.case_milestones(rows.drop("p_size"), texts, F.lit("2024-01-01").cast("timestamp"))
+    return got.select("case", "pos", "title", "level", "latest", F.sha2("content", 256).alias("content"))
+
+
+@query("""SELECT page_id, CASE page_id % 7 WHEN 0 THEN '2024-01-02' WHEN 1 THEN '2024-02-03' WHEN 2 THEN '2024-03-04' WHEN 3 THEN '2024-04-05' WHEN 4 THEN '2024-05-06' WHEN 5 THEN '2024-06-07' ELSE '2024-12-31' END AS day,
+CASE page_id % 7 WHEN 0 THEN 'presscorner_api' WHEN 1 THEN 'presscorner_api_event' WHEN 2 THEN 'node_jsonld' WHEN 3 THEN 'node_meta' WHEN 4 THEN 'node_text' WHEN 5 THEN 'url_slug' ELSE 'rss_pubdate' END AS source,
+CASE page_id % 3 WHEN 0 THEN 'state aid' WHEN 1 THEN 'antitrust' END AS area FROM pages""")
+def press_dates(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("page_id") % 7
+    html = ["", "", '<script type="application/ld+json">{"@type": "NewsArticle", "datePublished": "2024-03-04T00:00:00Z"}</script><meta name="date" content="2024-09-09">', '<script type="application/ld+json">{"@type": "Event", "datePublished": "2024-09-09"}</script><meta property="og:updated_time" content="2024-04-05">', "<b>Publication date</b> 6 May 2024", "", ""]
+    url = F.when(k == 5, "https://o.eu/news-2024-06-07_en").otherwise("https://o.eu/news")
+    feed = F.when(k != 1, F.lit("2024-12-31").cast("timestamp"))
+    d = dates.editorial_date(F.when(k == 0, "2024-01-02T10:00:00Z"), F.when(k < 2, "3 February 2024"), pick(html, k), url, feed)
+    areas = F.when(F.col("page_id") % 3 == 0, F.array(F.lit("News"), F.lit("State Aid"), F.lit("Antitrust"))).when(F.col("page_id") % 3 == 1, F.array(F.lit("Mergers, ANTITRUST"))).otherwise(F.array(F.lit("Other")))
+    return table(spark, sf, "pages").select("page_id", F.date_format(d["at"], "yyyy-MM-dd").alias("day"), d["source"].alias("source"), agencies.policy_area(areas).alias("area"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumbrera.functions import dates
+from lumbrera.operators.agencies import act_type
 from lumbrera.operators.planning import running_total
-from lumbrera.operators.rules import sufficiency
+from lumbrera.operators.rules import any_of, sufficiency
+from lumbrera.sources import bodies
 
 #: With a longer lookback the feed, which has few items, is not enough.
 FEED_DAYS = 8
@@ -121,3 +124,33 @@ def case_link(text: Column) -> Column:
     text = F.trim(text)
     number = F.trim(F.regexp_extract(text, p, 1))
     return F.struct(number.alias("number"), F.when(number == "", text).otherwise(F.trim(F.regexp_extract(text, p, 2))).alias("name"))
+
+
+# An act's number, and opinions about the institution itself.
+ACT_NUMBER = r"(?i)\b([0-9]{2}-(?:D|MC|DCC|A)-[0-9]{2,4})\b"
+INSTITUTIONAL = ["vie de l'institution", "proposition de nomination"]
+
+
+def act_pages(pages: DataFrame, base: str, cutoff: Column) -> DataFrame:
+    """(page, status, number, kind, at, phase, simplified, outcome, parties, title, content) of pages (page, url, html) of the French authority.
+
+    The status is ``act`` or ``notice``, or why a page is left: ``undated``, ``outside_lookback``, ``unsupported`` (a number of no known series, or a notice that
+    has another number) or ``administrative`` (an opinion about the institution). A page without a number is a notice. Null html counts as empty.
+    """
+    p = pages.withColumn("m", bodies.act_marks("html")).withColumn("d", bodies.date_marks("html"))
+    own = F.coalesce(F.nullif("m.address", F.lit("")), "url")
+    address = F.when(F.startswith(own, F.lit("http")), own).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.ltrim(own, F.lit("/"))))
+    found = F.upper(F.regexp_extract(F.concat_ws(" ", "m.title", "url"), ACT_NUMBER, 1))
+    p = p.withColumn("url", address).withColumn("number", F.coalesce(F.nullif("m.number", F.lit("")), F.nullif(found, F.lit(""))))
+    notice = F.col("number").isNull()
+    act = dates.act_date(F.col("d"), F.col("url"), F.col("html"), bodies.ACT_FIELDS, bodies.PUBLISHED_FIELDS)
+    at = F.when(notice, dates.notice_date(F.col("d"), F.col("url"), F.col("html"), bodies.NOTICE_FIELDS)).otherwise(act)
+    p = p.withColumn("at", at).withColumn("kind", F.when(notice, "press_notice").otherwise(act_type(F.col("number"))["type"]))
+    other = F.when(notice, F.col("m.numbered").isNotNull() & ~F.col("m.numbered").rlike(ACT_NUMBER)).otherwise(F.col("kind").isNull())
+    inner = F.coalesce((F.col("kind") == "opinion") & any_of(F.lower(F.concat_ws(" ", "m.title", "m.sectors")), INSTITUTIONAL), F.lit(False))
+    status = F.when(F.col("at").isNull(), "undated").when(F.col("at") < cutoff, "outside_lookback").when(other, "unsupported").when(inner, "administrative")
+    title = F.when((F.length("m.title") < 10) & ~notice, F.concat(F.lit("Décision "), "number")).otherwise(F.col("m.title"))
+    return p.select(
+        "page", status.otherwise(F.when(notice, "notice").otherwise("act")).alias("status"), "number", "kind", "at", "m.phase", F.col("m.simplified").isNotNull().alias("simplified"),
+        "m.outcome", "m.parties", title.alias("title"), bodies.article("act")("html")["content"].alias("content"),
+    )

@@ -233,3 +233,25 @@ def press_dates(spark: SparkSession, sf: str) -> DataFrame:
     d = dates.editorial_date(F.when(k == 0, "2024-01-02T10:00:00Z"), F.when(k < 2, "3 February 2024"), pick(html, k), url, feed)
     areas = F.when(F.col("page_id") % 3 == 0, F.array(F.lit("News"), F.lit("State Aid"), F.lit("Antitrust"))).when(F.col("page_id") % 3 == 1, F.array(F.lit("Mergers, ANTITRUST"))).otherwise(F.array(F.lit("Other")))
     return table(spark, sf, "pages").select("page_id", F.date_format(d["at"], "yyyy-MM-dd").alias("day"), d["source"].alias("source"), agencies.policy_area(areas).alias("area"))
+
+
+ACT_PAGES = [
+    '<link rel="canonical" href="/decision/24-d-05"><h1>Décision 24-D-05 du 3 mars 2024</h1><div class="field--name-field-provisions"><span class="field__label">Dispositif</span> <span class="field__item">Sanction</span></div>',
+    '<h1>Fusion</h1><p class="field-id">24-DCC-7</p><div class="field--name-field-phase-decision"><b class="field__label">Phase</b>Décision de phase : Phase 2</div><p>Décision simplifiée</p><time>x</time><span class="date-display-single">2 avril 2024</span>',
+    '<h1>Avis 24-A-02 du 5 mai 2024</h1><div class="field--name-field-sector"><a>Vie de l\'institution</a></div>',
+    '<h1>Communiqué sans date</h1>',
+    '<title>Communiqué de presse | Autorité</title><time datetime="2024-06-07">x</time>',
+    '<h1>Décision 19-D-01 du 1 janvier 2019</h1>',
+    '<h1>Une note du 8 juin 2024</h1><div class="field-numero-de-decision">24-X-1</div>',
+]
+
+
+@query("""SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'act' WHEN 1 THEN 'act' WHEN 2 THEN 'administrative' WHEN 3 THEN 'undated' WHEN 4 THEN 'notice' WHEN 5 THEN 'outside_lookback' ELSE 'unsupported' END AS status,
+CASE page_id % 7 WHEN 0 THEN '24-D-05' WHEN 1 THEN '24-DCC-7' WHEN 2 THEN '24-A-02' WHEN 5 THEN '19-D-01' END AS number, CASE page_id % 7 WHEN 0 THEN 'decision' WHEN 1 THEN 'merger_decision' WHEN 2 THEN 'opinion' WHEN 5 THEN 'decision' ELSE 'press_notice' END AS kind,
+CASE page_id % 7 WHEN 0 THEN '2024-03-03' WHEN 1 THEN '2024-04-02' WHEN 2 THEN '2024-05-05' WHEN 4 THEN '2024-06-07' WHEN 5 THEN '2019-01-01' WHEN 6 THEN '2024-06-08' END AS day, CASE WHEN page_id % 7 = 1 THEN 'Phase 2' END AS phase, page_id % 7 = 1 AS simplified,
+CASE WHEN page_id % 7 = 0 THEN 'Sanction' END AS outcome, CASE page_id % 7 WHEN 0 THEN 'Décision 24-D-05 du 3 mars 2024' WHEN 1 THEN 'Décision 24-DCC-7' WHEN 2 THEN 'Avis 24-A-02 du 5 mai 2024' WHEN 3 THEN 'Communiqué sans date' WHEN 4 THEN 'Communiqué de presse' WHEN 5 THEN 'Décision 19-D-01 du 1 janvier 2019' ELSE 'Une note du 8 juin 2024' END AS title FROM pages""")
+def authority_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of acts and notices, with every reason for which one is left."""
+    p = table(spark, sf, "pages").select(F.col("page_id").alias("page"), F.lit("https://a.fr/x").alias("url"), pick(ACT_PAGES, F.col("page_id")).alias("html"))
+    got = D.act_pages(p, "https://a.fr", F.lit("2024-01-01").cast("timestamp"))
+    return got.select(F.col("page").alias("page_id"), "status", "number", "kind", F.date_format("at", "yyyy-MM-dd").alias("day"), "phase", "simplified", "outcome", "title")

@@ -202,3 +202,51 @@ def marks(html: str) -> tuple:
 def date_marks(html: pd.Series) -> pd.DataFrame:
     """What a page says of its dates, unparsed, for ``functions.dates.act_date`` and ``notice_date``."""
     return pd.DataFrame([marks(h or "") for h in html], columns=MARKS.names, dtype=object)
+
+
+# Where pages of the French authority name an act.
+ACT_PAGE = T.StructType([T.StructField(f, T.StringType()) for f in ("address", "title", "number", "numbered", "sectors", "phase", "simplified", "outcome", "parties")])
+
+
+def of_class(root: Node, *names: str) -> Node | None:
+    return first(root, lambda n: any(c in classes(n) for c in names))
+
+
+def field_value(root: Node, name: str) -> str | None:
+    """A field's item, else the field without its label."""
+    field = of_class(root, name)
+    if field is None:
+        return None
+    item = of_class(field, "field__item", "field-item")
+    if item is None or not joined(item, ""):
+        item = Node(field.tag, field.attrs, [p for p in field.parts if isinstance(p, str) or "field__label" not in classes(p)])
+    return joined(item, "")
+
+
+def act_page(html: str) -> tuple:
+    root = tree(html)
+    low = html.lower()
+    link = first(root, lambda n: n.tag == "link" and "canonical" in n.attrs.get("rel", "").split())
+    h1, title = tagged(root, "h1"), tagged(root, "title")
+    named = " ".join("".join(strings(h1)).split()) if h1 else ""
+    if not named and title:
+        named = re.sub(r"\s*\|\s*Autorité.*$", "", "".join(strings(title))).strip()
+    number, numbered = of_class(root, "field--name-field-id", "field-id"), of_class(root, "field--name-field-numero-de-decision", "field-numero-de-decision")
+    sectors = [joined(a, "") for n in root.walk() if "field--name-field-sector" in classes(n) for a in n.walk() if a.tag == "a"]
+    phase = field_value(root, "field--name-field-phase-decision")
+    if phase is None:
+        phase = next((p for p in ("Phase 2", "Phase 1") if p.lower() in low), None)
+    else:
+        bare = re.sub(r"^d[eé]cision\s+de\s+phase\s*:?\s*", "", phase, flags=re.I).strip()
+        phase = next((p for p in ("Phase 2", "Phase 1") if p.lower() in bare.lower()), bare or None)
+    simplified = "yes" if "décision simplifiée" in low or "decision simplifiee" in low else None
+    return (
+        link.attrs.get("href") if link else None, named, joined(number, "") if number else "", joined(numbered, "") if numbered else None, " / ".join(sectors), phase,
+        simplified, field_value(root, "field--name-field-provisions"), field_value(root, "field--name-field-parties"),
+    )
+
+
+@F.pandas_udf(ACT_PAGE)
+def act_marks(html: pd.Series) -> pd.DataFrame:
+    """What a page of the authority says of its act, for ``operators.discovery.act_pages``."""
+    return pd.DataFrame([act_page(h or "") for h in html], columns=ACT_PAGE.names, dtype=object)

@@ -40,4 +40,10 @@ FROM documents d LEFT JOIN (
   FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id) x ON d.doc_id = x.doc_id
 """
 
-ORACLES: dict[str, str] = {"op7_decontaminate": OP7, "op9_line_dedup": OP9}
+OP13 = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+  row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
+ORACLES: dict[str, str] = {"op7_decontaminate": OP7, "op9_line_dedup": OP9, "op13_exact_dedup": OP13}

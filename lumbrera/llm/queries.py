@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lumbrera.llm import arrow_shards, decontaminate, exact_dedup, licence_scan, line_dedup, passages, piece_codec, privacy, quality, simhash, sketch, whitening
+from lumbrera.llm import arrow_shards, decontaminate, exact_dedup, licence_scan, line_dedup, passages, piece_codec, privacy, quality, ranked_search, simhash, sketch, whitening
 from lumbrera.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digest(table(spark, sf_dir, "embeddings"))
 
@@ -63,6 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_sentencepiece, op2_fingerprints, op3_quality, op4_personal_data, op5_arrow_shards, op6_licences, op7_decontaminate, op8_simhash, op9_line_dedup,
-        op10_passages, op12_whitening, op13_exact_dedup,
+        op10_passages, op11_ranked_search, op12_whitening, op13_exact_dedup,
     )
 }

@@ -23,7 +23,12 @@ from pyspark.sql import functions as F
 
 from lumbrera.llm.common import cut, fresh_path
 
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; what a batch changed is written, not the whole state; no space is set aside for the files of each of many small stores.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Bytes that a task of a batch reads, about.
 TASK_BYTES = 256 << 20
 #: Rows of groups that are broadcast; more are joined by a shuffle.
@@ -37,14 +42,15 @@ def sha256(text: Column) -> Column:
 
 @contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
-    """State on disk while a stream starts; other streams of the session keep their setting."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, PROVIDER)
+    """Settings of the state, while a stream runs or its state is read; other streams of the session keep their own."""
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def stream_path(spark: SparkSession, path: str) -> str:
@@ -85,7 +91,8 @@ def sized(small: DataFrame) -> DataFrame:
 
 def classes(spark: SparkSession, path: str, checkpoint: str, id_col: str = "doc_id", text_col: str = "text", digest: Digest = sha256) -> DataFrame:
     """(id, keep, n, kept, digest) of each row at ``path``, which ``advance`` has read into the state."""
-    hits = cut(held(spark, checkpoint).where("n > 1"))
+    with rocksdb(spark):
+        hits = cut(held(spark, checkpoint).where("n > 1"))
     docs = placed(spark.read.parquet(path), id_col, text_col, digest)
     seen = docs.join(sized(hits.select("digest")), "digest", "left_semi")
     unlike = cut(seen.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("z")).where("a <> z").select("digest"))

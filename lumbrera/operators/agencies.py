@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumbrera.operators import containment
 from lumbrera.operators.rules import any_of
 
 Rules = list[tuple[str, list[str]]]
@@ -157,6 +158,21 @@ def same_person(expected: Column, found: Column) -> Column:
     return (F.size(a) > 0) & (F.size(b) > 0) & ((a == b) | F.coalesce(F.when(both, ends & rest), F.lit(False)))
 
 
+def person_pairs(entities: DataFrame, authors: DataFrame) -> DataFrame:
+    """(entity, author): all pairs of the names in the columns ``entity`` and ``author`` that are ``same_person``.
+
+    Each name is looked up once, however many rows have it. What an entity's words ask for (the first, the last and all of more than one character) is
+    joined by containment, so a first name that very many authors share makes no large group.
+    """
+    named = lambda df, c: df.select(c).where(F.col(c).isNotNull()).distinct()
+    words = name_tokens(F.col("entity"))
+    asked = F.array_union(F.filter(words, lambda t: F.length(t) > 1), F.array_compact(F.array(F.get(words, F.lit(0)), F.try_element_at(words, F.lit(-1)))))
+    small = named(entities, "entity").select(F.col("entity").alias("small_id"), asked.alias("elements"))
+    large = named(authors, "author").select(F.col("author").alias("large_id"), name_tokens(F.col("author")).alias("elements"))
+    pairs = containment.candidates(small, large).select(F.col("small_id").alias("entity"), F.col("large_id").alias("author"))
+    return pairs.where(same_person(F.col("entity"), F.col("author")))
+
+
 # Source routes, in order: extractor and what its address or name holds.
 ROUTES: Rules = [("cnmc", ["cnmc"]), ("tribunal", ["catribunal", "competition appeal tribunal"]), ("curia", ["curia"]), ("dma", ["digital-markets-act"]), ("ec", ["ec.europa.eu", "european commission"]), ("oecd", ["oecd"]), ("cartel_office", ["bundeskartellamt"]), ("cma", ["competition-and-markets", "cma"]), ("adlc", ["autoritedelaconcurrence"]), ("ftc", ["ftc.gov"]), ("doj", ["justice.gov"])]
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumbrera.operators import containment
+
 
 def any_key_matches(new: DataFrame, old: DataFrame, id_col: str, pairs: list[tuple[str, Column, Column]]) -> DataFrame:
     """(id, reason, rank) of the new rows that an old one matches by any (reason, new key, old key).
@@ -38,3 +40,24 @@ def ladder(df: DataFrame, id_col: str, order: list[Column], keys: list[tuple[str
 def groups(df: DataFrame, *keys: Column) -> DataFrame:
     """Key groups of more than one row."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def press_duplicates(new: DataFrame, old: DataFrame) -> DataFrame:
+    """(id, matched_id, reason) of the new rows that an old one of any source matches by its press release.
+
+    ``new`` has ``id``, ``press_ref`` and ``press_url``; ``old`` has ``id``, ``url``, ``canonical_url`` and ``external_id``. An old row matches if either of its
+    addresses is the press release's, or if its addresses or its external id hold the reference, in lower case, with each slash as an underscore: as in a
+    pattern of LIKE, an underscore there is any character. Empty references and addresses match nothing. Of several old rows the smallest id
+    is named. The reason is ``presscorner``.
+    """
+    slug = F.replace(F.lower("press_ref"), F.lit("/"), F.lit("_"))
+    wanted = new.select("id", slug.alias("slug"), "press_url")
+    by_ref = wanted.where("slug <> ''").select(F.col("id").alias("pattern_id"), F.col("slug").alias("pattern"))
+    ways = F.explode(F.array(*[F.struct(F.lit(k).alias("way"), F.col(c).alias("text")) for k, c in enumerate(("url", "canonical_url", "external_id"))]))
+    texts = old.select("id", ways.alias("w")).where("w.text <> ''").select(F.struct(F.col("id"), F.col("w.way")).alias("text_id"), "w.text")
+    held = containment.holding(texts, by_ref).select(F.col("pattern_id").alias("id"), F.col("text_id.id").alias("matched_id"))
+    addresses = old.select("id", F.explode(F.array("url", "canonical_url")).alias("press_url")).where("press_url <> ''")
+    first = addresses.groupBy("press_url").agg(F.min("id").alias("matched_id"))
+    equal = wanted.where("press_url <> ''").join(first, "press_url").select("id", "matched_id")
+    found = held.unionByName(equal).groupBy("id").agg(F.min("matched_id").alias("matched_id"))
+    return found.withColumn("reason", F.lit("presscorner"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumbrera.functions import identity as I
+from lumbrera.operators import agencies as AG
 from lumbrera.operators import dedup as D
 from lumbrera.plans.registry import query
 from lumbrera.sources.tables import entries, table, with_views
@@ -96,3 +97,32 @@ def url_variant_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     v = p.select("page_id", F.explode(F.array_distinct(F.array(F.col("url"), bare, F.concat(bare, F.lit("/")), F.regexp_replace("url", "[?#].*$", "")))).alias("k"))
     first = v.groupBy("k").agg(F.min("page_id").alias("first_id"))
     return v.join(first, "k").where("first_id < page_id").groupBy("page_id").agg(F.min("first_id").alias("first_id"))
+
+
+PRESS_SQL = f"""WITH o AS (SELECT page_id AS id, url, {CLEAN_SQL} AS canonical_url, 'page:' || {PATH_SQL} AS external_id FROM pages),
+n AS (SELECT p_partkey AS id, CASE p_size % 4 WHEN 0 THEN 'EN' WHEN 1 THEN 'fr' WHEN 2 THEN 'De' ELSE 'es' END || '/' || p_partkey AS ref, 'https://thther.example.org/en/' || p_partkey AS press_url FROM part)
+SELECT n.id, min(o.id) AS matched_id, 'presscorner' AS reason FROM n JOIN o ON press_url IN (url, canonical_url)
+  OR url ILIKE '%' || replace(lower(ref), '/', '_') || '%' OR canonical_url ILIKE '%' || replace(lower(ref), '/', '_') || '%' OR external_id ILIKE '%' || replace(lower(ref), '/', '_') || '%'
+GROUP BY n.id"""
+
+
+@query(PRESS_SQL)
+def press_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as press items: a reference of language and number, which pages of other sources may hold in their addresses."""
+    path = F.rtrim(F.regexp_extract("url", "^[^:]*://[^/?#]*([^?#]*)", 1), F.lit("/"))
+    clean = F.concat(F.lower(F.regexp_extract("url", "^([^:]*://[^/?#]*)", 1)), path)
+    old = table(spark, sf, "pages").select(F.col("page_id").alias("id"), "url", clean.alias("canonical_url"), F.concat(F.lit("page:"), path).alias("external_id"))
+    lang = F.element_at(F.array(*map(F.lit, ["EN", "fr", "De", "es"])), (F.col("p_size") % 4 + 1).cast("int"))
+    new = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat(lang, F.lit("/"), "p_partkey").alias("press_ref"), F.concat(F.lit("https://thther.example.org/en/"), "p_partkey").alias("press_url"))
+    return D.press_duplicates(new, old)
+
+
+@query("""WITH w AS (SELECT source, regexp_extract_all(substring(text, 1, 200), '[A-Za-z]+') AS w FROM documents),
+e AS (SELECT DISTINCT w[1] || ' ' || w[4] AS entity FROM w WHERE len(w) >= 4), a AS (SELECT DISTINCT w[1] || ' ' || w[2] || ' ' || w[3] || ' ' || w[4] AS author FROM w WHERE len(w) >= 4),
+t AS (SELECT entity, list_filter(string_split(lower(entity), ' '), lambda x: x NOT IN ('dr', 'prof', 'professor', 'mr', 'mrs', 'ms', 'llm', 'phd', 'esq', 'abogado', 'lic', 'ing', 'avocat', 'rechtsanwalt')) AS t FROM e),
+u AS (SELECT author, list_filter(string_split(lower(author), ' '), lambda x: x NOT IN ('dr', 'prof', 'professor', 'mr', 'mrs', 'ms', 'llm', 'phd', 'esq', 'abogado', 'lic', 'ing', 'avocat', 'rechtsanwalt')) AS u FROM a)
+SELECT entity, author FROM t JOIN u ON len(t) > 0 AND len(u) > 0 AND (t = u OR (len(t) >= 2 AND len(u) >= 2 AND t[1] = u[1] AND t[-1] = u[-1] AND list_has_all(u, list_filter(t, lambda x: len(x) > 1))))""")
+def person_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of two words and of four, both from the beginnings of publications: which are the same person's."""
+    w = entries(spark, sf).select(F.regexp_extract_all("excerpt", F.lit("[A-Za-z]+"), 0).alias("w")).where("size(w) >= 4")
+    return AG.person_pairs(w.select(F.concat_ws(" ", F.col("w")[0], F.col("w")[3]).alias("entity")), w.select(F.array_join(F.slice("w", 1, 4), " ").alias("author")))

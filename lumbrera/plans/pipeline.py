@@ -9,8 +9,10 @@ from pyspark.sql import Window as W
 from lumbrera.operators import planning as P
 from lumbrera.operators import rules as R
 from lumbrera.operators import selection as S
-from lumbrera.plans.registry import query
+from lumbrera.plans.registry import ORACLES, query
+from lumbrera.session import work_folder
 from lumbrera.sources.tables import analyses, entries, table, with_views
+from lumbrera.streaming import failures
 
 LEVEL_SQL = "CASE WHEN length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) >= 1500 THEN 'full' WHEN length(regexp_replace(content, '^\\s+|\\s+$', '', 'g')) >= 300 THEN 'partial' ELSE 'insufficient' END"
 
@@ -167,6 +169,14 @@ def failed_login_window(spark: SparkSession, sf: str) -> DataFrame:
     return e.withColumn("n", F.count("*").over(own)).where("n >= 3").select("event_id", "user_id", "n")
 
 
+@query(ORACLES["failed_login_window"])
+def failed_login_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a stream with keyed state and timers, over the stored events and to their end."""
+    folder = work_folder(spark, "failed-logins")
+    rows = failures.replayed(spark, f"{sf}/events.parquet", folder, lambda e: failures.sliding_failures(e, 12, 3))
+    return rows.select("event_id", F.col("key").alias("user_id"), "n")
+
+
 @query("SELECT s_suppkey, s_name, n_name, r_name, s_suppkey % 4 = 0 AS is_primary FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal > 0")
 def entity_topics_join(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "supplier").where("s_acctbal > 0")
@@ -184,6 +194,14 @@ def consecutive_failure_stop(spark: SparkSession, sf: str) -> DataFrame:
     return s.where("streak >= 2 OR total >= 3").groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("stop_event"))
 
 
+@query(ORACLES["consecutive_failure_stop"])
+def failure_stop_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The same as a stream: where each run stops, found once all earlier events are there."""
+    folder = work_folder(spark, "failure-stops")
+    rows = failures.replayed(spark, f"{sf}/events.parquet", folder, lambda e: failures.failure_stop(e, 2, 3))
+    return rows.select(F.col("key").alias("user_id"), F.col("event_id").alias("stop_event"))
+
+
 @query("""WITH o AS (SELECT p_brand AS code, p_size AS version, max(p_type) AS body FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2), n AS (SELECT p_brand AS code, p_size AS version, max(p_type) AS body FROM part WHERE p_partkey % 3 = 0 GROUP BY 1, 2)
 SELECT coalesce(o.code, n.code) AS code, coalesce(o.version, n.version) AS version, CASE WHEN o.code IS NULL THEN 'insert' WHEN n.code IS NULL THEN 'keep' WHEN o.body = n.body THEN 'no_op' WHEN o.version >= 7 THEN 'replace' WHEN o.version = 6 THEN 'active_only' ELSE 'conflict' END AS action FROM o FULL JOIN n ON o.code = n.code AND o.version = n.version""")
 def prompt_merge_actions(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +23,14 @@ def build_session(master: str | None = None, partitions: int | None = None, memo
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def work_folder(spark: SparkSession, what: str) -> str:
+    """A new folder's path where driver and executors share files: under spark.checkpoint.dir, or a temporary one in a session of one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="lumbrera-")
+    return f"{found.rstrip('/')}/lumbrera/{what}-{uuid.uuid4().hex}"

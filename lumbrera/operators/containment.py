@@ -46,9 +46,8 @@ def subset_pairs(small: DataFrame, large: DataFrame) -> DataFrame:
 
 
 def grams(text: Column, size: int) -> Column:
-    """All substrings of ``size`` characters."""
-    at = F.sequence(F.lit(1), F.length(text) - size + 1)
-    return F.when(F.length(text) >= size, F.transform(at, lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    """All substrings of ``size`` characters, in one pass over the text."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1)
 
 
 def pieces(pattern: Column) -> Column:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lumbrera.operators import archive
 from lumbrera.operators import selection as S
 from lumbrera.operators import taxonomy as T
 from lumbrera.plans.registry import query
+from lumbrera.session import work_folder
 from lumbrera.sources.tables import analyses, entries, table, topics, with_views
 
 BASE = with_views("entries", "analyses", "current")
@@ -47,6 +51,22 @@ def archive_ilike_search(spark: SparkSession, sf: str) -> DataFrame:
     return S.page(found, [F.col("published_on").desc_nulls_last(), F.col("entry_id")], 50, 1, None)
 
 
+@query("""SELECT 'literal' AS kind, doc_id AS entry_id FROM documents WHERE contains(lower(text), 'of the in') UNION ALL SELECT 'pattern', doc_id FROM documents WHERE text ILIKE '%th_r%e of%'
+UNION ALL SELECT 'short', doc_id FROM documents WHERE contains(lower(source), 'w') UNION ALL SELECT 'absent', doc_id FROM documents WHERE contains(lower(text), 'qzxqzx')""")
+def archive_index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The archive stored with trigram postings, and four searches that read what may match."""
+    folder = work_folder(spark, "archive")
+    rows = entries(spark, sf).select("entry_id", "source", "content")
+    archive.add(rows, folder, "entry_id", ["source", "content"])
+    found = [
+        ("literal", archive.search_text(spark, folder, "of the in", ["content"])),
+        ("pattern", archive.search_pattern(spark, folder, " th_r%e of ", ["content"])),
+        ("short", archive.search_text(spark, folder, "w", ["source"])),
+        ("absent", archive.search_text(spark, folder, "qzxqzx", ["source", "content"])),
+    ]
+    return reduce(DataFrame.unionByName, [df.select(F.lit(kind).alias("kind"), "entry_id") for kind, df in found])
+
+
 @query("SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'")
 def date_range_inclusive(spark: SparkSession, sf: str) -> DataFrame:
     """Whole days at both ends. Bounds are compared with the raw timestamp, so they reach the scan."""

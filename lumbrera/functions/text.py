@@ -11,27 +11,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Typographic characters and their plain forms.
+# Typographic characters and their plain forms; spaces about punctuation and hyphens; the marker before an initial that stands alone.
 PLAIN = str.maketrans({" ": " ", "“": '"', "”": '"', "«": '"', "»": '"', "‘": "'", "’": "'", "`": "'", "–": "-", "—": "-"})
 ELLIPSIS = re.compile(r"(\.{3,}|…)\s*$")
 MIN_ELLIPSIS, MAX_QUOTE = 40, 500
+LINE_HYPHEN = re.compile(r"(\w+)-\s*[\r\n]+\s*(\w+)")
+SPACING = [(re.compile(r"\s+([,.:;!?\)\]])"), r"\1"), (re.compile(r"([\(\[])\s+"), r"\1"), (re.compile(r"(\w)\s*-\s*(\w)"), r"\1-\2")]
+INITIALS = [re.compile(marker + r"([B-HJ-Z])\s+([a-z]{2,}\b)") for marker in (r"(\b\d+\.\s+)", r"(\([A-Za-z0-9]+\)\s+)")]
 
 
 def for_matching(text: str, join_lines: bool = True) -> str:
     """NFKC and plain punctuation, single spaces, none inside brackets or before punctuation; words hyphenated over lines are joined."""
     out = unicodedata.normalize("NFKC", text)
     if join_lines:
-        out = re.sub(r"(\w+)-\s*[\r\n]+\s*(\w+)", r"\1\2", out)
+        out = LINE_HYPHEN.sub(r"\1\2", out)
     out = " ".join(out.translate(PLAIN).split())
-    for pattern, to in ((r"\s+([,.:;!?\)\]])", r"\1"), (r"([\(\[])\s+", r"\1"), (r"(\w)\s*-\s*(\w)", r"\1-\2")):
-        out = re.sub(pattern, to, out)
+    for pattern, to in SPACING:
+        out = pattern.sub(to, out)
     return out
 
 
 def rejoin_initials(text: str) -> str:
     """``14. B arriers`` is ``14. Barriers``; the words A and I are left."""
-    for marker in (r"(\b\d+\.\s+)", r"(\([A-Za-z0-9]+\)\s+)"):
-        text = re.sub(marker + r"([B-HJ-Z])\s+([a-z]{2,}\b)", r"\1\2\3", text)
+    for pattern in INITIALS:
+        text = pattern.sub(r"\1\2\3", text)
     return text
 
 
@@ -229,7 +232,7 @@ def document_title(manual: Column, embedded: Column, name: Column, fallback: str
 DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212\ufe63\uff0d"
 SINGLE_QUOTES = "\u2018\u2019\u201a\u201b"
 DOUBLE_QUOTES = "\u201c\u201d\u201e\u201f"
-PLAIN = str.maketrans(DASHES + SINGLE_QUOTES + DOUBLE_QUOTES, "-" * len(DASHES) + "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES))
+LEGAL_PLAIN = str.maketrans(DASHES + SINGLE_QUOTES + DOUBLE_QUOTES, "-" * len(DASHES) + "'" * len(SINGLE_QUOTES) + '"' * len(DOUBLE_QUOTES))
 # Names of content types in reports.
 TYPE_LABELS = {
     "judicial_decision": "Resolución Judicial", "article": "Artículo Doctrinal / Noticia", "manual_upload": "Aportación Manual",
@@ -240,7 +243,7 @@ TYPE_LABELS = {
 @F.pandas_udf(T.StringType())
 def legal_text(text: pd.Series) -> pd.Series:
     """NFKC, with plain dashes and quotes; null is empty."""
-    return text.map(lambda x: unicodedata.normalize("NFKC", x or "").translate(PLAIN))
+    return text.map(lambda x: unicodedata.normalize("NFKC", x or "").translate(LEGAL_PLAIN))
 
 
 def query_text(c: Column) -> Column:

@@ -46,9 +46,25 @@ EDITORIAL = ["youtube", "jahrespressekonferenz", "stellenangebot", "karriere", "
 LEGAL_PDF = ["complaint", "decree", "plea", "agreement", "indictment", "order", "stipulation", "settlement", "brief", "amicus", "statement", "judgment", "motion", "cis", "competitive-impact"]
 NO_PDF = ["annual-report", "brochure", "flyer", "infographic", "budget", "fast-facts", "org-chart"]
 CORPORATE = r"(?i)\b(appoint(s|ed|ments?)?|promot(es?|ed|ions?)|join(s|ed)?|seeks?|hiring|recruitment|associate|internship|career|nominat(ed|ions?)|rank(s|ed|ings?)?|gcr 100|best lawyers|recogni[sz]e[sd]?|recognition|awards?|shortlisted|wins? .* award|legal 500|chambers|juve|who'?s who legal|\d+ under \d+)\b"
-STATUTES = [("Sherman Act § 1", "sherman act"), ("Sherman Act § 2", "sherman act"), ("Clayton Act § 7A", "clayton act"), ("Clayton Act § 7", "clayton act"), ("Clayton Act § 8", "clayton act"), ("HSR Act", "hart-scott-rodino|hsr act"), ("Robinson-Patman Act", "robinson-patman act")]
+# The division's labels of statutes and what names them.
+STATUTES = [
+    ("Sherman Act § 1 (Conspiracy / Cartel / Restraint of Trade)", "sherman act"), ("Sherman Act § 2 (Monopolization)", "sherman act"), ("Clayton Act § 7A (Hart-Scott-Rodino Premerger Review)", "clayton act"),
+    ("Clayton Act § 7 (Substantial Lessening of Competition)", "clayton act"), ("Clayton Act § 8 (Interlocking Directorates)", "clayton act"), ("Hart-Scott-Rodino (HSR) Act", "hart-scott-rodino|hsr act"),
+    ("Robinson-Patman Act", "robinson-patman act"),
+]
 ACTS = {"D": ("decision", "antitrust"), "MC": ("interim_measure", "interim_measures"), "DCC": ("merger_decision", "merger_control"), "A": ("opinion", "competition_policy")}
-PRIMARY = {"final_report": ["final report", "final decision report", "full report"], "provisional_findings": ["provisional findings", "provisional decision"], "decision": ["full text decision", "non-confidential decision", "infringement decision", "clearance decision", "final decision published", "phase 1 decision"]}
+# What notes of summaries and of main documents say, by family, in order.
+SUMMARIES = {
+    "final_report": ["summary of final report", "summary of the final report", "summary of final decision report", "summary of report"],
+    "provisional_findings": ["summary of provisional findings", "summary of the provisional findings", "summary of provisional decision"],
+    "decision": ["summary of phase 1 decision", "summary of final decision", "summary of decision", "summary of infringement decision"],
+    "general_summary": ["executive summary"],
+}
+PRIMARY = {
+    "final_report": ["final report", "final decision report", "full report"],
+    "provisional_findings": ["full text of provisional findings", "notice of provisional findings", "provisional findings", "provisional decision"],
+    "decision": ["full text decision", "non-confidential decision", "infringement decision", "clearance decision", "final decision published", "phase 1 decision"],
+}
 
 
 def holds(text: Column, words: str) -> Column:
@@ -94,11 +110,23 @@ def substantive_post(category: Column, title: Column) -> Column:
 
 
 def statutes(text: Column) -> Column:
-    """Labels of the statutes a text names; the section is not told apart, so one act gives all of its labels."""
+    """The division's labels of the statutes a text names; the section is not told apart, so one act gives all of its labels."""
     low = F.lower(text)
     return F.array_compact(F.array(*[F.when(low.rlike(pattern), label) for label, pattern in STATUTES]))
 
 
+def provisions(text: Column) -> Column:
+    """The commission's provisions: by act, or by the section alone where that means one act; Sherman sections only where they are named, else the act."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    has = lambda *words: any_of(low, list(words))
+    sherman = has("sherman act")
+    found = [
+        (has("clayton act", "section 7"), "Clayton Act Section 7"), (has("ftc act", "section 5"), "FTC Act Section 5"), (sherman & has("section 1"), "Sherman Act Section 1"),
+        (sherman & has("section 2"), "Sherman Act Section 2"), (sherman & ~has("section 1", "section 2"), "Sherman Act"), (has("hart-scott-rodino", "hsr act"), "Hart-Scott-Rodino Act"),
+    ]
+    return F.array_compact(F.array(*[F.when(test, label) for test, label in found]))
+
+
 def act_type(official_id: Column) -> Column:
     """struct(type, family) of an authority's act number, null if it has no known series."""
     series = F.regexp_extract(F.upper(F.trim(official_id)), "^[0-9]{2}-(D|MC|DCC|A)-[0-9]+", 1)
@@ -107,12 +135,17 @@ def act_type(official_id: Column) -> Column:
 
 
 def milestone_family(note: Column) -> Column:
-    """(derivative, family) of a case note: summaries are derivatives of their families."""
-    low = F.lower(note)
-    family = F.when(F.lit(False), "")
-    for name, words in PRIMARY.items():
-        family = family.when(any_of(low, [*words, *(["decision"] if name == "decision" else [])]), name)
-    return F.struct(low.rlike("summary of (the )?").alias("derivative"), family.alias("family"))
+    """(derivative, family) of a case note: summaries are derivatives of a family, and no others are; null is the family of a note of neither kind."""
+    low = F.trim(F.regexp_replace(F.lower(F.coalesce(note, F.lit(""))), "[\\s\\p{Z}]+", " "))
+
+    def first(phrases: dict[str, list[str]]) -> Column:
+        out = F.when(F.lit(False), "")
+        for name, words in phrases.items():
+            out = out.when(any_of(low, words), name)
+        return out
+
+    summary = first(SUMMARIES)
+    return F.struct(summary.isNotNull().alias("derivative"), F.coalesce(summary, first(PRIMARY)).alias("family"))
 
 
 def docket(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumbrera.functions.text import quote_verdict
+
 #: Words that make up a key.
 KEY_WORDS = 4
 
@@ -37,3 +39,21 @@ def documents_with(docs: DataFrame, quotes: DataFrame) -> DataFrame:
     found = (rest if hit is None else hit.unionByName(rest)).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
     out = quotes.select("item_id").join(found, "item_id", "left")
     return out.select("item_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("first_doc", F.lit(-1)).alias("first_doc"))
+
+
+def evidence_text(field: Column, title: Column, content: Column, excerpt: Column) -> Column:
+    """The text that a quote of ``field`` is held against, null if that field was not given to the model: the title and the content, or the excerpt if there
+    is no content, each only if it is not blank. The field's name may have spaces about it and any case."""
+    name = F.lower(F.trim(F.coalesce(field, F.lit(""))))
+    has = lambda c: F.coalesce(c, F.lit("")).rlike("[^\\s\\p{Z}]")
+    return F.when((name == "title") & has(title), title).when((name == "content") & has(content), content).when((name == "excerpt") & has(excerpt) & ~has(content), excerpt)
+
+
+def verified(evidence: DataFrame, entries: DataFrame) -> DataFrame:
+    """``evidence`` (entry_id, field, quote, and others) with ``verdict``: ``ok``, ``empty``, ``too_long``, ``field_not_provided`` or ``not_found``.
+
+    ``entries`` has entry_id, title, content and excerpt. Evidence of an entry that is not there has no field that was given.
+    """
+    own = entries.select("entry_id", F.col("title").alias("_title"), F.col("content").alias("_content"), F.col("excerpt").alias("_excerpt"))
+    both = evidence.join(own, "entry_id", "left").withColumn("_text", evidence_text(F.col("field"), F.col("_title"), F.col("_content"), F.col("_excerpt")))
+    return both.withColumn("verdict", quote_verdict("quote", "_text", F.col("_text").isNotNull())).drop("_title", "_content", "_excerpt", "_text")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lumbrera.functions.text import legal_text
+from lumbrera.operators import audits
 from lumbrera.operators import planning as P
 from lumbrera.operators import rules as R
 from lumbrera.operators import selection as S
@@ -135,23 +137,73 @@ def stage_gating(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("entry_id", "version", R.stage_outcome(F.col("status") != "failed", F.col("level"), F.coalesce(S.relevance(F.col("score")), F.lit("none")), F.col("entry_id") % 9 > 0).alias("outcome"))
 
 
-@query(with_views("entries") + """, w AS (SELECT entry_id, list_distinct(list_filter(string_split_regex(lower(title), '[^a-z]+'), lambda x: x <> '')) AS t, list_distinct(list_filter(string_split_regex(lower(content), '[^a-z]+'), lambda x: x <> '')) AS c FROM entries),
-o AS (SELECT entry_id, len(t) AS n, len(list_intersect(t, c)) AS k FROM w)
-SELECT entry_id, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k, CASE WHEN n = 0 THEN 'WARNING' WHEN k * 1.0 / n < 0.2 AND k < 2 THEN 'ERROR' ELSE 'OK' END AS verdict FROM o""")
+# Publications of five kinds of source, with the identifiers that a court's or an authority's page would give, taken from their own words.
+NAMED_SQL = with_views("entries") + """, w AS (SELECT *, regexp_extract_all(substring(content, 1, 400), '[A-Za-z]+') AS w FROM entries),
+x AS (SELECT entry_id, content, CASE entry_id % 5 WHEN 0 THEN 'Competition Appeal Tribunal' WHEN 1 THEN 'Court of Justice' WHEN 2 THEN 'CNMC' WHEN 3 THEN 'Google News: ' || source ELSE source END AS source,
+  CASE WHEN entry_id % 4 = 0 THEN coalesce(w[2], '') || ' [' || coalesce(w[7], '') || '] C-' || entry_id || '/24 P' ELSE title END AS title, CASE WHEN entry_id % 10 = 3 THEN 'ftp://x' ELSE 'https://x' END AS url,
+  CASE WHEN entry_id % 3 = 0 THEN 'cat_judgment_pdf_text' ELSE '' END AS content_source, '[' || coalesce(w[5], '') || '] ' || coalesce(w[6], '') AS citation,
+  CASE WHEN entry_id % 7 < 3 THEN [coalesce(w[3], '') || ' ' || coalesce(w[4], ''), 'none/such'] ELSE ['none/such'] END AS case_numbers,
+  CASE WHEN entry_id % 11 < 5 THEN ['Nobody', coalesce(w[8], '') || ' v Others'] ELSE [] END AS case_names,
+  CASE WHEN entry_id % 6 = 1 THEN coalesce(w[9], '') ELSE '' END AS case_number, CASE WHEN entry_id % 8 = 1 THEN coalesce(w[10], '') ELSE 'ECLI:none' END AS ecli FROM w) """
+
+
+def named_entries(spark: SparkSession, sf: str) -> DataFrame:
+    e = entries(spark, sf).withColumn("w", F.regexp_extract_all(F.substring("content", 1, 400), F.lit("[A-Za-z]+"), 0))
+    k = F.col("entry_id")
+    word = lambda n: F.coalesce(F.get("w", F.lit(n - 1)), F.lit(""))
+    source = F.when(k % 5 == 0, "Competition Appeal Tribunal").when(k % 5 == 1, "Court of Justice").when(k % 5 == 2, "CNMC").when(k % 5 == 3, F.concat(F.lit("Google News: "), "source")).otherwise(F.col("source"))
+    title = F.when(k % 4 == 0, F.concat(word(2), F.lit(" ["), word(7), F.lit("] C-"), k.cast("string"), F.lit("/24 P"))).otherwise(F.col("title"))
+    numbers = F.when(k % 7 < 3, F.array(F.concat_ws(" ", word(3), word(4)), F.lit("none/such"))).otherwise(F.array(F.lit("none/such")))
+    names = F.when(k % 11 < 5, F.array(F.lit("Nobody"), F.concat(word(8), F.lit(" v Others")))).otherwise(F.array().cast("array<string>"))
+    return e.select(
+        "entry_id", "content", source.alias("source"), F.lit(False).alias("is_aggregator"), title.alias("title"), F.when(k % 10 == 3, "ftp://x").otherwise("https://x").alias("url"),
+        F.when(k % 3 == 0, "cat_judgment_pdf_text").otherwise("").alias("content_source"), F.concat(F.lit("["), word(5), F.lit("] "), word(6)).alias("citation"), numbers.alias("case_numbers"),
+        names.alias("case_names"), F.when(k % 6 == 1, word(9)).otherwise("").alias("case_number"), F.when(k % 8 == 1, word(10)).otherwise("ECLI:none").alias("ecli"),
+    )
+
+
+OVERLAP_SQL = "len(list_filter({0}, lambda t: contains(lower(content), lower(t))))"
+PRESS_SQL = """CASE WHEN length(title) < 10 THEN 'IDENTITY_ERROR short_title' WHEN length(content) < 50 THEN 'IDENTITY_WARNING short_content'
+  WHEN len({0}) > 0 AND {1} < len({0}) * 0.2 AND {1} < 2 THEN 'IDENTITY_WARNING low_overlap' ELSE 'IDENTITY_OK ' END"""
+
+
+@query(NAMED_SQL + f""", y AS (SELECT *, list_filter(regexp_extract_all(title, '[\\p{{L}}\\p{{N}}_]+'), lambda t: regexp_full_match(t, '[a-zA-Z]{{5,}}')) AS pw, list_filter(regexp_extract_all(title, '[\\p{{L}}\\p{{N}}_]+'), lambda t: regexp_full_match(t, '[a-zA-ZáéíóúÁÉÍÓÚñÑ]{{5,}}')) AS aw,
+  contains(title, citation) AS ct, len(list_filter(case_names, lambda n: contains(lower(title), lower(n)))) > 0 AS nt, len(list_filter(case_numbers, lambda n: n <> '' AND contains(title, n))) > 0 AS mt,
+  contains(content, citation) AS cc, len(list_filter(case_numbers, lambda n: n <> '' AND contains(content, n))) > 0 AS mc,
+  len(list_filter(case_names, lambda n: contains(lower(content), lower(string_split(ltrim(n), ' ')[1])))) > 0 AS nc,
+  coalesce(nullif(case_number, ''), regexp_extract(title, 'C-[0-9]+/[0-9]+( P)?')) AS target, lower(regexp_extract(title, '\\[([^\\]]+)\\]', 1)) AS party FROM x)
+SELECT entry_id, CASE entry_id % 5
+  WHEN 0 THEN CASE WHEN content_source <> '' AND NOT (cc OR mc) THEN CASE WHEN nc THEN 'IDENTITY_WARNING name_without_number' ELSE 'IDENTITY_ERROR no_identifier' END
+    WHEN content_source = '' AND NOT (cc OR mc OR nc OR ct) THEN 'IDENTITY_WARNING summary_without_identifier' WHEN NOT (ct OR nt OR mt) THEN 'IDENTITY_WARNING title_without_reference' ELSE 'IDENTITY_OK ' END
+  WHEN 1 THEN CASE WHEN (target <> '' AND (contains(content, target) OR contains(content, trim(replace(replace(target, 'C-', ''), ' P', ''))))) OR (ecli <> '' AND contains(content, ecli)) OR (party <> '' AND contains(lower(content), party)) THEN 'IDENTITY_OK ' ELSE 'IDENTITY_WARNING no_identifier' END
+  WHEN 2 THEN {PRESS_SQL.format('aw', OVERLAP_SQL.format('aw'))}
+  WHEN 3 THEN CASE WHEN length(title) < 5 THEN 'IDENTITY_ERROR short_title' WHEN NOT starts_with(url, 'http') THEN 'IDENTITY_ERROR bad_url' ELSE 'IDENTITY_OK ' END
+  ELSE {PRESS_SQL.format('pw', OVERLAP_SQL.format('pw'))} END AS audit FROM y""")
 def identity_audit(spark: SparkSession, sf: str) -> DataFrame:
-    """Does a publication's text share words with its title?"""
-    bag = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda x: x != ""))
-    o = entries(spark, sf).select("entry_id", bag("title").alias("t"), bag("content").alias("c")).select("entry_id", F.size("t").cast("bigint").alias("n"), F.size(F.array_intersect("t", "c")).cast("bigint").alias("k"))
-    return o.withColumn("verdict", F.when(F.col("n") == 0, "WARNING").when((F.col("k") / F.when(F.col("n") == 0, 1).otherwise(F.col("n")) < 0.2) & (F.col("k") < 2), "ERROR").otherwise("OK"))
-
-
-@query("""WITH g AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS e, count(*) FILTER (event_type = 'purchase') AS p, round(avg(value), 4) AS m FROM events GROUP BY user_id)
-SELECT user_id, rule FROM (SELECT user_id, 'error_rate' AS rule FROM g WHERE e > 0.25 * n UNION ALL SELECT user_id, 'no_output' FROM g WHERE p = 0 UNION ALL SELECT user_id, 'slow' FROM g WHERE m > 12 UNION ALL SELECT user_id, 'few_runs' FROM g WHERE n < 50)""")
+    """Does an entry's content belong to its title? By the rules of its kind of source."""
+    e = named_entries(spark, sf)
+    plain = lambda c: legal_text(c)
+    names = F.filter(F.split(plain(F.array_join("case_names", "\n")), "\n"), lambda n: n != "")
+    e = e.select("*", plain(F.col("title")).alias("plain_title"), plain(F.col("content")).alias("plain_content"), plain(F.col("citation")).alias("plain_citation"), names.alias("plain_names"))
+    return audits.identity_audit(e).select("entry_id", F.concat_ws(" ", "audit.status", "audit.reason").alias("audit"))
+
+
+@query(with_views("entries", "analyses") + """, done AS (SELECT *, entry_id || version AS id FROM analyses WHERE status = 'completed'),
+c AS (SELECT entry_id || version AS id, CASE WHEN coalesce(score, 0) >= 40 THEN 'deep_analysis' ELSE 'triage' END AS stage, 0.001 * length(version) AS cost FROM analyses),
+f AS (SELECT (SELECT count(*) FROM events WHERE event_type = 'purchase') AS captured, (SELECT count(*) FROM entries) AS n, (SELECT count(*) FROM done) AS analysed, (SELECT count(*) FROM done WHERE score >= 70) AS relevant,
+  (SELECT count(DISTINCT id) FROM c WHERE stage = 'deep_analysis' AND id IN (SELECT id FROM done)) AS deep, (SELECT sum(cost) FROM c WHERE id IN (SELECT id FROM done)) AS model, (SELECT min(value) - 20 FROM events) AS provider)
+SELECT 'entries_exceed_captured' AS rule, 'pipeline' AS subject FROM f WHERE captured > 0 AND n > captured UNION ALL SELECT 'deep_exceeds_relevant', 'pipeline' FROM f WHERE deep > relevant
+UNION ALL SELECT 'deep_exceeds_analysed', 'pipeline' FROM f WHERE deep > analysed UNION ALL SELECT 'negative_costs', 'pipeline' FROM f WHERE model < 0 OR provider < 0 OR round(model + provider, 4) < 0
+UNION ALL SELECT 'entries_without_run', s_name FROM supplier LEFT JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase') ON s_suppkey = user_id WHERE s_nationkey % 3 = 0 AND s_acctbal > 0 AND user_id IS NULL""")
 def health_anomalies(spark: SparkSession, sf: str) -> DataFrame:
-    """All rules over one aggregate; a row a broken rule."""
-    e = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "error").alias("e"), F.count_if(F.col("event_type") == "purchase").alias("p"), F.round(F.avg("value"), 4).alias("m"))
-    rules = [("error_rate", "e > 0.25 * n"), ("no_output", "p = 0"), ("slow", "m > 12"), ("few_runs", "n < 50")]
-    return e.select("user_id", F.explode(F.array_compact(F.array(*[F.when(F.expr(test), name) for name, test in rules]))).alias("rule"))
+    """The rules that a report's figures break: purchases are what runs fetched, suppliers the sources, some of them social ones."""
+    bought = table(spark, sf, "events").where("event_type = 'purchase'")
+    runs = bought.select(F.lit(1).alias("fetched"), F.lit(0.0).alias("provider_cost")).unionByName(table(spark, sf, "events").agg((F.min("value") - 20).alias("provider_cost")).select(F.lit(0).alias("fetched"), "provider_cost"))
+    a = analyses(spark, sf).select(F.concat(F.col("entry_id").cast("string"), "version").alias("analysis_id"), "status", S.relevance(F.col("score")).alias("relevance"), "score", "version")
+    calls = a.select("analysis_id", F.when(F.coalesce("score", F.lit(0)) >= 40, "deep_analysis").otherwise("triage").alias("stage"), F.lit("completed").alias("status"), (F.length("version") * 0.001).alias("cost"))
+    last = bought.groupBy(F.col("user_id").alias("s_suppkey")).agg(F.max("ts").alias("last_run"))
+    sources = table(spark, sf, "supplier").join(last, "s_suppkey", "left").select(F.col("s_name").alias("source"), (F.col("s_nationkey") % 3 == 0).alias("is_social"), F.ceil("s_acctbal").alias("created"), "last_run")
+    return audits.anomalies(audits.health_figures(runs, entries(spark, sf), a, calls), sources)
 
 
 @query("SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 3 DAY")
@@ -293,9 +345,11 @@ def preflight(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(b).unionByName(keys)
 
 
-@query(with_views("entries") + "SELECT entry_id, len(list_intersect(list_distinct(list_filter(string_split_regex(lower(title), '[^a-z]+'), lambda x: len(x) > 3)), list_distinct(list_filter(string_split_regex(lower(substring(content, 1, 3000)), '[^a-z]+'), lambda x: len(x) > 3)))) >= 2 OR contains(lower(content), lower(source)) AS same_document FROM entries")
+@query(NAMED_SQL + """SELECT entry_id, (citation <> '' AND contains(lower(content), replace(replace(lower(citation), '[', ''), ']', ''))) OR len(list_filter(case_numbers, lambda n: n <> '' AND contains(lower(content), lower(n)))) > 0
+  OR len(list_filter(case_names, lambda n: len(list_filter(string_split_regex(lower(n), '[\\s,.\\-]+'), lambda t: length(t) >= 5 AND contains(lower(content), t))) > 0)) > 0
+  OR len(list_filter(string_split_regex(lower(title), '[\\s,.\\-]+'), lambda t: length(t) >= 6 AND contains(lower(content), t))) >= 2 AS same_document FROM x""")
 def pdf_identity(spark: SparkSession, sf: str) -> DataFrame:
-    """Is a fetched text the document that its entry names? Two long title words in it, or its number."""
-    bag = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda x: F.length(x) > 3))
-    both = F.size(F.array_intersect(bag(F.col("title")), bag(F.col("content")))) >= 2
-    return entries(spark, sf).select("entry_id", (both | F.contains(F.lower("content"), F.lower("source"))).alias("same_document"))
+    """Is a fetched text the document that its entry names? Its citation, a case number, a party, or two long words of the title in the whole text."""
+    e = named_entries(spark, sf)
+    c = F.col
+    return e.select("entry_id", audits.same_document(c("citation"), c("case_numbers"), c("case_names"), c("title"), c("content")).alias("same_document"))

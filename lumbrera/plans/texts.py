@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumbrera.functions import dates, text
@@ -18,12 +18,54 @@ def quote_grounding(spark: SparkSession, sf: str) -> DataFrame:
     return grounding.documents_with(table(spark, sf, "documents"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote")))
 
 
-@query()
+# Quotes of fourteen kinds, each as it stands in its text or changed in one way.
+CASES_SQL = with_views("entries") + """, v AS (SELECT entry_id, entry_id % 14 AS k, title AS t, substring(title, 1, 40) AS s, content, excerpt FROM entries),
+x AS (SELECT entry_id, k, CASE k WHEN 4 THEN 'Say «' || t || '» now' WHEN 5 THEN 'The `' || t || '` case' WHEN 6 THEN '“' || t || '” – ‘x’ — y' WHEN 7 THEN '14. B arriers ( ' || t || ' ) , end' WHEN 8 THEN 'agree-' || chr(10) || 'ment of ' || t ELSE t END AS title,
+  CASE WHEN k = 12 THEN ' ' ELSE content END AS content, excerpt, CASE WHEN k IN (9, 10) THEN ' Content ' WHEN k IN (11, 12) THEN 'excerpt' WHEN k = 13 AND entry_id % 3 = 0 THEN 'body' ELSE 'title' END AS field,
+  CASE k WHEN 0 THEN '"' || s || '"' WHEN 1 THEN translate(s, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN 2 THEN s || '...' WHEN 3 THEN 'not in any title' WHEN 4 THEN 'say "' || t || '" now' WHEN 5 THEN 'The ' || chr(39) || t || chr(39) || ' case' WHEN 6 THEN '"' || t || '" - ' || chr(39) || 'x' || chr(39) || '-y'
+    WHEN 7 THEN '14. Barriers (' || t || '), end' WHEN 8 THEN CASE WHEN entry_id % 2 = 0 THEN 'agreement of ' ELSE 'agree-ment of ' END || t WHEN 9 THEN replace(substring(content, 11, 70), ' ', chr(10) || chr(160)) WHEN 10 THEN substring(content, 1, 480) || repeat('x', CAST(entry_id % 50 AS INT)) WHEN 11 THEN substring(excerpt, 1, 30) WHEN 12 THEN substring(excerpt, 1, 30)
+    ELSE CASE entry_id % 3 WHEN 1 THEN ' "" ' ELSE s END END AS quote FROM v) """
+W_SQL = "[\\p{L}\\p{N}_]"
+
+
+def plain_sql(x: str, join_lines: bool) -> str:
+    """The quote normaliser by hand, over texts in NFKC."""
+    if join_lines:
+        x = f"regexp_replace({x}, '({W_SQL}+)-\\s*[\\r\\n]+\\s*({W_SQL}+)', '\\1\\2', 'g')"
+    x = f"trim(regexp_replace(translate({x}, '“”«»‘’`–—' || chr(160), '\"\"\"\"' || chr(39) || chr(39) || chr(39) || '-- '), '\\s+', ' ', 'g'))"
+    for pattern, to in (("\\s+([,.:;!?\\)\\]])", "\\1"), ("([\\(\\[])\\s+", "\\1"), (f"({W_SQL})\\s*-\\s*({W_SQL})", "\\1-\\2")):
+        x = f"regexp_replace({x}, '{pattern}', '{to}', 'g')"
+    return x
+
+
+def initials_sql(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '(\\b\\d+\\.\\s+)([B-HJ-Z])\\s+([a-z]{{2,}}\\b)', '\\1\\2\\3', 'g'), '(\\([A-Za-z0-9]+\\)\\s+)([B-HJ-Z])\\s+([a-z]{{2,}}\\b)', '\\1\\2\\3', 'g')"
+
+
+@query(CASES_SQL + f""", f AS (SELECT entry_id, k, lower(trim(field)) AS field, title, content, excerpt, regexp_replace(quote, '^\\s+|\\s+$', '', 'g') AS q FROM x),
+b AS (SELECT *, CASE WHEN length(q) > 1 AND left(q, 1) = right(q, 1) AND left(q, 1) IN ('"', chr(39), '`', '*') THEN regexp_replace(q[2:-2], '^\\s+|\\s+$', '', 'g') ELSE q END AS bare,
+  CASE WHEN field = 'title' AND regexp_matches(title, '\\S') THEN title WHEN field = 'content' AND regexp_matches(content, '\\S') THEN content WHEN field = 'excerpt' AND regexp_matches(excerpt, '\\S') AND NOT regexp_matches(content, '\\S') THEN excerpt END AS src FROM f),
+e AS (SELECT *, regexp_replace(bare, '\\s*(\\.{{3,}}|…)\\s*$', '') AS cut FROM b), n AS (SELECT entry_id, bare, src, {plain_sql("CASE WHEN length(cut) >= 40 THEN cut ELSE bare END", True)} AS want, {plain_sql("src", True)} AS r1, {plain_sql("src", False)} AS r2 FROM e)
+SELECT entry_id, CASE WHEN bare = '' THEN 'empty' WHEN length(bare) > 500 THEN 'too_long' WHEN src IS NULL THEN 'field_not_provided' WHEN want = '' THEN 'empty'
+  WHEN contains(lower(r1), lower(want)) OR contains(lower(r2), lower(want)) OR contains(lower({initials_sql("r1")}), lower(want)) OR contains(lower({initials_sql("r2")}), lower(want)) THEN 'ok' ELSE 'not_found' END AS verdict FROM n""")
 def quote_verdicts(spark: SparkSession, sf: str) -> DataFrame:
-    """Quotes cut from titles, verified against them in four readings."""
-    e = entries(spark, sf).select("entry_id", "title")
-    quote = F.when(F.col("entry_id") % 4 == 0, F.concat(F.lit('"'), F.substring("title", 1, 60), F.lit('"'))).when(F.col("entry_id") % 4 == 1, F.upper(F.substring("title", 1, 60))).when(F.col("entry_id") % 4 == 2, F.concat(F.substring("title", 1, 60), F.lit("..."))).otherwise(F.lit("not in any title"))
-    return e.select("entry_id", text.quote_verdict(quote, F.col("title"), F.lit(True)).alias("verdict"))
+    """Quotes of titles, contents and excerpts, as they stand or in other spellings, verified in four readings."""
+    e = entries(spark, sf)
+    k, t, s = F.col("entry_id") % 14, F.col("title"), F.substring("title", 1, 40)
+    say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    title = {4: say("Say «", t, "» now"), 5: say("The `", t, "` case"), 6: say("“", t, "” – ‘x’ — y"), 7: say("14. B arriers ( ", t, " ) , end"), 8: say("agree-\nment of ", t)}
+    pad = F.repeat(F.lit("x"), (F.col("entry_id") % 50).cast("int"))
+    spread = F.replace(F.substring("content", 11, 70), F.lit(" "), F.lit("\n\u00a0"))
+    quote = {
+        0: say('"', s, '"'), 1: F.translate(s, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), 2: say(s, "..."), 3: F.lit("not in any title"), 4: say('say "', t, '" now'), 5: say("The '", t, "' case"), 6: say('"', t, "\" - 'x'-y"), 7: say("14. Barriers (", t, "), end"),
+        8: say(F.when(F.col("entry_id") % 2 == 0, "agreement of ").otherwise("agree-ment of "), t), 9: spread, 10: say(F.substring("content", 1, 480), pad), 11: F.substring("excerpt", 1, 30), 12: F.substring("excerpt", 1, 30),
+        13: F.when(F.col("entry_id") % 3 == 1, ' "" ').otherwise(s),
+    }
+    field = F.when(k.isin(9, 10), " Content ").when(k.isin(11, 12), "excerpt").when((k == 13) & (F.col("entry_id") % 3 == 0), "body").otherwise("title")
+    pick = lambda ways, other: F.coalesce(*[F.when(k == n, way) for n, way in ways.items()], other)
+    evidence = e.select("entry_id", field.alias("field"), pick(quote, F.lit("")).alias("quote"))
+    given = e.select("entry_id", pick(title, t).alias("title"), F.when(k == 12, " ").otherwise(F.col("content")).alias("content"), "excerpt")
+    return grounding.verified(evidence, given).select("entry_id", "verdict")
 
 
 @query()

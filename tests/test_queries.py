@@ -40,11 +40,3 @@ def test_query(spark, duck, name):
         names = [c[0] for c in want.description]
         assert sorted(names) == sorted(df.columns)
         assert table(df.columns, rows) == table(names, want.fetchall())
-
-
-def test_pdf_identity_reads_whole_texts(spark, monkeypatch):
-    from lumbrera.plans import pipeline
-
-    late = "x " * 2000 + "merger decision"
-    monkeypatch.setattr(pipeline, "entries", lambda spark, sf: spark.createDataFrame([(1, "Merger Decision", late, "none such")], "entry_id bigint, title string, content string, source string"))
-    assert pipeline.pdf_identity(spark, "").collect()[0]["same_document"]

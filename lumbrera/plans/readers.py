@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lumbrera.operators import news, sinks
 from lumbrera.plans.registry import query
-from lumbrera.sources import api, feeds, listings
+from lumbrera.session import work_folder
+from lumbrera.sources import api, feeds, listings, responses
 from lumbrera.sources.tables import entries, table, with_views
 
 
@@ -26,6 +27,22 @@ def listing_rows(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("page_id", "i.title", "i.url", "i.published")
 
 
+@query("""SELECT 'rss' AS provider, CAST(page_id // 10 AS VARCHAR) AS source, CAST(page_id % 10 AS INTEGER) AS pos, 'Page ' || page_id AS title, url FROM pages
+UNION ALL SELECT 'cnmc', CAST(page_id % 7 AS VARCHAR), 0, 'Case ' || page_id, '/c/' || page_id FROM pages""")
+def stored_responses(spark: SparkSession, sf: str) -> DataFrame:
+    """Feeds of ten pages and listings of one, stored as answers of sources and read by the data source."""
+    responses.register(spark)
+    folder, k = work_folder(spark, "responses"), F.col("page_id").cast("string")
+    item = F.concat(F.lit("<item><title>Page "), k, F.lit("</title><link>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</link></item>"))
+    p = table(spark, sf, "pages").select("page_id", F.floor(F.col("page_id") / 10).cast("string").alias("source"), item.alias("i"))
+    xml = p.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("page_id", "i"))).alias("x"))
+    answers = xml.select(F.lit("rss").alias("provider"), "source", F.concat(F.lit("<rss><channel>"), F.array_join(F.transform("x", lambda r: r["i"]), ""), F.lit("</channel></rss>")).alias("body"))
+    html = F.concat(F.lit('<div class="views-row odd"><time datetime="2024-01-01">x</time><span class="views-field-title"><a href="/c/'), k, F.lit('">Case <b>'), k, F.lit('</b></a></span></div><div class="views-row"><p>no link</p></div>'))
+    pages = table(spark, sf, "pages").select(F.lit("cnmc").alias("provider"), (F.col("page_id") % 7).cast("string").alias("source"), html.alias("body"))
+    answers.unionByName(pages).repartition("provider", "source").write.partitionBy("provider", "source").option("maxRecordsPerFile", 1).text(folder)
+    return spark.read.format(responses.NAME).load(folder).select("provider", "source", "pos", "title", "url")
+
+
 @query("SELECT 'ECLI:' || p_partkey AS external_id, 'Case C-' || p_partkey || ' [' || p_brand || '] | Judgment' AS title, CASE p_partkey % 3 WHEN 0 THEN 'EN' WHEN 1 THEN 'FR' ELSE 'DE' END AS language FROM part WHERE p_partkey % 5 > 0")
 def court_hits(spark: SparkSession, sf: str) -> DataFrame:
     p, k = table(spark, sf, "part"), F.col("p_partkey").cast("string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbrera.operators import news, sinks
+from lumbrera.operators import keyed_store, news, sinks
 from lumbrera.plans.registry import query
 from lumbrera.session import work_folder
 from lumbrera.sources import api, feeds, listings, responses
@@ -124,3 +124,13 @@ def batch_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """Rows by a list of ids, in its order; pos tells the missing one."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "doc_id", "lang")
     return sinks.by_ids(d, [7, 3, 99999999, 5], "id").select("pos", F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "lang")
+
+
+@query(with_views("entries") + "SELECT entry_id, title, CASE WHEN lang = 'en' THEN 'first' ELSE 'second' END AS loaded FROM entries")
+def keyed_load(spark: SparkSession, sf: str) -> DataFrame:
+    """Two loads into a table of unique keys: the English publications, then all, of which the English ones are known."""
+    folder = work_folder(spark, "keyed")
+    e = entries(spark, sf).select("entry_id", "title", "lang")
+    keyed_store.load(e.where("lang = 'en'").select("entry_id", "title", F.lit("first").alias("loaded")), folder, "entry_id", "one")
+    keyed_store.load(e.select("entry_id", "title", F.lit("second").alias("loaded")), folder, "entry_id", "two")
+    return keyed_store.stored(spark, folder)

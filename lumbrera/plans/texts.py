@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumbrera.functions import dates, text
+from lumbrera.functions import dates, reflow, text
 from lumbrera.operators import grounding
 from lumbrera.plans.registry import query
 from lumbrera.sources import feeds
@@ -86,6 +86,22 @@ def block_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("entry_id", "ref", why.alias("verdict"))
 
 
+@query()
+def page_reflow(spark: SparkSession, sf: str) -> DataFrame:
+    """Publications as pages of six lines: their paragraphs, over the ends of pages."""
+    line = F.posexplode(F.split("content", "\n")).alias("at", "line")
+    pages = entries(spark, sf).select(F.col("entry_id").alias("doc"), line).groupBy("doc", F.floor(F.col("at") / 6).cast("int").alias("page")).agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("l"))
+    return reflow.documents(pages.select("doc", "page", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text")))
+
+
+@query("""WITH t AS (SELECT doc_id, regexp_replace(CASE WHEN doc_id % 2 = 0 THEN text ELSE regexp_replace(text, '[^\\x{00}-\\x{FF}]', '?', 'g') END, '^\\s+|\\s+$', '', 'g') AS t FROM documents)
+SELECT doc_id AS entry_id, CASE WHEN length(t) < 50 THEN NULL WHEN length(t) > 120000 THEN regexp_replace(substring(t, 1, 120000), '(?s) [^ ]*$', '') || '...' ELSE t END AS text FROM t""")
+def file_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """The bytes of publications, half of them in Latin-1, as texts of files."""
+    body = F.when(F.col("entry_id") % 2 == 0, F.encode("content", "UTF-8")).otherwise(F.encode(F.regexp_replace("content", "[^\\x{00}-\\x{FF}]", "?"), "ISO-8859-1"))
+    return entries(spark, sf).select("entry_id", reflow.plain_text(body).alias("text"))
+
+
 @query()
 def html_to_text(spark: SparkSession, sf: str) -> DataFrame:
     t = table(spark, sf, "pages").select("page_id", text.html_to_text("html").alias("text"))

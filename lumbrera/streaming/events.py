@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumbrera.operators import keyed_store
+
 
 def read(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
@@ -31,17 +35,14 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
 
 
 def load_new(stream: DataFrame, target: str, key: str, checkpoint: str) -> None:
-    """All that is there now, once: each micro-batch appends the keys that the target lacks, so a repeated run adds nothing."""
-    spark = stream.sparkSession
-
-    def put(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        try:
-            have = spark.read.parquet(target).select(key)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            have = None
-        (fresh if have is None else fresh.join(have, key, "left_anti")).write.mode("append").parquet(target)
-
-    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    """All that is there now, once: each micro-batch adds the keys that the keyed store at ``target`` lacks, and a repeated batch replaces itself.
+
+    A batch is named by its stream's checkpoint and its number, so streams with checkpoints of their own may load into one table.
+    """
+    own = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def put(batch: DataFrame, number: int) -> None:
+        keyed_store.load(batch, target, key, f"s{own}-{number}")
+
+    run = stream.writeStream.foreachBatch(put)
+    run.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -55,28 +55,43 @@ def pieces(pattern: Column) -> Column:
     return F.filter(F.split(F.lower(pattern), "[_%]"), lambda p: p != "")
 
 
-def holding(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(pattern_id, text_id) where the text holds the pattern, regardless of case; in a pattern ``_`` is any character and ``%`` are any.
+def gram_pairs(texts: DataFrame, wanted: DataFrame, literals: Column) -> DataFrame:
+    """(wanted, text_id): the pairs of ``wanted`` (one column of that name, distinct) and ``texts`` (text_id, text) that share the rarest gram of its ``literals``.
 
-    ``texts`` has ``text_id`` and ``text``, ``patterns`` has ``pattern_id`` and ``pattern``, ids being unique. The elements of a pattern are the grams of its literal
-    pieces: of GRAM characters, or of the longest piece's length if that is less. Null texts and patterns have no pairs, nor do patterns without a
-    literal character. Equal patterns are looked up once.
+    A gram has GRAM characters, or as many as the longest literal if that is shorter. What has no literal character has no pairs.
     """
-    low = patterns.where("pattern IS NOT NULL").select("pattern_id", F.lower("pattern").alias("pattern"))
-    longest = F.least(F.array_max(F.transform(pieces(F.col("pattern")), F.length)), F.lit(GRAM))
-    one = low.select("pattern").distinct().withColumn("size", longest).where("size > 0")
+    longest = F.least(F.array_max(F.transform(literals, F.length)), F.lit(GRAM))
+    one = wanted.withColumn("size", longest).where("size > 0")
     sizes = sorted(r[0] for r in one.select("size").distinct().collect())  # GRAM numbers at most
     if not sizes:
-        return low.join(texts, F.lit(False)).select("pattern_id", "text_id")
-    of_size = lambda k: F.flatten(F.transform(pieces(F.col("pattern")), lambda p: grams(p, k)))
+        return wanted.select("wanted").join(texts.select("text_id"), F.lit(False))
+    of_size = lambda k: F.flatten(F.transform(literals, lambda p: grams(p, k)))
     each = F.when(F.lit(False), F.array().cast("array<string>"))
     for k in sizes:
         each = each.when(F.col("size") == k, of_size(k))
-    small = one.select(F.col("pattern").alias("small_id"), each.alias("elements"))
+    small = one.select(F.col("wanted").alias("small_id"), each.alias("elements"))
+    large = texts.select(F.col("text_id").alias("large_id"), F.array_distinct(F.concat(*[grams(F.col("text"), k) for k in sizes])).alias("elements"))
+    return candidates(small, large).select(F.col("small_id").alias("wanted"), F.col("large_id").alias("text_id"))
+
+
+def holding(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern_id, text_id) where the text holds the pattern, regardless of case; in a pattern ``_`` is any character and ``%`` are any.
+
+    ``texts`` has ``text_id`` and ``text``, ``patterns`` has ``pattern_id`` and ``pattern``, ids being unique. Null texts and patterns have no pairs, nor do patterns without a
+    literal character. Equal patterns are looked up once.
+    """
+    low = patterns.where("pattern IS NOT NULL").select("pattern_id", F.lower("pattern").alias("wanted"))
     have = texts.where("text IS NOT NULL").select("text_id", F.lower("text").alias("text"))
-    large = have.select(F.col("text_id").alias("large_id"), F.array_distinct(F.concat(*[grams(F.col("text"), k) for k in sizes])).alias("elements"))
-    near = candidates(small, large).select(F.col("small_id").alias("pattern"), F.col("large_id").alias("text_id"))
+    near = gram_pairs(have, low.select("wanted").distinct(), pieces(F.col("wanted")))
     # Backslashes stand for themselves.
-    like = F.expr(r"text LIKE concat('%', replace(pattern, '\\', '\\\\'), '%')")
-    true = near.join(have, "text_id").where(like).select("pattern", "text_id")
-    return true.join(low, "pattern").select("pattern_id", "text_id")
+    like = F.expr(r"text LIKE concat('%', replace(wanted, '\\', '\\\\'), '%')")
+    return near.join(have, "text_id").where(like).select("wanted", "text_id").join(low, "wanted").select("pattern_id", "text_id")
+
+
+def holding_literally(texts: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(quote_id, text_id) where the text holds the quote as it stands; empty and null quotes have no pairs."""
+    asked = quotes.where("quote <> ''").select("quote_id", F.col("quote").alias("wanted"))
+    have = texts.where("text IS NOT NULL").select("text_id", "text")
+    near = gram_pairs(have, asked.select("wanted").distinct(), F.array("wanted"))
+    true = near.join(have, "text_id").where(F.contains("text", F.col("wanted"))).select("wanted", "text_id")
+    return true.join(asked, "wanted").select("quote_id", "text_id")

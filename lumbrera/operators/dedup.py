@@ -61,3 +61,20 @@ def press_duplicates(new: DataFrame, old: DataFrame) -> DataFrame:
     equal = wanted.where("press_url <> ''").join(first, "press_url").select("id", "matched_id")
     found = held.unionByName(equal).groupBy("id").agg(F.min("matched_id").alias("matched_id"))
     return found.withColumn("reason", F.lit("presscorner"))
+
+
+def inspected(new: DataFrame, old: DataFrame, keys: list[tuple[str, Column, Column]], first: DataFrame | None = None) -> DataFrame:
+    """(id, is_duplicate, reason, matched_id, matched_title) of every new row, nothing being written.
+
+    ``new`` and ``old`` have ``id``, ``old`` has ``title``. A key is (reason, of the new row, of the old row); the first key that an old row shares gives the reason, and of
+    the old rows that share it the one with the smallest id is named. ``first`` (id, matched_id, reason) holds what was found before, and comes before the keys.
+    Null and empty keys match nothing. Each key is an equi-join with one old row a key, so a value that very many old rows have is one row.
+    """
+    found = [] if first is None else [first.select("id", F.lit(-1).alias("rank"), "reason", "matched_id")]
+    for rank, (reason, a, b) in enumerate(keys):
+        left = new.select("id", a.alias("_k")).where("_k IS NOT NULL AND _k <> ''")
+        right = old.select("id", b.alias("_k")).where("_k IS NOT NULL AND _k <> ''").groupBy("_k").agg(F.min("id").alias("matched_id"))
+        found.append(left.join(right, "_k").select("id", F.lit(rank).alias("rank"), F.lit(reason).alias("reason"), "matched_id"))
+    hit = reduce(DataFrame.unionByName, found).groupBy("id").agg(F.min(F.struct("rank", "matched_id", "reason")).alias("_r")).select("id", "_r.reason", "_r.matched_id")
+    named = hit.join(old.select(F.col("id").alias("matched_id"), F.col("title").alias("matched_title")), "matched_id", "left")
+    return new.select("id").join(named, "id", "left").select("id", F.col("matched_id").isNotNull().alias("is_duplicate"), "reason", "matched_id", "matched_title")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumbrera.functions.text import quote_verdict
+from lumbrera.operators import containment
 
 #: Words that make up a key.
 KEY_WORDS = 4
@@ -22,8 +23,8 @@ def documents_with(docs: DataFrame, quotes: DataFrame) -> DataFrame:
 
     The words of a quote's first line but the first and the last, which may be ends of longer ones, stand as whole words in each document that holds it:
     up to KEY_WORDS of them, hashed to one number, are an equi-key into the documents' lines, and the quote is then verified. Only windows of the
-    sizes that quotes have are made, one row for each document and key that some quote asks for. Quotes whose first line has no such word are held
-    against all documents; a table without any costs nothing.
+    sizes that quotes have are made, one row for each document and key that some quote asks for. Quotes whose first line has no such word are looked up by
+    their rarest gram of characters; a table without any costs nothing. An empty quote stands in every document with a text.
     """
     head = F.split(F.split("quote", "\n")[0], " ")
     size = F.greatest(F.least(F.size(head) - 2, F.lit(KEY_WORDS)), F.lit(0))
@@ -35,8 +36,15 @@ def documents_with(docs: DataFrame, quotes: DataFrame) -> DataFrame:
         keyed = lines.select("doc_id", F.explode(F.concat(*[windows(F.col("ws"), k) for k in sizes])).alias("key"))
         near = keyed.join(q.where("size > 0"), "key").select("item_id", "quote", "doc_id").distinct()
         hit = docs.select("doc_id", "text").join(near, "doc_id").where(F.contains("text", F.col("quote"))).select("item_id", "doc_id")
-    rest = docs.select("doc_id", "text").join(q.where("size = 0"), F.contains("text", F.col("quote"))).select("item_id", "doc_id")
-    found = (rest if hit is None else hit.unionByName(rest)).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    short = q.where("size = 0 AND quote <> ''")
+    if not short.isEmpty():
+        texts = docs.select(F.col("doc_id").alias("text_id"), "text")
+        rest = containment.holding_literally(texts, short.select(F.col("item_id").alias("quote_id"), "quote")).select(F.col("quote_id").alias("item_id"), F.col("text_id").alias("doc_id"))
+        hit = rest if hit is None else hit.unionByName(rest)
+    every = docs.where("text IS NOT NULL").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    found = q.where("quote = ''").select("item_id").crossJoin(F.broadcast(every))  # one row
+    if hit is not None:
+        found = found.unionByName(hit.groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")))
     out = quotes.select("item_id").join(found, "item_id", "left")
     return out.select("item_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("first_doc", F.lit(-1)).alias("first_doc"))
 

@@ -21,8 +21,8 @@ def plan(topics: DataFrame, entities: DataFrame, quota: int, entity_share: float
     t = t.withColumn("_again", F.row_number().over(W.partitionBy("code").orderBy("round")) > 1)
     t = t.select((F.row_number().over(W.orderBy("_again", F.desc("priority"), "code", "round")) - 1).alias("pos"), F.col("text").alias("name"))
     rank = F.when(F.col("kind") == "institution", 0).when(F.col("kind") == "organization", 1)
-    e = entities.where(rank.isNotNull()).withColumn("name", F.trim(F.replace("name", F.lit('"'), F.lit("")))).where("name <> ''").dropDuplicates(["name"])
-    e = e.select((F.row_number().over(W.orderBy(rank, F.lower("name"), "name")) - 1).alias("pos"), F.concat(F.lit('"'), "name", F.lit('" competition')).alias("name"))
+    e = entities.where(rank.isNotNull()).withColumn("name", F.trim(F.replace("name", F.lit('"'), F.lit("")))).where("name <> ''").groupBy("name").agg(F.min(rank).alias("rank"))
+    e = e.select((F.row_number().over(W.orderBy("rank", F.lower("name"), "name")) - 1).alias("pos"), F.concat(F.lit('"'), "name", F.lit('" competition')).alias("name"))
     sizes = t.agg(F.count("*").alias("nt")).crossJoin(F.broadcast(e.agg(F.count("*").alias("ne"))))
     least = F.least(F.lit(int(quota * entity_share)), F.col("ne"))
     room = sizes.select(F.least("nt", F.lit(quota) - least).alias("for_t"), least.alias("least"), "ne").select("for_t", F.least("ne", F.lit(quota) - F.col("for_t")).alias("for_e"))

@@ -15,8 +15,8 @@ def append_new(stored: DataFrame, incoming: DataFrame, key: str, order: list[str
 
 
 def merge_map(stored: DataFrame, patch: DataFrame, key: str, column: str) -> DataFrame:
-    """The stored rows with ``column``, a map, patched where the patch has the key; the patch wins."""
-    p = patch.select(key, F.col(column).alias("_p")).dropDuplicates([key])
+    """The stored rows with ``column``, a map, patched where the patch has the key; the patch wins. Of several patches of a key the least as JSON is taken."""
+    p = patch.groupBy(key).agg(F.min_by(F.col(column), F.to_json(column)).alias("_p"))
     merged = F.when(F.col("_p").isNull(), F.col(column)).otherwise(F.map_concat(F.map_filter(column, lambda k, _: ~F.array_contains(F.map_keys("_p"), k)), F.col("_p")))
     return stored.join(p, key, "left").withColumn(column, merged).drop("_p")
 

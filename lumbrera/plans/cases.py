@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lumbrera.operators import cases as C
 from lumbrera.plans.registry import query
@@ -113,8 +114,8 @@ def lookback_page_stop(spark: SparkSession, sf: str) -> DataFrame:
     """Pages of ten events a user, newest first; two days of them lie in the future."""
     e = table(spark, sf, "events").select("event_id", "user_id", F.to_date("ts").alias("d"))
     newer = e.groupBy("user_id", "d").agg(F.count("*").alias("n"))
-    before = newer.alias("a").join(newer.alias("b"), (F.col("a.user_id") == F.col("b.user_id")) & (F.col("b.d") > F.col("a.d")), "left")
-    rank = before.groupBy(F.col("a.user_id").alias("user_id"), F.col("a.d").alias("d")).agg((F.coalesce(F.sum("b.n"), F.lit(0)) + 1).alias("rank"))
+    own = W.partitionBy("user_id").orderBy(F.desc("d")).rowsBetween(W.unboundedPreceding, -1)
+    rank = newer.select("user_id", "d", (F.coalesce(F.sum("n").over(own), F.lit(0)) + 1).alias("rank"))
     last = e.agg(F.max("d").alias("last"))
     items = e.join(rank, ["user_id", "d"]).withColumn("page", F.floor(F.col("rank") / 10)).crossJoin(F.broadcast(last))
     return C.within_lookback(items, "user_id", "page", "d", F.date_sub("last", 20), F.date_sub("last", 2)).select("event_id")

@@ -117,6 +117,19 @@ def press_duplicates(spark: SparkSession, sf: str) -> DataFrame:
     return D.press_duplicates(new, old)
 
 
+@query(f"""WITH p AS (SELECT page_id AS id, url, {CLEAN_SQL} AS clean, sha256(html) AS h, regexp_extract(html, '<title>([^<]*)', 1) AS title FROM pages), n AS (SELECT * FROM p WHERE id % 3 = 0), o AS (SELECT * FROM p WHERE id % 3 > 0),
+m AS (SELECT n.id, 0 AS rank, 'external_id' AS reason, o.id AS matched_id FROM n JOIN o ON n.url = o.url UNION ALL SELECT n.id, 1, 'canonical_url', o.id FROM n JOIN o ON n.clean = o.clean UNION ALL SELECT n.id, 2, 'content_hash', o.id FROM n JOIN o ON n.h = o.h
+  UNION ALL SELECT n.id, 3, 'title', o.id FROM n JOIN o ON n.title = o.title AND n.title <> ''),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rank, matched_id) AS k FROM m) WHERE k = 1)
+SELECT n.id, matched_id IS NOT NULL AS is_duplicate, reason, matched_id, o.title AS matched_title FROM n LEFT JOIN b ON n.id = b.id LEFT JOIN o ON matched_id = o.id""")
+def dedupe_inspection(spark: SparkSession, sf: str) -> DataFrame:
+    """New pages with the reason why they are none, and the stored page that is the reason."""
+    clean = F.concat(F.lower(F.regexp_extract("url", "^([^:]*://[^/?#]*)", 1)), F.rtrim(F.regexp_extract("url", "^[^:]*://[^/?#]*([^?#]*)", 1), F.lit("/")))
+    p = table(spark, sf, "pages").select(F.col("page_id").alias("id"), "url", clean.alias("clean"), F.sha2("html", 256).alias("h"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
+    keys = [(reason, F.col(c), F.col(c)) for reason, c in (("external_id", "url"), ("canonical_url", "clean"), ("content_hash", "h"), ("title", "title"))]
+    return D.inspected(p.where("id % 3 = 0"), p.where("id % 3 > 0"), keys)
+
+
 @query("""WITH w AS (SELECT source, regexp_extract_all(substring(text, 1, 200), '[A-Za-z]+') AS w FROM documents),
 e AS (SELECT DISTINCT w[1] || ' ' || w[4] AS entity FROM w WHERE len(w) >= 4), a AS (SELECT DISTINCT w[1] || ' ' || w[2] || ' ' || w[3] || ' ' || w[4] AS author FROM w WHERE len(w) >= 4),
 t AS (SELECT entity, list_filter(string_split(lower(entity), ' '), lambda x: x NOT IN ('dr', 'prof', 'professor', 'mr', 'mrs', 'ms', 'llm', 'phd', 'esq', 'abogado', 'lic', 'ing', 'avocat', 'rechtsanwalt')) AS t FROM e),

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lumbrera.functions import dates, identity, text
-from lumbrera.operators import dedup, planning, rules, selection, taxonomy
+from lumbrera.operators import dedup, planning, rules, selection, sinks, taxonomy
 from lumbrera.sources import feeds
 from lumbrera.streaming import events
 
@@ -230,15 +230,29 @@ def test_quotes_of_few_words(spark):
     from lumbrera.operators import grounding
 
     docs = [(1, "the quick brown fox\njumps over it all"), (2, "a quick brown foxy\nlazy dog"), (3, None), (4, "brown\njumps over")]
-    quotes = [(1, "quick brown fox"), (2, "brown"), (3, "uick brown fo"), (4, "jumps over it al"), (5, "fox\njumps"), (6, "not there at all"), (7, "the quick brown fox\njumps")]
-    got = {r["item_id"]: (r["n"], r["first_doc"]) for r in grounding.documents_with(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(quotes, "item_id int, quote string")).collect()}
-    assert got == {k: ((len(d), min(d)) if (d := [i for i, t in docs if t and q in t]) else (0, -1)) for k, q in quotes}
+    quotes = [(8, ""), (9, "n"), (10, "ow"), (1, "quick brown fox"), (2, "brown"), (3, "uick brown fo"), (4, "jumps over it al"), (5, "fox\njumps"), (6, "not there at all"), (7, "the quick brown fox\njumps")]
+    found = grounding.documents_with(spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(quotes, "item_id int, quote string"))
+    assert "NestedLoopJoin Inner" not in found._jdf.queryExecution().toString()
+    got = {r["item_id"]: (r["n"], r["first_doc"]) for r in found.collect()}
+    assert got == {k: ((len(d), min(d)) if (d := [i for i, t in docs if t is not None and q in t]) else (0, -1)) for k, q in quotes}
 
 
 def test_first_of_each_new_key(spark):
-    from lumbrera.operators import sinks
-
     rows = spark.createDataFrame([(1, "b", 2), (1, "a", 3), (2, "x", 1), (3, "old", 1)], "k int, t string, o int").repartition(4)
     stored = spark.createDataFrame([(3,)], "k int")
     assert sorted(map(tuple, sinks.append_new(stored, rows, "k", ["o"]).collect())) == [(1, "b", 2), (2, "x", 1)]
     assert sorted(map(tuple, sinks.append_new(stored, rows, "k").collect())) == [(1, "a", 3), (2, "x", 1)]
+
+
+def test_inspection_names_what_matched(spark):
+    old = spark.createDataFrame([(1, "u1", "c1", "One"), (2, "u2", "c1", "Two"), (3, None, "", "Three")], "id int, url string, clean string, title string")
+    new = spark.createDataFrame([(10, "u2", "c1"), (11, "x", "c1"), (12, None, ""), (13, "u9", None), (14, "u1", None)], "id int, url string, clean string")
+    press = spark.createDataFrame([(14, 2, "presscorner")], "id int, matched_id int, reason string")
+    got = dedup.inspected(new, old, [("url", F.col("url"), F.col("url")), ("clean", F.col("clean"), F.col("clean"))], press)
+    assert sorted(map(tuple, got.collect())) == [(10, True, "url", 2, "Two"), (11, True, "clean", 1, "One"), (12, False, None, None, None), (13, False, None, None, None), (14, True, "presscorner", 2, "Two")]
+
+
+def test_patches_of_one_key(spark):
+    stored = spark.createDataFrame([("a", {"x": "1", "y": "2"}), ("b", {"x": "1"})], "k string, m map<string,string>")
+    patch = spark.createDataFrame([("a", {"x": "9"}), ("a", {"x": "8"}), ("c", {"z": "1"})], "k string, m map<string,string>")
+    assert {r["k"]: r["m"] for r in sinks.merge_map(stored, patch, "k", "m").collect()} == {"a": {"x": "8", "y": "2"}, "b": {"x": "1"}}

@@ -16,7 +16,9 @@ PATH_SQL = "rtrim(regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1), '/')"
 CLEAN_SQL = f"lower(regexp_extract(url, '^([^:]*://[^/?#]*)', 1)) || {PATH_SQL}"
 
 
-@query()
+@query(f"""WITH u AS (SELECT page_id, url, regexp_extract(url, '^([^:]*)://', 1) AS scheme, regexp_extract(url, '^[^:]*://([^/?#]*)', 1) AS host, regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '[?]([^#]*)', 1) AS query FROM pages),
+k AS (SELECT page_id, list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(lower(string_split(p, '=')[1]), '^(utm_.*|gclid|gclsrc|dclid|fbclid|msclkid|zanpid|oc|ved|usqp|ref|ref_src|ref_url|_ga|_gl|mc_cid|mc_eid)$')) AS pairs FROM u)
+SELECT u.page_id, lower(scheme) || '://' || lower(host) || CASE WHEN path = '/' THEN path ELSE rtrim(path, '/') END || CASE WHEN len(pairs) > 0 THEN '?' || array_to_string(list_sort(pairs), '&') ELSE '' END AS url FROM u JOIN k USING (page_id)""")
 def url_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", I.normalize_url("url").alias("url"))
 
@@ -35,7 +37,11 @@ def same_site_join(spark: SparkSession, sf: str) -> DataFrame:
     return a.join(b, "path").where((F.col("left_id") < F.col("right_id")) & I.same_site(F.col("da"), F.col("db"))).select("left_id", "right_id")
 
 
-@query()
+# NFKC is left out: titles are in that form already, but for what their words lose anyway.
+PLAIN_TITLE_SQL = "trim(regexp_replace(regexp_replace(lower(title), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(with_views("entries") + f"SELECT entry_id, {PLAIN_TITLE_SQL} AS title FROM entries")
 def title_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return entries(spark, sf).select("entry_id", I.normalize_title("title").alias("title"))
 
@@ -47,7 +53,8 @@ def dedupe_hash(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("entry_id", I.dedupe_hash(F.col("source"), F.col("title"), F.col("excerpt")).alias("dedupe_hash"), I.input_hash(F.col("title"), F.col("content")).alias("input_hash"))
 
 
-@query()
+@query(with_views("entries") + f"""SELECT sha256(CASE WHEN name <> '' THEN 'pub:' || name ELSE '' END || ':' || t) AS fingerprint, min(entry_id) AS entry_id, count(*) AS n
+FROM (SELECT entry_id, {PLAIN_TITLE_SQL} AS t, {PLAIN_TITLE_SQL.replace('title', 'source')} AS name FROM entries) GROUP BY 1""")
 def fingerprint_dedupe(spark: SparkSession, sf: str) -> DataFrame:
     """Publications by publisher and normalised title; the first of each fingerprint stays."""
     e = entries(spark, sf).select("entry_id", I.fingerprint(F.lit(""), F.col("title"), F.col("source")).alias("fingerprint"))

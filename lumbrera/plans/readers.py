@@ -12,7 +12,7 @@ from lumbrera.sources import api, feeds, listings, responses
 from lumbrera.sources.tables import entries, table, with_views
 
 
-@query()
+@query("""SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, replace(unnest(l), '&amp;', '&') AS href FROM (SELECT page_id, list_filter(regexp_extract_all(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', '', 'g'), '<a [^>]*href="([^"]*)"', 1), lambda h: h <> '') AS l FROM pages)""")
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages").select("page_id", F.posexplode(listings.links("html")).alias("pos", "href"))
     return p.select("page_id", "pos", "href")

@@ -108,12 +108,24 @@ def html_to_text(spark: SparkSession, sf: str) -> DataFrame:
     return t.withColumn("enough", F.length("text") >= 500)
 
 
-@query()
+TAG_SQL = """CASE WHEN page_id % 5 IN (0, 4) THEN '"datePublished": "2024-03-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0') || '"' ELSE '' END || CASE WHEN page_id % 5 IN (1, 4) THEN '<meta property="article:published_time" content="' || lpad(CAST(page_id % 12 + 13 AS VARCHAR), 2, '0') || '/04/2024">' ELSE '' END
+  || CASE WHEN page_id % 5 IN (1, 2, 4) THEN '<time class="x" datetime="' || CASE WHEN page_id % 3 = 0 THEN 'soon' ELSE '2023.05.01' END || '"><time datetime="2023/05/02">' ELSE '' END"""
+
+
+@query(f"""WITH p AS (SELECT page_id, html || {TAG_SQL} AS html FROM pages), x AS (SELECT page_id, regexp_extract(html, '"datePublished"\\s*:\\s*"([^"]+)"', 1) AS j, regexp_extract(html, '<meta[^>]+article:published_time[^>]+content="([^"]+)"', 1) AS m, regexp_extract(html, '<time[^>]+datetime="([^"]+)"', 1) AS t FROM p),
+y AS (SELECT page_id, try_strptime(j, '%Y-%m-%d') AS j, try_strptime(m, '%d/%m/%Y') AS m, coalesce(try_strptime(t, '%Y-%m-%d'), try_strptime(t, '%Y/%m/%d')) AS t FROM x)
+SELECT page_id, strftime(coalesce(j, m, t), '%Y-%m-%d %H:%M:%S') AS ts, CASE WHEN j IS NOT NULL THEN 'json_ld' WHEN m IS NOT NULL THEN 'meta' WHEN t IS NOT NULL THEN 'time' END AS label FROM y""")
 def structured_dates(spark: SparkSession, sf: str) -> DataFrame:
-    """Dates of pages by source of evidence; half of the pages get one inlined."""
-    tag = F.concat(F.lit('<time datetime="2024-03-'), F.lpad((F.col("page_id") % 28 + 1).cast("string"), 2, "0"), F.lit('">'))
-    p = table(spark, sf, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat("html", tag)).otherwise(F.col("html")).alias("html"))
-    return p.select("page_id", dates.page_date(F.col("html")).alias("d")).select("page_id", F.col("d.ts").cast("string").alias("ts"), "d.label")
+    """Dates of pages by source of evidence; pages get none, one, two or all three, in several formats, and some that are no dates."""
+    k = F.col("page_id")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    tag = F.concat(
+        F.when((k % 5).isin(0, 4), F.concat(F.lit('"datePublished": "2024-03-'), two(k % 28 + 1), F.lit('"'))).otherwise(""),
+        F.when((k % 5).isin(1, 4), F.concat(F.lit('<meta property="article:published_time" content="'), two(k % 12 + 13), F.lit('/04/2024">'))).otherwise(""),
+        F.when((k % 5).isin(1, 2, 4), F.concat(F.lit('<time class="x" datetime="'), F.when(k % 3 == 0, "soon").otherwise("2023.05.01"), F.lit('"><time datetime="2023/05/02">'))).otherwise(""),
+    )
+    p = table(spark, sf, "pages").select("page_id", F.concat("html", tag).alias("html"))
+    return p.select("page_id", dates.page_date(F.col("html")).alias("d")).select("page_id", F.date_format("d.ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "d.label")
 
 
 @query("""SELECT event_id, strftime(CASE WHEN date_trunc('day', ts) + INTERVAL 6 HOUR > ts THEN date_trunc('day', ts) + INTERVAL 6 HOUR ELSE date_trunc('day', ts) + INTERVAL 30 HOUR END, '%Y-%m-%d %H:%M:%S') AS daily FROM events""")
@@ -152,7 +164,7 @@ def json_path_filter(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", k.alias("k")).where("k IN (5, 7, 11)")
 
 
-@query()
+@query("SELECT page_id // 10 AS feed, CAST(page_id % 10 AS INTEGER) AS pos, 'Page ' || page_id AS title, url AS link FROM pages")
 def rss_reader(spark: SparkSession, sf: str) -> DataFrame:
     """A feed of pages, read back as items."""
     p = table(spark, sf, "pages").select("page_id", F.floor(F.col("page_id") / 10).alias("feed"), F.concat(F.lit("<item><title>Page "), "page_id", F.lit("</title><link>"), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit("</link></item>")).alias("i"))

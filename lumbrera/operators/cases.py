@@ -65,12 +65,13 @@ def utc_slug(at: Column) -> Column:
 
 
 def match_attachments(events: DataFrame, attachments: DataFrame, before: int = 2, after: int = 1) -> DataFrame:
-    """(event, level, score, attachment): the attachment that each event's note means.
+    """(event, level, score, attachment, related): the attachment that each event's note means, and the other candidates.
 
     ``events`` has case, event, note and at; ``attachments`` case, attachment, title, url, content_type and at. Both meet by case. A phrase that
     note and title share scores 100 in the window of days about the event and 70 outside; without one, two or more long words in common
     score 50 and 5 each, in the window only. Documents beside the main one lose 20. A tie at the top is AMBIGUOUS, no candidate NONE;
-    then score and attachment are null.
+    then score (of NONE) and attachment are null. ``related`` are the candidates but the one that is meant, by falling score and then by attachment; there
+    are no more of them than the case has attachments.
     """
     note = events.select("case", "event", plain_title(F.col("note")).alias("n"), F.to_date("at").alias("on"))
     pdf = (F.lower(F.coalesce("content_type", F.lit(""))) == "application/pdf") | F.lower(F.coalesce("url", F.lit(""))).endswith(".pdf")
@@ -88,11 +89,15 @@ def match_attachments(events: DataFrame, attachments: DataFrame, before: int = 2
     kind = F.when(phrase & inside, "EXACT").otherwise("STRONG")
     found = both.where(~never).select("event", "attachment", kind.alias("kind"), (score - F.when(any_of(F.col("t"), BESIDE), 20).otherwise(0)).alias("score"))
     # The top score, how many share it and one of them, in two grouped passes.
-    tied = found.where("score IS NOT NULL").groupBy("event", "score").agg(F.count("*").alias("tied"), F.min(F.struct("attachment", "kind")).alias("one"))
-    top = tied.groupBy("event").agg(F.max(F.struct("score", "tied", "one")).alias("top"))
+    own = F.array_sort(F.collect_list("attachment")).alias("own")
+    tied = found.where("score IS NOT NULL").groupBy("event", "score").agg(F.count("*").alias("tied"), F.min(F.struct("attachment", "kind")).alias("one"), own)
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), "own")))
+    top = tied.groupBy("event").agg(F.max(F.struct("score", "tied", "one")).alias("top"), F.flatten(F.transform(ranked, lambda r: r["own"])).alias("every"))
     level = F.when(F.col("top").isNull(), "NONE").when(F.col("top.tied") > 1, "AMBIGUOUS").otherwise(F.col("top.one.kind"))
     sole = F.when(F.col("top.tied") == 1, F.col("top.one.attachment"))
-    return events.select("event").join(top, "event", "left").select("event", level.alias("level"), F.col("top.score").alias("score"), sole.alias("attachment"))
+    related = F.when(sole.isNull(), F.col("every")).otherwise(F.slice("every", 2, F.greatest(F.size("every"), F.lit(1))))
+    related = F.coalesce(related, F.array().cast(T.ArrayType(attachments.schema["attachment"].dataType)))
+    return events.select("event").join(top, "event", "left").select("event", level.alias("level"), F.col("top.score").alias("score"), sole.alias("attachment"), related.alias("related"))
 
 
 def case_content_type(case_type: Column, document_type: Column) -> Column:

@@ -154,3 +154,21 @@ def act_pages(pages: DataFrame, base: str, cutoff: Column) -> DataFrame:
         "page", status.otherwise(F.when(notice, "notice").otherwise("act")).alias("status"), "number", "kind", "at", "m.phase", F.col("m.simplified").isNotNull().alias("simplified"),
         "m.outcome", "m.parties", title.alias("title"), bodies.article("act")("html")["content"].alias("content"),
     )
+
+
+# Kinds of entities that have a page of a company, and of a person.
+COMPANY_KINDS, PERSON_KINDS = ["organization", "institution", "company"], ["person", "individual"]
+
+
+def discover_by(url: Column, kind: Column) -> Column:
+    """``company_url`` or ``profile_url``: by the entity's kind, else by its address."""
+    k = F.lower(F.trim(F.coalesce(kind, F.lit(""))))
+    by_url = F.when(F.contains(F.lower(F.trim(url)), F.lit("/company/")), "company_url").otherwise("profile_url")
+    return F.when(k.isin(*COMPANY_KINDS), "company_url").when(k.isin(*PERSON_KINDS), "profile_url").otherwise(by_url)
+
+
+def discovery_payload(url: Column, kind: Column) -> Column:
+    """What a provider is asked for, as JSON: a company's posts, or those that a person wrote."""
+    clean = F.trim(url)
+    own = F.to_json(F.array(F.struct(clean.alias("url"), F.lit(True).alias("only_authored_posts"))))
+    return F.when(discover_by(url, kind) == "company_url", F.to_json(F.array(F.struct(clean.alias("url"))))).otherwise(own)

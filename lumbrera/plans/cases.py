@@ -29,7 +29,8 @@ s AS (SELECT event, att, t, inside, (n = 'final report published' AND t LIKE '%f
 r AS (SELECT event, att, phrase AND inside AS exact, CASE WHEN phrase THEN CASE WHEN inside THEN 100 ELSE 70 END WHEN inside AND k >= 2 THEN 50 + 5 * k END - CASE WHEN t LIKE '%appendix%' OR t LIKE '%summary of%' OR t = 'glossary' THEN 20 ELSE 0 END AS score FROM s),
 m AS (SELECT event, max(score) AS score FROM r WHERE score IS NOT NULL GROUP BY event),
 x AS (SELECT r.event, m.score, count(*) AS tied, min(att) AS att, bool_or(exact) AS exact FROM r JOIN m ON r.event = m.event AND r.score = m.score GROUP BY r.event, m.score)
-SELECT e.event, CASE WHEN tied IS NULL THEN 'NONE' WHEN tied > 1 THEN 'AMBIGUOUS' WHEN exact THEN 'EXACT' ELSE 'STRONG' END AS level, CAST(score AS INT) AS score, CASE WHEN tied = 1 THEN att END AS attachment FROM e LEFT JOIN x ON e.event = x.event""")
+SELECT e.event, CASE WHEN tied IS NULL THEN 'NONE' WHEN tied > 1 THEN 'AMBIGUOUS' WHEN exact THEN 'EXACT' ELSE 'STRONG' END AS level, CAST(x.score AS INT) AS score, CASE WHEN tied = 1 THEN x.att END AS attachment, coalesce(others, '') AS related
+FROM e LEFT JOIN x ON e.event = x.event LEFT JOIN (SELECT r.event, string_agg(CAST(r.att AS VARCHAR), ',' ORDER BY r.score DESC, r.att) AS others FROM r JOIN x ON r.event = x.event WHERE r.score IS NOT NULL AND (tied > 1 OR r.att <> x.att) GROUP BY r.event) o ON e.event = o.event""")
 def case_attachments(spark: SparkSession, sf: str) -> DataFrame:
     """Orders as events with notes, line items as attachments with titles."""
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case"), F.col("o_orderkey").alias("event"), pick(NOTES, F.col("o_orderkey")).alias("note"), F.col("o_orderdate").cast("date").alias("at"))
@@ -37,7 +38,7 @@ def case_attachments(spark: SparkSession, sf: str) -> DataFrame:
     kind = F.when(F.col("l_linenumber") < 3, "application/pdf").alias("content_type")
     url = F.when(F.col("l_linenumber").between(3, 5), "https://a.org/x.PDF").otherwise("https://a.org/x.html").alias("url")
     a = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("case"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("attachment"), title, url, kind, F.col("l_shipdate").cast("date").alias("at"))
-    return C.match_attachments(o, a, before=60, after=30)
+    return C.match_attachments(o, a, before=60, after=30).withColumn("related", F.array_join(F.transform("related", lambda x: x.cast("string")), ","))
 
 
 HOSTS = ["http://127.0.0.1/x", "http://10.1.2.3/", "https://[::1]/a", "ftp://files.org/a", "http://LOCALHOST:80/", "http://169.254.169.254/latest", "https://8.8.8.8/a", "https://[::ffff:192.168.0.1]/", "https://example.org/a", "", "http:///none"]

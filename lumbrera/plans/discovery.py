@@ -255,3 +255,15 @@ def authority_pages(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages").select(F.col("page_id").alias("page"), F.lit("https://a.fr/x").alias("url"), pick(ACT_PAGES, F.col("page_id")).alias("html"))
     got = D.act_pages(p, "https://a.fr", F.lit("2024-01-01").cast("timestamp"))
     return got.select(F.col("page").alias("page_id"), "status", "number", "kind", F.date_format("at", "yyyy-MM-dd").alias("day"), "phase", "simplified", "outcome", "title")
+
+
+@query("""WITH x AS (SELECT s_suppkey, ' https://www.linkedin.com/' || CASE s_suppkey % 3 WHEN 0 THEN 'company' WHEN 1 THEN 'Company' ELSE 'in' END || '/' || s_suppkey || ' ' AS url, CASE s_suppkey % 5 WHEN 0 THEN 'Organization ' WHEN 1 THEN 'person' WHEN 2 THEN 'newspaper' WHEN 3 THEN '' END AS kind FROM supplier),
+y AS (SELECT *, CASE WHEN lower(trim(kind)) IN ('organization', 'institution', 'company') THEN 'company_url' WHEN lower(trim(kind)) IN ('person', 'individual') THEN 'profile_url' WHEN contains(lower(url), '/company/') THEN 'company_url' ELSE 'profile_url' END AS mode FROM x)
+SELECT s_suppkey, mode, '[{"url":"' || trim(url) || '"' || CASE WHEN mode = 'profile_url' THEN ',"only_authored_posts":true' ELSE '' END || '}]' AS payload FROM y""")
+def discovery_payloads(spark: SparkSession, sf: str) -> DataFrame:
+    """What a social provider is asked for each supplier."""
+    k = F.col("s_suppkey")
+    part = F.element_at(F.array(*map(F.lit, ["company", "Company", "in"])), (k % 3 + 1).cast("int"))
+    url = F.concat(F.lit(" https://www.linkedin.com/"), part, F.lit("/"), k.cast("string"), F.lit(" "))
+    kind = F.when(k % 5 == 0, "Organization ").when(k % 5 == 1, "person").when(k % 5 == 2, "newspaper").when(k % 5 == 3, "")
+    return table(spark, sf, "supplier").select("s_suppkey", D.discover_by(url, kind).alias("mode"), D.discovery_payload(url, kind).alias("payload"))

@@ -9,11 +9,11 @@ from pyspark.sql import Window as W
 from lumbrera.functions import dates, text
 from lumbrera.functions.identity import normalize_title, publisher_domain
 from lumbrera.operators import discovery as D
-from lumbrera.operators import agencies, cases, news, taxonomy
+from lumbrera.operators import agencies, cases, news, prompts, taxonomy
 from lumbrera.plans.cases import pick
 from lumbrera.plans.registry import query
 from lumbrera.sources import bodies
-from lumbrera.sources.tables import table, topics, with_views
+from lumbrera.sources.tables import entries, table, topics, with_views
 
 NOW = "2024-06-30 00:00:00"
 
@@ -267,3 +267,32 @@ def discovery_payloads(spark: SparkSession, sf: str) -> DataFrame:
     url = F.concat(F.lit(" https://www.linkedin.com/"), part, F.lit("/"), k.cast("string"), F.lit(" "))
     kind = F.when(k % 5 == 0, "Organization ").when(k % 5 == 1, "person").when(k % 5 == 2, "newspaper").when(k % 5 == 3, "")
     return table(spark, sf, "supplier").select("s_suppkey", D.discover_by(url, kind).alias("mode"), D.discovery_payload(url, kind).alias("payload"))
+
+
+@query("""WITH t AS (SELECT r_name AS matrix, n_name AS code, CASE WHEN n_nationkey % 2 = 0 THEN 'Nation ' || n_nationkey END AS description, CASE WHEN n_nationkey % 3 = 0 THEN 'only ' || r_name ELSE '' END AS criterion,
+  CASE WHEN n_nationkey % 4 = 0 THEN lower(n_name) || ', market' ELSE '' END AS keywords, n_nationkey % 5 AS position FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_regionkey > 0)
+SELECT r_name AS matrix, coalesce(block, '(sin temas activos en la matriz)') AS block FROM region LEFT JOIN (SELECT matrix, string_agg('  - ' || code || ' | ' || lower(code) || coalesce(chr(10) || '    Descripción: ' || nullif(description, ''), '')
+  || coalesce(chr(10) || '    Criterio de relevancia: ' || nullif(criterion, ''), '') || coalesce(chr(10) || '    Palabras clave (señales auxiliares): ' || nullif(keywords, ''), ''), chr(10) ORDER BY position, code) AS block FROM t GROUP BY matrix) ON matrix = r_name""")
+def topic_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Regions as matrices, their nations as topics; one region has none."""
+    r, n = table(spark, sf, "region"), table(spark, sf, "nation").where("n_regionkey > 0")
+    k = F.col("n_nationkey")
+    t = n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(
+        F.col("r_name").alias("matrix"), F.col("n_name").alias("code"), F.lower("n_name").alias("name"), F.when(k % 2 == 0, F.concat(F.lit("Nation "), k.cast("string"))).alias("description"),
+        F.when(k % 3 == 0, F.concat(F.lit("only "), "r_name")).otherwise("").alias("criterion"), F.when(k % 4 == 0, F.array(F.lower("n_name"), F.lit("market"))).alias("keywords"), (k % 5).alias("position"),
+    )
+    return prompts.topic_blocks(r.select(F.col("r_name").alias("matrix")), t)
+
+
+@query("""WITH e AS (SELECT doc_id AS entry_id, CASE WHEN doc_id % 6 = 0 THEN '' ELSE split_part(text, chr(10), 1) END AS title, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE text END AS content, CASE WHEN doc_id % 2 = 0 THEN '' ELSE substring(text, 1, 200) END AS excerpt, CASE WHEN doc_id % 4 = 0 THEN '{"lang": "' || lang || '"}' END AS meta FROM documents),
+s AS (SELECT entry_id, coalesce(nullif(title, ''), '(sin título)') AS title, CASE WHEN length(content) > 12000 THEN NULL WHEN coalesce(content, '') <> '' THEN 'Contenido completo:' || chr(10) || content
+  WHEN coalesce(excerpt, '') <> '' THEN '[AVISO: Contenido completo no disponible. Se proporciona extracto.]' || chr(10) || 'Extracto: ' || excerpt
+  ELSE '[AVISO: Contenido completo y extracto no disponibles.]' || chr(10) || 'Título: ' || coalesce(title, '') || chr(10) || 'Metadatos disponibles:' || chr(10) || coalesce(meta, '(ninguno)') END AS section, CASE WHEN length(content) > 12000 THEN 'input_too_large' END AS error FROM e)
+SELECT entry_id, title, sha256(section) AS section, CAST(length(section) AS INTEGER) AS n_chars, error FROM s""")
+def document_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Publications as a model is told them: some without content, excerpt, title or metadata, and some too long."""
+    e, k = entries(spark, sf), F.col("entry_id")
+    title, content = F.when(k % 6 == 0, "").otherwise(F.col("title")), F.when(k % 3 == 0, None).otherwise(F.col("content"))
+    excerpt, meta = F.when(k % 2 == 0, "").otherwise(F.col("excerpt")), F.when(k % 4 == 0, F.concat(F.lit('{"lang": "'), "lang", F.lit('"}')))
+    s = e.select("entry_id", prompts.document_section(title, content, excerpt, meta, 12_000).alias("s"))
+    return s.select("entry_id", "s.title", F.sha2("s.section", 256).alias("section"), "s.n_chars", "s.error")

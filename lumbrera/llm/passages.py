@@ -14,9 +14,11 @@ edit at most, so that they share a run of 20 shingles, and longer ones longer ru
 16 equal shingles before, after or about them, each place once however many signatures it has, which tells apart documents that only have a frequent line in common. A group's
 distinct surroundings, each by its smallest document, lead it: the uncovered places are verified against the first ``LEADERS`` of them, and then
 against all the others, if there are ``GROUP`` at most. The places still uncovered of larger groups, as of a paragraph that stands in thousands of
-documents that are unlike otherwise, are told apart in the same way by 32 equal shingles, and then by MIN_SHINGLES, which are a passage already. So
-pairs are in proportion to the documents. Only this loses a link: of a pair that share more than 16 and fewer than 32 shingles in a row, in a group of more than GROUP
-surroundings, none of whose first leaders is near.
+documents that are unlike otherwise, are told apart in the same way by 32 equal shingles, and then by MIN_SHINGLES, which are a passage already.
+
+What is still uncovered in those larger groups is held against all of their surroundings. Only shingles that stand about such places of two documents count
+(``counted``): places without a window about them that has as many counted shingles as a passage needs (``dense``) are near nothing. The others are held against every
+earlier such document of their group, so no pair that could be near is left out; in the worst case their number is the square of such a group.
 
 Leaders with many followers are salted: each task holds one leader's shingles and one follower at a time.
 
@@ -404,6 +406,82 @@ def ranked(rows: DataFrame) -> DataFrame:
     return lead.select("group", *names, F.row_number().over(own.orderBy("doc", "th", "place")).alias("rank"), F.count("*").over(own).alias("n"))
 
 
+def counted(places: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, th, asked, about): a document's places (place, open), and the positions near them of shingles that stand near a place of another document too.
+
+    One of a shingle's documents at least has an open place.
+    """
+    asked = F.collect_set(F.struct("place", "open")).alias("asked")
+    own = cut(places.groupBy("doc", "th").agg(asked))
+    reach = AROUND // 2
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in chunks(whole, 3):
+                out = []
+                for n, (own, text) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                    h = shingles(text or "")
+                    near = np.zeros(len(h), bool)
+                    for x in own:
+                        near[max(0, x["place"] - reach) : x["place"] + reach + 1] = True
+                    at = np.flatnonzero(near)
+                    out.append((h[at], at, np.full(len(at), n), np.full(len(at), any(x["open"] for x in own))))
+                h, at, n, left = (np.concatenate(x) for x in zip(*out, strict=True))
+                n = pa.array(n)
+                cols = [pa.array(h.view(np.int64)), b.column(0).take(n), b.column(1).take(n), pa.array(at.astype(np.int32)), pa.array(left)]
+                yield pa.RecordBatch.from_arrays(cols, ["shingle", "doc", "th", "at", "open"])
+
+    texts = fetched(docs, own, id_col, text_col).select("doc", "th", "asked", "text")
+    rows = cut(texts.mapInArrow(work, "shingle bigint, doc bigint, th int, at int, open boolean"))
+    one = F.xxhash64("doc", "th")
+    twice = rows.groupBy("shingle").agg(F.min(one).alias("_low"), F.max(one).alias("_high"), F.max("open").alias("_open")).where("_low <> _high AND _open")
+    about = rows.join(twice.select("shingle"), "shingle").groupBy("doc", "th").agg(F.collect_set("at").alias("about"))
+    out = cut(own.join(about, ["doc", "th"]))
+    discard(rows)
+    discard(own)
+    return out
+
+
+def dense(rows: DataFrame) -> DataFrame:
+    """(doc, th, place) of the places (doc, th, asked, about) that lie in a window of the least length with as many counted shingles as a passage needs."""
+    need = int(np.ceil(MIN_SIMILARITY * MIN_SHINGLES))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for n, (asked, about) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
+                place = np.array([x["place"] for x in asked])
+                counts = np.zeros(max(int(place.max()), max(about)) + MIN_SHINGLES + 1, np.int64)
+                counts[about] = 1
+                held = np.cumsum(np.concatenate((np.zeros(MIN_SHINGLES, np.int64), counts)))
+                held = held[MIN_SHINGLES:] - held[:-MIN_SHINGLES]  # of the window that ends there
+                best = np.lib.stride_tricks.sliding_window_view(held, MIN_SHINGLES).max(axis=1)
+                place = place[best[place] >= need]
+                out.append((np.full(len(place), n), place))
+            if out:
+                n, place = (np.concatenate(x) for x in zip(*out, strict=True))
+                cols = [b.column(0).take(pa.array(n)), b.column(1).take(pa.array(n)), pa.array(place.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["doc", "th", "place"])
+
+    return rows.select("doc", "th", "asked", "about").mapInArrow(work, "doc bigint, th int, place int")
+
+
+def still_open(left: DataFrame, found: DataFrame) -> DataFrame:
+    return left.join(spans_of(found), ["doc", "th"], "left").where(OPEN).drop("spans")
+
+
+def held_against(docs: DataFrame, lead: DataFrame, left: DataFrame, hold: Callable[[DataFrame, DataFrame], DataFrame], id_col: str, text_col: str) -> None:
+    """Hold the open places ``left`` (group, doc, th, place) of large groups against all surroundings ``lead`` of their groups."""
+    known = lead.join(left.select("group").distinct(), "group")
+    places = known.select(F.col("leader").alias("doc"), F.col("leader_th").alias("th"), "place", F.lit(False).alias("open")).unionAll(left.select("doc", "th", "place", F.lit(True).alias("open")))
+    rows = counted(places.groupBy("doc", "th", "place").agg(F.max("open").alias("open")), docs, id_col, text_col)
+    likely = cut(dense(rows))
+    discard(rows)
+    asking = left.join(likely, ["doc", "th", "place"], "left_semi").select("group", "doc", "th")
+    other = known.join(likely.toDF("leader", "leader_th", "place"), ["leader", "leader_th", "place"], "left_semi").select("group", "leader", "leader_th")
+    hold(asking.distinct().join(other.distinct(), "group").where(EARLIER), left)
+
+
 def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc and th, leader and leader_th (an earlier document), first and last word of the passage in doc, and those in leader; last is inclusive."""
     spark = docs.sparkSession
@@ -413,29 +491,34 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     discard(every)
     tried = cut(first_asked(rows))
     found = cut(verified(docs, tried, id_col, text_col))
+
+    def hold(ask: DataFrame, left: DataFrame) -> DataFrame:
+        """Verify those pairs that have not been tried; the places of ``left`` that stay open."""
+        nonlocal tried, found
+        pairs = cut(ask.select(*PAIR).distinct().join(tried, PAIR, "left_anti"))
+        if pairs.isEmpty():
+            return left
+        tried = tried.unionAll(pairs)
+        new = cut(verified(docs, pairs, id_col, text_col))
+        found = found.unionAll(new)
+        return cut(still_open(left, new))
+
     before, rows = rows, cut(rows.join(spans_of(found), ["doc", "th"], "left").select("group", "doc", "th", "place", F.expr(OPEN).alias("open")))
     discard(before)
-    places, spent = worth(rows).select("doc", "th", "place", "open"), [rows]
+    places, spent, large = worth(rows).select("doc", "th", "place", "open"), [rows], None
     for size in RUNS:
         runs = cut(by_words(places, size, docs, id_col, text_col))
         for table in spent:
             discard(table)
         lead = cut(ranked(worth(runs)))
-        spent = [lead]
+        spent = [lead] if large else []
         if lead.isEmpty():
             break
         left = cut(runs.where("open").join(lead.where("rank = 1 AND n > 1"), "group").where(EARLIER).select("group", "doc", "th", runs["place"], "n"))
         discard(runs)
         for low, high, most in ((0, LEADERS, 1 << 62), (LEADERS, GROUP, GROUP)):
             turn = lead.where((F.col("rank") > low) & (F.col("rank") <= high) & (F.col("n") <= most))
-            ask = left.select("group", "doc", "th").join(turn, "group").where(EARLIER).select(*PAIR).distinct()
-            pairs = cut(ask.join(tried, PAIR, "left_anti"))
-            if pairs.isEmpty():
-                continue
-            tried = tried.unionAll(pairs)
-            new = cut(verified(docs, pairs, id_col, text_col))
-            found = found.unionAll(new)
-            left = cut(left.join(spans_of(new), ["doc", "th"], "left").where(OPEN).drop("spans"))
+            left = hold(left.select("group", "doc", "th").join(turn, "group").where(EARLIER), left)
         # Smaller groups have been held against each other.
         left = left.where(F.col("n") > GROUP)
         if left.isEmpty():
@@ -443,6 +526,12 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         again = lead.join(left.select("group").distinct(), "group").select(F.col("leader").alias("doc"), F.col("leader_th").alias("th"), "place", F.lit(False).alias("open"))
         again = again.unionAll(left.select("doc", "th", "place", F.lit(True).alias("open")))
         places = again.groupBy("doc", "th", "place").agg(F.max("open").alias("open"))
+        large = large or (lead, left)
+    if large:
+        lead, left = large
+        left = cut(still_open(left, found))
+        if not left.isEmpty():
+            held_against(docs, lead, left, hold, id_col, text_col)
     word = F.lit(SHINGLE - 1)
     ends = [F.col("first"), (F.col("last") + word).alias("last"), F.col("from_first"), (F.col("from_last") + word).alias("from_last")]
     return found.distinct().select("doc", "th", "leader", "leader_th", *ends)

@@ -524,6 +524,23 @@ def test_passages_recall_in_groups_of_edited_copies(spark, monkeypatch, leaders,
     assert all(s < d and s // 100 == d // 100 for d, sources in got.items() for s in sources)
 
 
+@pytest.mark.parametrize("gap", [1, 2])
+def test_passages_in_large_groups_of_frequent_lines(spark, monkeypatch, gap):
+    """Passages of two frequent lines about other words: both lines stand in more documents than are held against each other, and share under 32 shingles."""
+    monkeypatch.setattr(passages, "LEADERS", 2)
+    monkeypatch.setattr(passages, "GROUP", 8)
+    rows, sets = [], 12
+    for g in range(sets):
+        a, b = prose(7000 + g, 29), prose(7100 + g, 29)
+        for k in range(-60, 60):
+            rows.append((1000 * g + k, f"{prose(8000 + 1000 * g + k, 40)} {(a, b)[k % 2]} {prose(20500 + 1000 * g + k, 40)}"))
+        for k in (60, 61):
+            rows.append((1000 * g + k, f"{prose(8000 + 1000 * g + k, 40)} {a} {' '.join(f'x{k}y{n}' for n in range(gap))} {b} {prose(20500 + 1000 * g + k, 40)}"))
+    got = {x["doc_id"]: x["sources"] for x in passages.digest(spark.createDataFrame(rows, DOCS)).collect() if x["n_passages"]}
+    print(len(got), sets)
+    assert all(k % 1000 == 61 and sources == [k - 1] for k, sources in got.items()) and len(got) >= 0.9 * sets
+
+
 def test_passages_of_rows_with_one_number(spark):
     own, other = prose(600, 80), prose(601, 80)
     rows = [(1, f"{prose(602, 60)} {own}"), (1, f"{prose(603, 60)} {other}"), (2, f"{own} {prose(604, 40)}"), (3, f"{other} {prose(605, 40)}")]

@@ -14,11 +14,11 @@ edit at most, so that they share a run of 20 shingles, and longer ones longer ru
 16 equal shingles before, after or about them, each place once however many signatures it has, which tells apart documents that only have a frequent line in common. A group's
 distinct surroundings, each by its smallest document, lead it: the uncovered places are verified against the first ``LEADERS`` of them, and then
 against all the others, if there are ``GROUP`` at most. The places still uncovered of larger groups, as of a paragraph that stands in thousands of
-documents that are unlike otherwise, are told apart in the same way by 32 equal shingles, and then by MIN_SHINGLES, which are a passage already.
+documents that are unlike otherwise, are told apart in the same way by MIN_SHINGLES equal shingles, which are a passage already.
 
-What is still uncovered in those larger groups is held against all of their surroundings. Only shingles that stand about such places of two documents count
-(``counted``): places without a window about them that has as many counted shingles as a passage needs (``dense``) are near nothing. The others are held against every
-earlier such document of their group, so no pair that could be near is left out; in the worst case their number is the square of such a group.
+What is still uncovered in those larger groups is held against all of their surroundings (``likely_pairs``): by the shingles about both places first, in blocks of
+surroundings, which takes no row a pair; and then by the texts, with each earlier document that has as many shingles of a window about the place as a passage needs.
+So no pair that could be near is left out. Such pairs that are not near are verified too; in the worst case their number is the square of such a group.
 
 Leaders with many followers are salted: each task holds one leader's shingles and one follower at a time.
 
@@ -52,7 +52,9 @@ FOLLOWERS = 512
 #: Leaders that the places left of a group are held against first, and surroundings of a group that are all held against each other.
 LEADERS, GROUP = 8, 64
 #: Equal shingles about a place that put it into one group, and those that make up its surroundings.
-RUNS, AROUND = (16, 32, MIN_SHINGLES), 2 * MIN_SHINGLES - 1
+RUNS, AROUND = (16, MIN_SHINGLES), 2 * MIN_SHINGLES - 1
+#: Shingles to either side of a leader's place that a passage may take up there, and surroundings of a group that a task holds.
+REACH, BLOCK = int(np.ceil(MIN_SHINGLES / MIN_SIMILARITY)), 2048
 #: At most so many numbers are broadcast, whatever the corpus is.
 SPOTS = 1 << 20
 #: Odd multipliers; functions 2 k and 2 k + 1 make signature k.
@@ -193,18 +195,25 @@ def members(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def shared(rows: DataFrame) -> DataFrame:
     """The rows whose group has two documents or more."""
-    own = F.xxhash64("doc", "th")
-    return rows.join(rows.groupBy("group").agg(F.min(own).alias("_low"), F.max(own).alias("_high")).where("_low <> _high").select("group"), "group")
+    ends = [F.min("doc").alias("_low"), F.max("doc").alias("_high"), F.min("th").alias("_th"), F.max("th").alias("_other")]
+    groups = rows.groupBy("group").agg(*ends).where("_low <> _high OR _th <> _other").select("group")
+    # Those groups are few beside the rows: they are hashed, and the rows need no sort.
+    return rows.join(groups.hint("shuffle_hash"), "group")
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(30))
 
 
+def backs(size: int) -> tuple[int, int, int]:
+    """How far before a place its three runs of ``size`` shingles begin."""
+    return 0, size - 1, size // 2
+
+
 def by_words(rows: DataFrame, size: int, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(group, doc, th, place, open, around): each place (doc, th, place, open) in three groups, by the ``size`` shingles from it on, up to it and about it.
 
-    ``around`` is a hash of the AROUND shingles about the place: every passage of the least length with that place lies within them. Repeated places count once.
+    The last two bits of ``group`` tell which of the three. ``around`` is a hash of the AROUND shingles about the place: every passage of the least length with that place lies within them. Repeated places count once.
     """
     own = rows.groupBy("doc", "th").agg(F.collect_set(F.struct("place", "open")).alias("asked"))
     texts = fetched(docs, own, id_col, text_col).select("doc", "th", "asked", "text")
@@ -223,10 +232,11 @@ def by_words(rows: DataFrame, size: int, docs: DataFrame, id_col: str, text_col:
                     at = place[own_rows].astype(np.int64)
                     lo, hi = np.maximum(at - AROUND // 2, 0), np.minimum(at + AROUND // 2 + 1, len(h))
                     around = mixed((total[hi] - total[lo]) * MULTIPLIERS[1] + (at - lo).astype(np.uint64))
-                    for side, back in enumerate((0, size - 1, size // 2)):
+                    for side, back in enumerate(backs(size)):
                         lo = at - back
                         k = np.flatnonzero((lo >= 0) & (lo + size <= len(h)))
-                        out.append((mixed((total[lo[k] + size] - total[lo[k]]) * MULTIPLIERS[1] + MULTIPLIERS[2] * np.uint64(side)), own_rows[k], around[k]))
+                        run = mixed((total[lo[k] + size] - total[lo[k]]) * MULTIPLIERS[1])
+                        out.append((run & ~np.uint64(3) | np.uint64(side), own_rows[k], around[k]))
                 if out:
                     run, k, around = (np.concatenate(x) for x in zip(*out, strict=True))
                     ids = [b.column(c).take(pa.array(row[k - edge[0]])) for c in (0, 1)]
@@ -252,7 +262,7 @@ def first_asked(rows: DataFrame) -> DataFrame:
     """The distinct pairs (leader, leader_th, doc, th) of each group's smallest document and another."""
     lead = rows.groupBy("group").agg(F.min(F.struct("doc", "th")).alias("_lead"))
     lead = lead.select("group", F.col("_lead.doc").alias("leader"), F.col("_lead.th").alias("leader_th"))
-    return rows.join(lead, "group").where(EARLIER).select(*PAIR).distinct()
+    return rows.join(lead.hint("shuffle_hash"), "group").where(EARLIER).select(*PAIR).distinct()
 
 
 class Leader:
@@ -268,6 +278,8 @@ def stretches(lead: Leader, b: np.ndarray, least: int = MIN_SHINGLES, like: floa
     a, order, ordered = lead.a, lead.order, lead.sorted
     if len(a) < least or len(b) < least:
         return []
+    if np.array_equal(a, b):
+        return [(0, len(b) - 1, 0, len(a) - 1)]
     at = np.searchsorted(ordered, b)
     at[at == len(a)] = 0
     same = ordered[at] == b
@@ -356,14 +368,15 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> D
     kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 5]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, lead = None, None
+        held, lead, known = None, None, None
         for whole in batches:
             for b in chunks(whole, 6):
                 out = []
                 for leader, leader_th, part, role, doc, th, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    h = shingles(text or "", hash)
+                    # Copies of the leader are many.
+                    h = lead.a if lead and text == known else shingles(text or "", hash)
                     if role == 0:
-                        held, lead = (leader, leader_th, part), Leader(h)
+                        held, lead, known = (leader, leader_th, part), Leader(h), text
                     elif held == (leader, leader_th, part):
                         out += [(doc, th, leader, leader_th, *s) for s in stretches(lead, h)]
                 if out:
@@ -391,11 +404,16 @@ def spans_of(found: DataFrame) -> DataFrame:
 OPEN = "spans IS NULL OR NOT exists(spans, s -> place BETWEEN s.first AND s.last)"
 
 
-def worth(rows: DataFrame) -> DataFrame:
-    """The rows of groups in which an open document has an earlier one, or one of its own doc_id."""
+def twins(rows: DataFrame) -> bool:
+    """Whether texts share a doc_id."""
+    return not rows.groupBy("doc").agg(F.min("th").alias("_th"), F.max("th").alias("_other")).where("_th <> _other").isEmpty()
+
+
+def worth(rows: DataFrame, twice: bool) -> DataFrame:
+    """The rows of groups in which an open document has an earlier one, or (where texts share a doc_id: ``twice``) may have one of its own doc_id."""
     ends = [F.min("doc").alias("_low"), F.max(F.when(F.col("open"), F.col("doc"))).alias("_high"), F.min("th").alias("_th"), F.max("th").alias("_other")]
-    groups = rows.groupBy("group").agg(*ends).where("_low < _high OR _low = _high AND _th <> _other").select("group")
-    return rows.join(groups, "group")
+    groups = rows.groupBy("group").agg(*ends).where("_low < _high OR _low = _high AND _th <> _other" if twice else "_low < _high").select("group")
+    return rows.join(groups.hint("shuffle_hash"), "group")
 
 
 def ranked(rows: DataFrame) -> DataFrame:
@@ -406,82 +424,139 @@ def ranked(rows: DataFrame) -> DataFrame:
     return lead.select("group", *names, F.row_number().over(own.orderBy("doc", "th", "place")).alias("rank"), F.count("*").over(own).alias("n"))
 
 
-def counted(places: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, th, asked, about): a document's places (place, open), and the positions near them of shingles that stand near a place of another document too.
-
-    One of a shingle's documents at least has an open place.
-    """
-    asked = F.collect_set(F.struct("place", "open")).alias("asked")
-    own = cut(places.groupBy("doc", "th").agg(asked))
-    reach = AROUND // 2
+def surroundings(places: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, th, place, at, near): of each place (doc, th, place) half the bits of the shingles up to REACH from it, and its own position among them."""
+    own = places.groupBy("doc", "th").agg(F.collect_set("place").alias("asked"))
+    texts = fetched(docs, own, id_col, text_col).select("doc", "th", "asked", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in chunks(whole, 3):
-                out = []
+                row, place, at, near = [], [], [], []
                 for n, (own, text) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                    h = shingles(text or "")
-                    near = np.zeros(len(h), bool)
-                    for x in own:
-                        near[max(0, x["place"] - reach) : x["place"] + reach + 1] = True
-                    at = np.flatnonzero(near)
-                    out.append((h[at], at, np.full(len(at), n), np.full(len(at), any(x["open"] for x in own))))
-                h, at, n, left = (np.concatenate(x) for x in zip(*out, strict=True))
-                n = pa.array(n)
-                cols = [pa.array(h.view(np.int64)), b.column(0).take(n), b.column(1).take(n), pa.array(at.astype(np.int32)), pa.array(left)]
-                yield pa.RecordBatch.from_arrays(cols, ["shingle", "doc", "th", "at", "open"])
-
-    texts = fetched(docs, own, id_col, text_col).select("doc", "th", "asked", "text")
-    rows = cut(texts.mapInArrow(work, "shingle bigint, doc bigint, th int, at int, open boolean"))
-    one = F.xxhash64("doc", "th")
-    twice = rows.groupBy("shingle").agg(F.min(one).alias("_low"), F.max(one).alias("_high"), F.max("open").alias("_open")).where("_low <> _high AND _open")
-    about = rows.join(twice.select("shingle"), "shingle").groupBy("doc", "th").agg(F.collect_set("at").alias("about"))
-    out = cut(own.join(about, ["doc", "th"]))
-    discard(rows)
-    discard(own)
-    return out
-
-
-def dense(rows: DataFrame) -> DataFrame:
-    """(doc, th, place) of the places (doc, th, asked, about) that lie in a window of the least length with as many counted shingles as a passage needs."""
-    need = int(np.ceil(MIN_SIMILARITY * MIN_SHINGLES))
+                    h = (shingles(text or "") >> np.uint64(32)).astype(np.uint32)
+                    for p in own:
+                        lo = max(0, p - REACH)
+                        row.append(n)
+                        place.append(p)
+                        at.append(p - lo)
+                        near.append(h[lo : p + REACH + 1].tobytes())
+                cols = [b.column(c).take(pa.array(row)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(place, pa.int32()), pa.array(at, pa.int32()), pa.array(near, pa.binary())], ["doc", "th", "place", "at", "near"])
+
+    return texts.mapInArrow(work, "doc bigint, th int, place int, at int, near binary")
+
+
+class Surroundings:
+    """The surroundings (doc, th, at, shingles) of a block of a group's leaders, by shingle."""
+
+    def __init__(self, rows: list[tuple[int, int, int, np.ndarray]]) -> None:
+        near = [np.unique(x) for *_, x in rows]
+        self.rows = rows
+        owner, flat = np.repeat(np.arange(len(near)), [len(x) for x in near]), np.concatenate(near)
+        order = np.argsort(flat, kind="stable")
+        self.shingles, self.owner = flat[order], owner[order]
+
+    def dense(self, asked: list[np.ndarray], least: int = MIN_SHINGLES, like: float = MIN_SIMILARITY) -> list[int]:
+        """Those of ``asked`` with ``least`` shingles in a row of which as many as a passage needs stand in the block, at whatever leaders."""
+        long = [k for k, h in enumerate(asked) if len(h) >= least]
+        if not long or not len(self.shingles):
+            return []
+        flat, sizes = np.concatenate([asked[k] for k in long]), np.array([len(asked[k]) for k in long])
+        at = np.searchsorted(self.shingles, flat)
+        at[at == len(self.shingles)] = 0
+        total = np.concatenate(([0], np.cumsum(self.shingles[at] == flat)))
+        held, starts = total[least:] - total[:-least], np.cumsum(sizes) - sizes
+        # No window spans two of them.
+        for k in range(1, least):
+            held[starts[1:] - k] = 0
+        return [long[k] for k in np.flatnonzero(np.maximum.reduceat(held, starts) >= like * least).tolist()]
+
+    def like(self, h: np.ndarray, least: int = MIN_SHINGLES, like: float = MIN_SIMILARITY) -> list[tuple[int, int, int, np.ndarray]]:
+        """The leaders that have as many shingles of some ``least`` ones in a row of h as a passage needs."""
+        # A line repeated over and over has few shingles at many places.
+        own, place, times = np.unique(h, return_inverse=True, return_counts=True)
+        lo = np.searchsorted(self.shingles, own)
+        n = np.searchsorted(self.shingles, own, side="right") - lo
+        total = np.cumsum(np.concatenate(([0], (n > 0)[place])))
+        if len(h) < least or (total[least:] - total[:-least]).max() < like * least:
+            return []
+        owner, at = self.owner[ragged(lo, n)], np.repeat(np.arange(len(own)), n)
+        likely = np.bincount(owner, times[at], len(self.rows)) >= like * least
+        row, keep = np.cumsum(likely) - 1, likely[owner]
+        has = np.zeros((int(likely.sum()), len(own)), np.int8)
+        has[row[owner[keep]], at[keep]] = 1
+        total = np.cumsum(has[:, place], axis=1, dtype=np.int16)
+        total = np.concatenate((np.zeros((len(total), 1), np.int16), total), axis=1)
+        found = np.flatnonzero(likely)[(total[:, least:] - total[:, :-least] >= like * least).any(axis=1)]
+        return [self.rows[k] for k in found.tolist()]
+
+
+def met_before(side: int, at: int, a: np.ndarray, place: int, b: np.ndarray) -> bool:
+    """Whether two unlike surroundings of the group of that side share the run of an earlier side too, so that they meet in that group."""
+    for back in backs(RUNS[0])[:side]:
+        x, y = (h[p - back : p - back + RUNS[0]] if p >= back else h[:0] for p, h in ((at, a), (place, b)))
+        if len(x) == RUNS[0] and np.array_equal(x, y):
+            return not np.array_equal(about(at, a), about(place, b))
+    return False
+
+
+def about(at: int, h: np.ndarray) -> np.ndarray:
+    return h[max(0, at - MIN_SHINGLES + 1) : at + MIN_SHINGLES]
+
+
+def likely_pairs(lead: DataFrame, left: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(leader, leader_th, doc, th) of the open places ``left`` and the earlier surroundings ``lead`` of their groups that could be near there.
+
+    A near passage of the least length with the place lies within MIN_SHINGLES - 1 of it, and its like within REACH of the leader's place. Each task holds a block of
+    at most about BLOCK surroundings of one group, and the open places of the group pass by one at a time.
+    """
+    known = lead.join(left.select("group").distinct(), "group").select("group", F.col("leader").alias("doc"), F.col("leader_th").alias("th"), "place")
+    asking = left.select("group", "doc", "th", "place").distinct()
+    near = cut(surroundings(known.select("doc", "th", "place").unionAll(asking.select("doc", "th", "place")), docs, id_col, text_col))
+    blocks = known.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("doc", "th", "place"), F.col("blocks")).cast("int")
+    rows = known.join(blocks, "group").select("group", own.alias("part"), F.lit(0).alias("role"), "doc", "th", "place").unionAll(
+        asking.join(blocks, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(1).alias("role"), "doc", "th", "place")
+    )
+    keys = ["group", "part"]
+    rows = rows.join(near, ["doc", "th", "place"]).select(*keys, "role", "doc", "th", "at", "near").repartition(*keys).sortWithinPartitions(*keys, "role")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, leaders, block, waiting, out = None, [], None, [], set()
+
+        def answer() -> None:
+            nonlocal block
+            if waiting and leaders:
+                block = block or Surroundings(leaders)
+                asked = [about(at, h) for *_, at, h in waiting]
+                for k in block.dense(asked):
+                    doc, th, at, h = waiting[k]
+                    found = [x for x in block.like(asked[k]) if x[:2] < (doc, th)]
+                    out.update((*x[:2], doc, th) for x in found if not met_before(held[0] & 3, *x[2:], at, h))
+            waiting.clear()
+
         for b in batches:
-            out = []
-            for n, (asked, about) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                place = np.array([x["place"] for x in asked])
-                counts = np.zeros(max(int(place.max()), max(about)) + MIN_SHINGLES + 1, np.int64)
-                counts[about] = 1
-                held = np.cumsum(np.concatenate((np.zeros(MIN_SHINGLES, np.int64), counts)))
-                held = held[MIN_SHINGLES:] - held[:-MIN_SHINGLES]  # of the window that ends there
-                best = np.lib.stride_tricks.sliding_window_view(held, MIN_SHINGLES).max(axis=1)
-                place = place[best[place] >= need]
-                out.append((np.full(len(place), n), place))
+            for group, part, role, doc, th, at, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held != (group, part):
+                    answer()
+                    held, leaders, block = (group, part), [], None
+                (waiting if role else leaders).append((doc, th, at, np.frombuffer(x, np.uint32)))
+            answer()
             if out:
-                n, place = (np.concatenate(x) for x in zip(*out, strict=True))
-                cols = [b.column(0).take(pa.array(n)), b.column(1).take(pa.array(n)), pa.array(place.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, ["doc", "th", "place"])
+                kinds = [pa.int64(), pa.int32()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], PAIR)
+                out.clear()
 
-    return rows.select("doc", "th", "asked", "about").mapInArrow(work, "doc bigint, th int, place int")
+    out = cut(rows.mapInArrow(work, "leader bigint, leader_th int, doc bigint, th int").distinct())
+    discard(near)
+    return out
 
 
 def still_open(left: DataFrame, found: DataFrame) -> DataFrame:
     return left.join(spans_of(found), ["doc", "th"], "left").where(OPEN).drop("spans")
 
 
-def held_against(docs: DataFrame, lead: DataFrame, left: DataFrame, hold: Callable[[DataFrame, DataFrame], DataFrame], id_col: str, text_col: str) -> None:
-    """Hold the open places ``left`` (group, doc, th, place) of large groups against all surroundings ``lead`` of their groups."""
-    known = lead.join(left.select("group").distinct(), "group")
-    places = known.select(F.col("leader").alias("doc"), F.col("leader_th").alias("th"), "place", F.lit(False).alias("open")).unionAll(left.select("doc", "th", "place", F.lit(True).alias("open")))
-    rows = counted(places.groupBy("doc", "th", "place").agg(F.max("open").alias("open")), docs, id_col, text_col)
-    likely = cut(dense(rows))
-    discard(rows)
-    asking = left.join(likely, ["doc", "th", "place"], "left_semi").select("group", "doc", "th")
-    other = known.join(likely.toDF("leader", "leader_th", "place"), ["leader", "leader_th", "place"], "left_semi").select("group", "leader", "leader_th")
-    hold(asking.distinct().join(other.distinct(), "group").where(EARLIER), left)
-
-
 def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc and th, leader and leader_th (an earlier document), first and last word of the passage in doc, and those in leader; last is inclusive."""
     spark = docs.sparkSession
@@ -505,12 +580,13 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     before, rows = rows, cut(rows.join(spans_of(found), ["doc", "th"], "left").select("group", "doc", "th", "place", F.expr(OPEN).alias("open")))
     discard(before)
-    places, spent, large = worth(rows).select("doc", "th", "place", "open"), [rows], None
+    twice = twins(rows)
+    places, spent, large = worth(rows, twice).select("doc", "th", "place", "open"), [rows], None
     for size in RUNS:
         runs = cut(by_words(places, size, docs, id_col, text_col))
         for table in spent:
             discard(table)
-        lead = cut(ranked(worth(runs)))
+        lead = cut(ranked(worth(runs, twice)))
         spent = [lead] if large else []
         if lead.isEmpty():
             break
@@ -531,7 +607,7 @@ def near_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         lead, left = large
         left = cut(still_open(left, found))
         if not left.isEmpty():
-            held_against(docs, lead, left, hold, id_col, text_col)
+            hold(likely_pairs(lead, left, docs, id_col, text_col), left)
     word = F.lit(SHINGLE - 1)
     ends = [F.col("first"), (F.col("last") + word).alias("last"), F.col("from_first"), (F.col("from_last") + word).alias("from_last")]
     return found.distinct().select("doc", "th", "leader", "leader_th", *ends)

@@ -501,6 +501,34 @@ def shingle_set(ws):
     return {tuple(ws[k : k + 5]) for k in range(len(ws) - 4)}
 
 
+def test_places_of_groups_without_an_earlier_document_are_left_out(spark):
+    """The open document is the first of group 1, and the last of group 2."""
+    rows = spark.createDataFrame([(1, 5, 50, True), (1, 6, 60, False), (2, 5, 50, False), (2, 6, 60, True)], "group bigint, doc bigint, th int, open boolean")
+    assert not passages.twins(rows)
+    assert {r["group"] for r in passages.worth(rows, False).collect()} == {2}
+    assert passages.twins(rows.unionAll(spark.createDataFrame([(3, 5, 51, True)], rows.schema)))
+
+
+def test_likely_surroundings_are_those_that_share_a_window():
+    """A block's leaders against counting window by window, with a shingle repeated over and over among them."""
+    rng, least = np.random.default_rng(5), passages.MIN_SHINGLES
+    base = rng.integers(0, 1 << 32, 91, dtype=np.uint32)
+
+    def copy(rate):
+        h = np.where(rng.random(91) < rate, rng.integers(0, 1 << 32, 91, dtype=np.uint32), base)
+        return np.where(rng.random(91) < 0.1, base[0], h).astype(np.uint32)
+
+    rows = [(k, 0, 45, copy(rng.random() * 0.3)) for k in range(60)]
+    asked = [copy(rng.random() * 0.3) for _ in range(40)] + [base[:30], rng.integers(0, 1 << 32, 91, dtype=np.uint32)]
+    block = passages.Surroundings(rows)
+    best = lambda h, other: max((int(np.isin(h[i : i + least], other).sum()) for i in range(len(h) - least + 1)), default=0)
+    want = [{k for k, *_, x in rows if best(h, x) >= passages.MIN_SIMILARITY * least} for h in asked]
+    every = np.concatenate([x for *_, x in rows])
+    assert block.dense(asked) == [n for n, h in enumerate(asked) if best(h, every) >= passages.MIN_SIMILARITY * least]
+    assert [{x[0] for x in block.like(h)} for h in asked] == want
+    assert 0 < sum(map(len, want)) < len(rows) * len(asked)
+
+
 @pytest.mark.parametrize(("leaders", "group"), [(passages.LEADERS, passages.GROUP), (2, 8)])
 def test_passages_recall_in_groups_of_edited_copies(spark, monkeypatch, leaders, group):
     """Brute force: of the copies that are near some earlier copy of their group, nine in ten at least are found at each width and rate."""

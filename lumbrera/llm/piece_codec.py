@@ -27,6 +27,10 @@ from lumbrera.llm.common import bounded_batches, chunks, ragged, strings
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 REPLACEMENT = "�".encode()
+#: Words or ids whose positions are laid out at a time.
+SLICE = 1 << 16
+#: Bytes of distinct words that are merged at a time.
+WORD_BYTES = 1 << 18
 
 
 class PieceCodec:
@@ -177,12 +181,14 @@ class PieceCodec:
             texts = pa.array([spaced(t) if o else t for t, o in zip(texts.to_pylist(), odd.to_pylist(), strict=True)], pa.string())
         split = pc.split_pattern(texts, " ")
         found = pc.dictionary_encode(split.values.slice(split.offsets[0].as_py(), split.offsets[-1].as_py() - split.offsets[0].as_py()))
-        ids, counts = self.words(found.dictionary) if len(found.dictionary) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        # Merging takes some hundred bytes a character for a while, so it gets the distinct words by and by.
+        parts = [self.words(b.column(0)) for b in chunks(pa.RecordBatch.from_arrays([found.dictionary], ["word"]), limit=WORD_BYTES)]
+        ids, counts = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         start = np.cumsum(counts) - counts
         which = found.indices.to_numpy()
         per = np.diff(split.offsets.to_numpy())
         size = counts[which]
-        flat = ids[ragged(start[which], size)]
+        flat = np.concatenate([ids[:0], *(ids[ragged(start[which[k : k + SLICE]], size[k : k + SLICE])] for k in range(0, len(which), SLICE))])
         ends = np.r_[0, np.cumsum(size)][np.cumsum(per)]
         number = np.diff(np.r_[0, ends])
         empty = pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
@@ -201,7 +207,8 @@ class PieceCodec:
     def decode(self, flat: np.ndarray, number: np.ndarray) -> list[bytes]:
         """UTF-8 of each run of ids. One leading space of a text goes with the dummy prefix; bytes that are no UTF-8 become U+FFFD each."""
         size = self.out_len[flat]
-        data = self.out_bytes[ragged(self.out_at[flat], size)].tobytes()
+        # The position of each byte takes several times what the bytes do.
+        data = b"".join(self.out_bytes[ragged(self.out_at[flat[k : k + SLICE]], size[k : k + SLICE])].tobytes() for k in range(0, len(flat), SLICE))
         ends = np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum(number)]].tolist()
         tokens = np.r_[0, np.cumsum(number)].tolist()
         out = []

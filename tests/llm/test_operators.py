@@ -5,6 +5,7 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -623,3 +624,20 @@ def test_defined_odd_results(spark):
     assert gone[(1, "")] == 2 and gone[(4, "0")] == 1
     kept = simhash.keep_first(docs)
     assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 1, 2, 4, 6] and kept.where("doc_id IS NULL").count() == 1
+
+
+def test_pieces_take_few_bytes_beside_the_text():
+    """What encoding and decoding hold beside ids and texts is laid out in slices, whatever a chunk holds."""
+    r = random.Random(8)
+    texts = [" ".join("".join(r.choices("abcdefgho  é", k=r.randrange(2, 12))) for _ in range(600)) for _ in range(600)] + [" " * 70_000 + "x" * 9 + "é" * 70_000]
+    tracemalloc.start()
+    try:
+        flat, number = CODEC.encode_flat(pa.array(texts))
+        decoded = CODEC.decode(flat, number)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 25 * sum(len(t.encode()) for t in texts)
+    want = [LIB.encode(t) for t in texts]
+    assert number.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
+    assert [t.decode() for t in decoded] == [LIB.decode(x) for x in want]

@@ -55,6 +55,8 @@ LEADERS, GROUP = 8, 64
 RUNS, AROUND = (16, MIN_SHINGLES), 2 * MIN_SHINGLES - 1
 #: Shingles to either side of a leader's place that a passage may take up there, and surroundings of a group that a task holds.
 REACH, BLOCK = int(np.ceil(MIN_SHINGLES / MIN_SIMILARITY)), 2048
+#: Texts and shingles that a task keeps for further pairs of theirs, about.
+KNOWN_BYTES = 32 << 20
 #: At most so many numbers are broadcast, whatever the corpus is.
 SPOTS = 1 << 20
 #: Odd multipliers; functions 2 k and 2 k + 1 make signature k.
@@ -368,15 +370,21 @@ def verified(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> D
     kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 5]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, lead, known = None, None, None
+        held, lead, known, size = None, None, {}, 0
         for whole in batches:
             for b in chunks(whole, 6):
                 out = []
                 for leader, leader_th, part, role, doc, th, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    # Copies of the leader are many.
-                    h = lead.a if lead and text == known else shingles(text or "", hash)
+                    # A document has many leaders, and copies of the leader are many.
+                    h = known.get(text)
+                    if h is None:
+                        h = shingles(text or "", hash)
+                        size += len(text or "") + h.nbytes
+                        if size > KNOWN_BYTES:
+                            known, size = {}, 0
+                        known[text] = h
                     if role == 0:
-                        held, lead, known = (leader, leader_th, part), Leader(h), text
+                        held, lead = (leader, leader_th, part), Leader(h)
                     elif held == (leader, leader_th, part):
                         out += [(doc, th, leader, leader_th, *s) for s in stretches(lead, h)]
                 if out:
@@ -447,12 +455,34 @@ def surroundings(places: DataFrame, docs: DataFrame, id_col: str, text_col: str)
     return texts.mapInArrow(work, "doc bigint, th int, place int, at int, near binary")
 
 
+class Met:
+    """Which documents have met which leaders, numbered as they come. At most about ``most`` flags are kept; then the documents start anew."""
+
+    def __init__(self, most: int = 1 << 25) -> None:
+        self.most, self.ids, self.flags, self.held = most, {}, {}, 0
+
+    def numbers(self, rows: list[tuple[int, int, int, np.ndarray]]) -> np.ndarray:
+        return np.array([self.ids.setdefault(x[:2], len(self.ids)) for x in rows])
+
+    def of(self, doc: int, th: int) -> np.ndarray:
+        own = self.flags.get((doc, th))
+        if own is None or len(own) < len(self.ids):
+            own, before = np.zeros(2 * len(self.ids), bool), own
+            self.held += len(own)
+            if self.held > self.most:
+                self.flags, self.held = {}, len(own)
+            if before is not None:
+                own[: len(before)] = before
+            self.flags[doc, th] = own
+        return own
+
+
 class Surroundings:
     """The surroundings (doc, th, at, shingles) of a block of a group's leaders, by shingle."""
 
     def __init__(self, rows: list[tuple[int, int, int, np.ndarray]]) -> None:
         near = [np.unique(x) for *_, x in rows]
-        self.rows = rows
+        self.rows, self.doc, self.th = rows, np.array([x[0] for x in rows], np.int64), np.array([x[1] for x in rows], np.int64)
         owner, flat = np.repeat(np.arange(len(near)), [len(x) for x in near]), np.concatenate(near)
         order = np.argsort(flat, kind="stable")
         self.shingles, self.owner = flat[order], owner[order]
@@ -472,8 +502,11 @@ class Surroundings:
             held[starts[1:] - k] = 0
         return [long[k] for k in np.flatnonzero(np.maximum.reduceat(held, starts) >= like * least).tolist()]
 
-    def like(self, h: np.ndarray, least: int = MIN_SHINGLES, like: float = MIN_SIMILARITY) -> list[tuple[int, int, int, np.ndarray]]:
-        """The leaders that have as many shingles of some ``least`` ones in a row of h as a passage needs."""
+    def earlier(self, doc: int, th: int) -> np.ndarray:
+        return (self.doc < doc) | (self.doc == doc) & (self.th < th)
+
+    def like(self, h: np.ndarray, least: int = MIN_SHINGLES, like: float = MIN_SIMILARITY, of: np.ndarray | None = None) -> list[tuple[int, int, int, np.ndarray]]:
+        """The leaders (among those marked in ``of``) that have as many shingles of some ``least`` ones in a row of h as a passage needs."""
         # A line repeated over and over has few shingles at many places.
         own, place, times = np.unique(h, return_inverse=True, return_counts=True)
         lo = np.searchsorted(self.shingles, own)
@@ -483,6 +516,10 @@ class Surroundings:
             return []
         owner, at = self.owner[ragged(lo, n)], np.repeat(np.arange(len(own)), n)
         likely = np.bincount(owner, times[at], len(self.rows)) >= like * least
+        if of is not None:
+            likely &= of
+        if not likely.any():
+            return []
         row, keep = np.cumsum(likely) - 1, likely[owner]
         has = np.zeros((int(likely.sum()), len(own)), np.int8)
         has[row[owner[keep]], at[keep]] = 1
@@ -492,15 +529,6 @@ class Surroundings:
         return [self.rows[k] for k in found.tolist()]
 
 
-def met_before(side: int, at: int, a: np.ndarray, place: int, b: np.ndarray) -> bool:
-    """Whether two unlike surroundings of the group of that side share the run of an earlier side too, so that they meet in that group."""
-    for back in backs(RUNS[0])[:side]:
-        x, y = (h[p - back : p - back + RUNS[0]] if p >= back else h[:0] for p, h in ((at, a), (place, b)))
-        if len(x) == RUNS[0] and np.array_equal(x, y):
-            return not np.array_equal(about(at, a), about(place, b))
-    return False
-
-
 def about(at: int, h: np.ndarray) -> np.ndarray:
     return h[max(0, at - MIN_SHINGLES + 1) : at + MIN_SHINGLES]
 
@@ -508,39 +536,47 @@ def about(at: int, h: np.ndarray) -> np.ndarray:
 def likely_pairs(lead: DataFrame, left: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(leader, leader_th, doc, th) of the open places ``left`` and the earlier surroundings ``lead`` of their groups that could be near there.
 
-    A near passage of the least length with the place lies within MIN_SHINGLES - 1 of it, and its like within REACH of the leader's place. Each task holds a block of
-    at most about BLOCK surroundings of one group, and the open places of the group pass by one at a time.
+    A near passage of the least length with the place lies within MIN_SHINGLES - 1 of it, and its like within REACH of the leader's place. Groups with one smallest
+    document are a family. Each task holds a share of a family's leaders, whichever groups they are in, group by group (at most about BLOCK surroundings at a time), and the open places
+    of the group pass by one at a time. So most groups in which a document meets a leader over and over, as one for each place of a passage, are in one task, which hands the two on once.
     """
     known = lead.join(left.select("group").distinct(), "group").select("group", F.col("leader").alias("doc"), F.col("leader_th").alias("th"), "place")
     asking = left.select("group", "doc", "th", "place").distinct()
     near = cut(surroundings(known.select("doc", "th", "place").unionAll(asking.select("doc", "th", "place")), docs, id_col, text_col))
-    blocks = known.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("doc", "th", "place"), F.col("blocks")).cast("int")
-    rows = known.join(blocks, "group").select("group", own.alias("part"), F.lit(0).alias("role"), "doc", "th", "place").unionAll(
-        asking.join(blocks, "group").select("group", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(1).alias("role"), "doc", "th", "place")
+    groups = known.groupBy("group").agg(F.min("doc").alias("family"), F.count("*").alias("_n"))
+    shares = groups.groupBy("family").agg(F.ceil(F.max("_n") / BLOCK).cast("int").alias("shares"))
+    groups = cut(groups.join(shares, "family").select("group", "family", "shares"))
+    own = F.pmod(F.xxhash64("doc", "th"), F.col("shares")).cast("int")
+    rows = known.join(groups, "group").select("family", own.alias("part"), "group", F.lit(0).alias("role"), "doc", "th", "place").unionAll(
+        asking.join(groups, "group").select("family", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("part"), "group", F.lit(1).alias("role"), "doc", "th", "place")
     )
-    keys = ["group", "part"]
-    rows = rows.join(near, ["doc", "th", "place"]).select(*keys, "role", "doc", "th", "at", "near").repartition(*keys).sortWithinPartitions(*keys, "role")
+    keys = ["family", "part"]
+    rows = rows.join(near, ["doc", "th", "place"]).select(*keys, "group", "role", "doc", "th", "at", "near").repartition(*keys).sortWithinPartitions(*keys, "group", "role")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, leaders, block, waiting, out = None, [], None, [], set()
+        held, leaders, block, waiting, out, met, who = None, [], None, [], [], Met(), None
 
         def answer() -> None:
-            nonlocal block
+            nonlocal block, who
             if waiting and leaders:
-                block = block or Surroundings(leaders)
+                if block is None:
+                    block, who = Surroundings(leaders), met.numbers(leaders)
                 asked = [about(at, h) for *_, at, h in waiting]
                 for k in block.dense(asked):
-                    doc, th, at, h = waiting[k]
-                    found = [x for x in block.like(asked[k]) if x[:2] < (doc, th)]
-                    out.update((*x[:2], doc, th) for x in found if not met_before(held[0] & 3, *x[2:], at, h))
+                    doc, th = waiting[k][:2]
+                    done = met.of(doc, th)
+                    found = {x[:2] for x in block.like(asked[k], of=block.earlier(doc, th) & ~done[who])}
+                    done[[met.ids[x] for x in found]] = True
+                    out.extend((*x, doc, th) for x in found)
             waiting.clear()
 
         for b in batches:
-            for group, part, role, doc, th, at, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held != (group, part):
+            for family, part, group, role, doc, th, at, x in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held != (family, part, group):
                     answer()
-                    held, leaders, block = (group, part), [], None
+                    if not held or held[:2] != (family, part):
+                        met = Met()
+                    held, leaders, block = (family, part, group), [], None
                 (waiting if role else leaders).append((doc, th, at, np.frombuffer(x, np.uint32)))
             answer()
             if out:
@@ -550,6 +586,7 @@ def likely_pairs(lead: DataFrame, left: DataFrame, docs: DataFrame, id_col: str,
 
     out = cut(rows.mapInArrow(work, "leader bigint, leader_th int, doc bigint, th int").distinct())
     discard(near)
+    discard(groups)
     return out
 
 

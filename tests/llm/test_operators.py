@@ -641,3 +641,33 @@ def test_pieces_take_few_bytes_beside_the_text():
     want = [LIB.encode(t) for t in texts]
     assert number.tolist() == [len(x) for x in want] and flat.tolist() == [i for x in want for i in x]
     assert [t.decode() for t in decoded] == [LIB.decode(x) for x in want]
+
+
+def test_pairs_of_passages_meet_a_few_times(spark, monkeypatch):
+    """Edited copies of a passage share many places and groups; each two of them are handed on once by those with one smallest document, over many batches."""
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    r, base = random.Random(3), prose(41, 70).split()
+    rows = [(k, prose(k + 900, 60, 10**6) + " " + " ".join(w if r.random() > 0.02 else f"v{k}" for w in base) + " " + prose(k + 2000, 60, 10**6)) for k in range(40)]
+    docs = spark.createDataFrame(rows, DOCS)
+    members = passages.members(docs, "doc_id", "text").select("doc", "th", "place", F.lit(True).alias("open")).distinct()
+    runs = passages.by_words(members, passages.RUNS[0], docs, "doc_id", "text")
+    lead = passages.ranked(passages.worth(runs, False))
+    left = runs.select("group", "doc", "th", "place").distinct()
+    handed, distinct = [], type(docs).distinct
+    monkeypatch.setattr(type(docs), "distinct", lambda df: (handed.append(df) if df.columns == passages.PAIR else None) or distinct(df))
+    monkeypatch.setattr(passages, "discard", lambda df: None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        pairs = passages.likely_pairs(lead, left, docs, "doc_id", "text")
+        assert 300 < pairs.count() and handed[-1].count() < 3 * pairs.count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
+def test_met_documents_start_anew_beyond_their_bound():
+    met = passages.Met(most=100)
+    for k in range(20):
+        who = met.numbers([(k, 0, 45, np.zeros(0, np.uint32)), (k + 1, 0, 45, np.zeros(0, np.uint32))])
+        own = met.of(99 + k % 3, 0)
+        own[who] = True
+        assert met.of(99 + k % 3, 0)[who].all() and sum(map(len, met.flags.values())) <= met.held <= 100

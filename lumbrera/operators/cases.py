@@ -76,7 +76,7 @@ def match_attachments(events: DataFrame, attachments: DataFrame, before: int = 2
     note = events.select("case", "event", plain_title(F.col("note")).alias("n"), F.to_date("at").alias("on"))
     pdf = (F.lower(F.coalesce("content_type", F.lit(""))) == "application/pdf") | F.lower(F.coalesce("url", F.lit(""))).endswith(".pdf")
     own = attachments.where(pdf).select("case", "attachment", plain_title(F.col("title")).alias("t"), F.to_date("at").alias("att_on"))
-    both = note.join(own, "case")
+    both = note.join(own.hint("merge"), "case")
     has = lambda c, w: F.contains(F.col(c), F.lit(w))
     never, phrase = F.lit(False), F.lit(False)
     for a, b in NEVER_TOGETHER:
@@ -97,7 +97,7 @@ def match_attachments(events: DataFrame, attachments: DataFrame, before: int = 2
     sole = F.when(F.col("top.tied") == 1, F.col("top.one.attachment"))
     related = F.when(sole.isNull(), F.col("every")).otherwise(F.slice("every", 2, F.greatest(F.size("every"), F.lit(1))))
     related = F.coalesce(related, F.array().cast(T.ArrayType(attachments.schema["attachment"].dataType)))
-    return events.select("event").join(top, "event", "left").select("event", level.alias("level"), F.col("top.score").alias("score"), sole.alias("attachment"), related.alias("related"))
+    return events.select("event").join(top.hint("merge"), "event", "left").select("event", level.alias("level"), F.col("top.score").alias("score"), sole.alias("attachment"), related.alias("related"))
 
 
 def case_content_type(case_type: Column, document_type: Column) -> Column:
@@ -242,6 +242,7 @@ def case_milestones(cases: DataFrame, extracts: DataFrame, cutoff: Column) -> Da
     array<struct<attachment, title, url, content_type, at>>; ``extracts`` (attachment, text). Cases outside competition law have none. A summary
     goes if its main document is among the case's events. The latest event (the first, or one within a minute of the update) has the case's body
     and the text of the document that its note means; an earlier one only the latter, and goes if that does not make a full text.
+    Both sides of each join grow with the cases, and estimated sizes do not tell how long texts are: none is broadcast.
     """
     kind = case_content_type(F.col("case_type"), F.col("document_type"))
     own = cases.withColumn("kind", kind).where(F.col("kind").isNotNull())
@@ -249,11 +250,11 @@ def case_milestones(cases: DataFrame, extracts: DataFrame, cutoff: Column) -> Da
     e = e.where((F.col("at") >= cutoff) & (event_note(F.col("note")) == "SUBSTANTIVE")).withColumn("m", milestone_family(F.col("note")))
     e = e.select("case", "pos", "at", "note", "m.derivative", "m.family", F.concat_ws("#", "case", "pos").alias("event"))
     main = e.where(~F.col("derivative") & F.col("family").isNotNull()).select("case", "family", F.lit(True).alias("_main")).distinct()
-    e = e.join(main, ["case", "family"], "left").where(~(F.col("derivative") & F.coalesce("_main", F.lit(False))))
+    e = e.join(main.hint("merge"), ["case", "family"], "left").where(~(F.col("derivative") & F.coalesce("_main", F.lit(False))))
     files = own.select("case", F.explode("attachments").alias("f")).select("case", "f.*")
     match = match_attachments(e, files).select("event", "level", F.when(F.col("level").isin("EXACT", "STRONG"), F.col("attachment")).alias("attachment"))
-    named = files.select("attachment", F.col("title").alias("file")).distinct().join(extracts.where("text <> ''"), "attachment")
-    rows = e.join(own.select("case", "kind", "title", "body", "updated_at"), "case").join(match, "event").join(named, "attachment", "left")
+    named = files.select("attachment", F.col("title").alias("file")).distinct().join(extracts.where("text <> ''").hint("merge"), "attachment")
+    rows = e.join(own.select("case", "kind", "title", "body", "updated_at").hint("merge"), "case").join(match.hint("merge"), "event").join(named.hint("merge"), "attachment", "left")
     latest = (F.col("pos") == 0) | F.coalesce(F.abs(F.unix_seconds(F.col("updated_at").cast("timestamp")) - F.unix_seconds(F.col("at").cast("timestamp"))) < 60, F.lit(False))
     line = lambda label, c: F.concat(F.lit(label + ": "), c)
     header = [line("Case", F.col("title")), line("Event", F.col("note")), line("Date", F.date_format("at", "yyyy-MM-dd")), line("Area", F.col("kind"))]

@@ -1,60 +1,76 @@
 """Exact per-key streams over events that come late or twice: sliding failure counts, and where a run of failures stops.
 
-Both keep what a key still needs in keyed state on disk (RocksDB) and wait with a timer until the watermark has passed an event: then every event before it
+Both keep what a key still needs in keyed state on disk (RocksDB) and wait with a timeout until the watermark has passed an event: then every event before it
 is there, and it is handled in the order of (time, id). What comes later than ``late`` after the latest event seen is dropped, as the watermark says. An
 event id that comes again while its event is held is one event; one whose event was let go is later than the watermark and is dropped. State is bounded by
 the events of the window and of ``late``, and of a stopped key only that it has stopped is kept.
+
+Keys share ``GROUPS`` states by their hash, each of packed rows that come and go with the batch: a call for each key, or each event, costs far more than its work.
+A stream keeps the checkpoint of its own number of groups and layout of states; those of earlier versions do not go on.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
-from typing import Any
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-
-EVENT_ID = T.StructType([T.StructField("event_id", T.LongType())])
-HELD = T.StructType([T.StructField("t", T.LongType()), T.StructField("bad", T.BooleanType()), T.StructField("done", T.BooleanType())])
-
-
-class Held(StatefulProcessor):
-    """Events of a key, by id, until the watermark has passed them; ``passed`` then gets those that are due, in order."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.events = handle.getMapState("events", EVENT_ID, HELD)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            for event, t, bad in zip(part["event_id"].tolist(), part["t"].tolist(), part["bad"].tolist(), strict=True):
-                if self.wanted(bad) and not self.events.containsKey((event,)):
-                    self.events.updateValue((event,), (t, bad, False))
-                    # The first millisecond at which every event up to t is there.
-                    self.handle.registerTimer(t // 1000 + 1)
-        yield self.rows([])
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        held = sorted((v[0], k[0], v[1], v[2]) for k, v in self.events.iterator())
-        due = [e for e in held if e[0] < mark and not e[3]]
-        yield self.rows([(key[0], *r) for r in self.passed(held, due, mark)] if held else [])
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+#: States that the keys of a stream share. A batch reads and writes those of its keys whole.
+GROUPS = 4096
+EVENT = np.dtype([("key", "<i8"), ("t", "<i8"), ("event_id", "<i8"), ("bad", "?"), ("done", "?")])
+RUN = np.dtype([("key", "<i8"), ("streak", "<i8"), ("total", "<i8"), ("stopped", "?")])
+Event = tuple[int, int, int, bool, bool]
+Found = list[tuple[int, int, int]]
+
+
+class Held:
+    """Events of a group of keys until the watermark has passed them; ``passed`` then gets them in order, key by key."""
+
+    def handle(self, group: tuple, parts: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        stored = state.getOption or (b"", b"")
+        held, runs = (np.frombuffer(bytes(b), d) for b, d in zip(stored, (EVENT, RUN), strict=True))
+        if not state.hasTimedOut:
+            held = np.concatenate([held, *(self.wanted(packed(p), runs) for p in parts)])
+        held = held[np.lexsort((held["event_id"], held["key"]))]
+        again = (held["key"][1:] == held["key"][:-1]) & (held["event_id"][1:] == held["event_id"][:-1])
+        # The sort is stable: of one event, the one that is held, or else the first of the batch, stays.
+        held = held[np.r_[True, ~again][: len(held)]]
+        held = held[np.lexsort((held["event_id"], held["t"], held["key"]))]
+        now = state.getCurrentWatermarkMs()
+        found, kept, runs, due = self.passed(held, runs, now * 1000)
+        if len(kept) or len(runs):
+            state.update((kept.tobytes(), runs.tobytes()))
+            if due is not None:
+                # Called again at the first watermark after this millisecond.
+                state.setTimeoutTimestamp(max(due // 1000, now, 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(found, columns=["key", "event_id", "n"]).astype("int64")
+
+    def wanted(self, events: np.ndarray, runs: np.ndarray) -> np.ndarray:
+        return events
+
+    def passed(self, held: np.ndarray, runs: np.ndarray, mark: int) -> tuple[Found, np.ndarray, np.ndarray, int | None]:
+        """What is found, the events and runs to keep, and the time that the watermark is to pass next."""
+        raise NotImplementedError
 
-    def rows(self, found: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(found, columns=["key", "event_id", "n"]).astype("int64")
 
-    def wanted(self, bad: bool) -> bool:
-        return True
+def packed(part: pd.DataFrame) -> np.ndarray:
+    out = np.zeros(len(part), EVENT)
+    for name in ("key", "t", "event_id", "bad"):
+        out[name] = part[name].to_numpy()
+    return out
 
-    def passed(self, held: list[tuple], due: list[tuple], mark: int) -> list[tuple[int, int]]:
-        raise NotImplementedError
 
-    def close(self) -> None:
-        pass
+def by_key(held: np.ndarray) -> Iterator[tuple[int, Iterator[Event]]]:
+    return groupby(held.tolist(), key=lambda e: e[0])
 
 
 class SlidingFailures(Held):
@@ -63,23 +79,24 @@ class SlidingFailures(Held):
     def __init__(self, window: int, least: int) -> None:
         self.window, self.least = window, least
 
-    def wanted(self, bad: bool) -> bool:
-        return bad
+    def wanted(self, events: np.ndarray, runs: np.ndarray) -> np.ndarray:
+        return events[events["bad"]]
 
-    def passed(self, held: list[tuple], due: list[tuple], mark: int) -> list[tuple[int, int]]:
-        times = [e[0] for e in held]
+    def passed(self, held: np.ndarray, runs: np.ndarray, mark: int) -> tuple[Found, np.ndarray, np.ndarray, int | None]:
         found = []
-        for t, event, bad, _ in due:
-            n = sum(t - self.window <= x <= t for x in times)
-            if n >= self.least:
-                found.append((event, n))
-            self.events.updateValue((event,), (t, bad, True))
-            self.handle.registerTimer((t + self.window) // 1000 + 2)
-        for t, event, _, _ in held:
-            # No failure that is still to come has this one in its window.
-            if t < mark - self.window:
-                self.events.removeKey((event,))
-        return found
+        for key, own in by_key(held):
+            events = list(own)
+            times = [t for _, t, *_ in events]
+            for _, t, event, _, done in events:
+                if t < mark and not done:
+                    n = bisect_right(times, t) - bisect_left(times, t - self.window)
+                    if n >= self.least:
+                        found.append((key, event, n))
+        # No failure that is still to come has an earlier one in its window.
+        kept = held[held["t"] >= mark - self.window]
+        kept["done"] = kept["t"] < mark
+        next_at = kept["t"] + np.where(kept["done"], self.window, 0)
+        return found, kept, runs, int(next_at.min()) if len(kept) else None
 
 
 class FailureStop(Held):
@@ -88,30 +105,24 @@ class FailureStop(Held):
     def __init__(self, streak: int, total: int) -> None:
         self.most = (streak, total)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        self.run = handle.getValueState("run", T.StructType([T.StructField("streak", T.LongType()), T.StructField("total", T.LongType()), T.StructField("stopped", T.BooleanType())]))
+    def wanted(self, events: np.ndarray, runs: np.ndarray) -> np.ndarray:
+        return events[~np.isin(events["key"], runs["key"][runs["stopped"]])]
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        if self.run.exists() and self.run.get()[2]:
-            yield self.rows([])
-        else:
-            yield from super().handleInputRows(key, rows, timerValues)
-
-    def passed(self, held: list[tuple], due: list[tuple], mark: int) -> list[tuple[int, int]]:
-        streak, total, stopped = self.run.get() if self.run.exists() else (0, 0, False)
-        found = []
-        for _, event, bad, _ in due:
-            if not stopped:
+    def passed(self, held: np.ndarray, runs: np.ndarray, mark: int) -> tuple[Found, np.ndarray, np.ndarray, int | None]:
+        found, reached = [], {key: (streak, total, stopped) for key, streak, total, stopped in runs.tolist()}
+        due = held["t"] < mark
+        for key, own in by_key(held[due]):
+            streak, total, stopped = reached.get(key, (0, 0, False))
+            for _, _, event, bad, _ in own:
                 streak, total = (streak + 1, total + 1) if bad else (0, total)
                 if streak >= self.most[0] or total >= self.most[1]:
                     stopped = True
-                    found.append((event, total))
-            self.events.removeKey((event,))
-        if stopped:
-            self.events.clear()
-        self.run.update((streak, total, stopped))
-        return found
+                    found.append((key, event, total))
+                    break
+            reached[key] = (streak, total, stopped)
+        runs = np.array([(key, *r) for key, r in reached.items()], RUN)
+        kept = self.wanted(held[~due], runs)
+        return found, kept, runs, int(kept["t"].min()) if len(kept) else None
 
 
 def keyed(events: DataFrame, key: str, bad: str, late: str) -> DataFrame:
@@ -121,13 +132,16 @@ def keyed(events: DataFrame, key: str, bad: str, late: str) -> DataFrame:
     return rows.where("ts IS NOT NULL AND event_id IS NOT NULL").withWatermark("ts", late).where("key IS NOT NULL")
 
 
-def handled(rows: DataFrame, processor: StatefulProcessor) -> DataFrame:
-    return rows.groupBy("key").transformWithStateInPandas(processor, outputStructType="key bigint, event_id bigint, n bigint", outputMode="Append", timeMode="EventTime")
+def handled(rows: DataFrame, processor: Held) -> DataFrame:
+    grouped = rows.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(GROUPS))).groupBy("group")
+    return grouped.applyInPandasWithState(processor.handle, "key bigint, event_id bigint, n bigint", "events binary, runs binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def sliding_failures(events: DataFrame, window_hours: float = 12, least: int = 3, late: str = "1 hour", key: str = "user_id", bad: str = "event_type = 'error'") -> DataFrame:
     """Stream of (key, event_id, n)."""
-    return handled(keyed(events, key, bad, late), SlidingFailures(int(window_hours * 3_600_000_000), least))
+    # A condition on the event's time stays above the watermark, which all events move.
+    failed = keyed(events, key, bad, late).where("CASE WHEN ts IS NULL THEN false ELSE bad END")
+    return handled(failed, SlidingFailures(int(window_hours * 3_600_000_000), least))
 
 
 def failure_stop(events: DataFrame, streak: int = 2, total: int = 3, late: str = "1 hour", key: str = "user_id", bad: str = "event_type = 'error'") -> DataFrame:

@@ -36,10 +36,10 @@ def stored_responses(spark: SparkSession, sf: str) -> DataFrame:
     item = F.concat(F.lit("<item><title>Page "), k, F.lit("</title><link>"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("</link></item>"))
     p = table(spark, sf, "pages").select("page_id", F.floor(F.col("page_id") / 10).cast("string").alias("source"), item.alias("i"))
     xml = p.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("page_id", "i"))).alias("x"))
-    answers = xml.select(F.lit("rss").alias("provider"), "source", F.concat(F.lit("<rss><channel>"), F.array_join(F.transform("x", lambda r: r["i"]), ""), F.lit("</channel></rss>")).alias("body"))
+    answers = xml.select(F.lit("rss").alias("provider"), "source", F.lit("0.xml").alias("name"), F.concat(F.lit("<rss><channel>"), F.array_join(F.transform("x", lambda r: r["i"]), ""), F.lit("</channel></rss>")).alias("body"))
     html = F.concat(F.lit('<div class="views-row odd"><time datetime="2024-01-01">x</time><span class="views-field-title"><a href="/c/'), k, F.lit('">Case <b>'), k, F.lit('</b></a></span></div><div class="views-row"><p>no link</p></div>'))
-    pages = table(spark, sf, "pages").select(F.lit("cnmc").alias("provider"), (F.col("page_id") % 7).cast("string").alias("source"), html.alias("body"))
-    answers.unionByName(pages).repartition("provider", "source").write.partitionBy("provider", "source").option("maxRecordsPerFile", 1).text(folder)
+    pages = table(spark, sf, "pages").select(F.lit("cnmc").alias("provider"), (F.col("page_id") % 7).cast("string").alias("source"), F.format_string("%019d.html", F.monotonically_increasing_id()).alias("name"), html.alias("body"))
+    responses.store(answers.unionByName(pages), folder)
     return spark.read.format(responses.NAME).load(folder).select("provider", "source", "pos", "title", "url")
 
 

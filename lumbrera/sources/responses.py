@@ -2,7 +2,8 @@
 
 Fetchers leave each answer as a file of its own, in ``<path>/provider=<provider>/source=<source>/``, named so that names ascend in the order of arrival. A provider
 says how an answer is parsed; ``provide`` adds one. A source is a partition, so that its answers are read in order by one task, and sources
-side by side. A row is an item of an answer.
+side by side; one of more than ``FILES`` answers is several, that follow each other, and where there are more than ``TASKS`` partitions, sources that follow
+each other share one of ``FILES`` answers at most. A row is an item of an answer. ``store`` leaves answers as a fetcher does.
 
 The stream's offset is the last file read of each source. Files that come under an earlier name than that are not read. A stream that is started again goes on
 after the files of its last batch, and a batch that is repeated reads the files it read before. ``files_per_source`` bounds what a batch reads of one source.
@@ -13,12 +14,12 @@ Broken answers, and answers in other encodings than UTF-8 (of which what is not
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from xml.etree import ElementTree
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from lumbrera.sources.listings import LAYOUTS, items
@@ -28,6 +29,8 @@ SCHEMA = "provider string, source string, file string, pos int, title string, ur
 FIELDS = ["title", "url", "published", "category", "summary"]
 #: Items of a feed that are taken, from its beginning.
 FEED_ITEMS = 20
+#: Answers that a task reads, and tasks with a source each.
+FILES, TASKS = 4096, 256
 
 #: (text, base address) -> items in order: the place in the answer and its fields.
 Parser = Callable[[str, str], list[tuple[int, dict]]]
@@ -64,14 +67,36 @@ def provide(name: str, parser: Parser) -> None:
 
 
 @dataclass
-class SourceFiles(InputPartition):
-    """The answers of one source that a task reads, in order."""
+class SourceFiles:
+    """Answers of one source, in order."""
 
     provider: str
     source: str
     files: list[str]
 
 
+@dataclass
+class Task(InputPartition):
+    """What a task reads, in order."""
+
+    parts: list[SourceFiles]
+
+
+def tasks(sources: Iterable[tuple[tuple[str, str], list[str]]]) -> list[InputPartition]:
+    """Tasks of bounded size over all answers; one of nothing if there are none."""
+    parts = [SourceFiles(*key, files[k : k + FILES]) for key, files in sources for k in range(0, len(files), FILES)]
+    if len(parts) <= TASKS:
+        return [Task([p]) for p in parts] or [Task([])]
+    out, room = [], 0
+    for p in parts:
+        if len(p.files) > room:
+            out.append(Task([]))
+            room = FILES
+        out[-1].parts.append(p)
+        room -= len(p.files)
+    return out
+
+
 class Folder:
     """What is stored under a path, and how it is parsed."""
 
@@ -95,9 +120,12 @@ class Folder:
                     out.setdefault(key, []).append(name)
         return {k: sorted(v) for k, v in sorted(out.items())}
 
-    def rows(self, part: SourceFiles) -> Iterator[tuple]:
+    def rows(self, task: Task) -> Iterator[tuple]:
         store, root = self.opened()
-        at = f"{root.rstrip('/')}/provider={part.provider}/source={part.source}"
+        for part in task.parts:
+            yield from self.of_source(store, place(root, part.provider, part.source), part)
+
+    def of_source(self, store: fs.FileSystem, at: str, part: SourceFiles) -> Iterator[tuple]:
         read = lambda name: store.open_input_stream(f"{at}/{name}", compression=None).read().decode("utf-8", "replace")
         base = read("_base").strip() if store.get_file_info(f"{at}/_base").type == fs.FileType.File else ""
         parse = self.providers[part.provider]
@@ -106,14 +134,37 @@ class Folder:
                 yield (part.provider, part.source, name, pos, *(item.get(f) for f in FIELDS))
 
 
+def place(root: str, provider: str, source: str) -> str:
+    return f"{root.rstrip('/')}/provider={provider}/source={source}"
+
+
+def store(answers: DataFrame, path: str) -> None:
+    """Leave each answer (provider, source, name, body) as a file under ``path``. Answers are dealt to all tasks by name; a task that is repeated writes its files again."""
+    folder = Folder(path, None, {})
+
+    def put(rows: Iterator[Row]) -> None:
+        into, root = folder.opened()
+        made = None
+        for provider, source, name, body in rows:
+            at = place(root, provider, source)
+            if at != made:
+                into.create_dir(at, recursive=True)
+                made = at
+            with into.open_output_stream(f"{at}/{name}", compression=None) as f:
+                f.write((body or "").encode())
+
+    dealt = answers.select("provider", "source", "name", "body").repartition("provider", "source", "name")
+    dealt.sortWithinPartitions("provider", "source").foreachPartition(put)
+
+
 class BatchReader(DataSourceReader):
     def __init__(self, folder: Folder) -> None:
         self.folder = folder
 
     def partitions(self) -> list[InputPartition]:
-        return [SourceFiles(*key, files) for key, files in self.folder.sources().items()] or [SourceFiles("rss", "", [])]
+        return tasks(self.folder.sources().items())
 
-    def read(self, partition: SourceFiles) -> Iterator[tuple]:
+    def read(self, partition: Task) -> Iterator[tuple]:
         return self.folder.rows(partition)
 
 
@@ -142,10 +193,10 @@ class StreamReader(DataSourceStreamReader):
             key = f"{provider}/{source}"
             own = [f for f in files if start["last"].get(key, "") < f <= end["last"].get(key, "")]
             if own:
-                out.append(SourceFiles(provider, source, own))
-        return out or [SourceFiles("rss", "", [])]
+                out.append(((provider, source), own))
+        return tasks(out)
 
-    def read(self, partition: SourceFiles) -> Iterator[tuple]:
+    def read(self, partition: Task) -> Iterator[tuple]:
         return self.folder.rows(partition)
 
     def commit(self, end: dict) -> None:

@@ -139,7 +139,7 @@ def place(root: str, provider: str, source: str) -> str:
 
 
 def store(answers: DataFrame, path: str) -> None:
-    """Leave each answer (provider, source, name, body) as a file under ``path``. Answers are dealt to all tasks by name; a task that is repeated writes its files again."""
+    """Leave each answer (provider, source, name, body) as a file under ``path``. Answers are dealt by name to as many tasks as a shuffle has; a task that is repeated writes its files again."""
     folder = Folder(path, None, {})
 
     def put(rows: Iterator[Row]) -> None:
@@ -153,7 +153,9 @@ def store(answers: DataFrame, path: str) -> None:
             with into.open_output_stream(f"{at}/{name}", compression=None) as f:
                 f.write((body or "").encode())
 
-    dealt = answers.select("provider", "source", "name", "body").repartition("provider", "source", "name")
+    # A number that is given is kept: small partitions by size would be many files each.
+    n = int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = answers.select("provider", "source", "name", "body").repartition(n, "provider", "source", "name")
     dealt.sortWithinPartitions("provider", "source").foreachPartition(put)
 
 
